@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.llm.abuse import score_abuse, source_name
+from mnemospark.llm.ann import exact_neighbours, similar_vectors, unit
 from mnemospark.llm.chunking import split_oversized
 from mnemospark.llm.mixing import mix
 from mnemospark.llm.packing import pack
@@ -13,12 +15,59 @@ from mnemospark.llm.sql import ORACLES as ORACLES
 TEXT_LIMIT, TEXT_OVERLAP = 4_000, 200
 PARAGRAPH_LIMIT, PARAGRAPH_OVERLAP = 500, 50
 CONTAINER_TOKENS = 2_048
+NEIGHBOURS, LEAST_SIMILARITY, DIMENSIONS = 10, 0.90, 64
+#: Lists searched for each vector: with a least similarity, and without one.
+NEAR_PROBES, ALL_PROBES = 3, 24
+#: Queries per collection for which the loss is measured by brute force.
+MEASURED = 500
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# ---------------------------------------------------------------- problem 3
+
+
+def _collections(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    child = lambda t, i: _table(spark, sf, t).select(F.concat("memory_id", F.lit("#"), i).alias("key"), "embedding")
+    return {
+        "fake_queries": _table(spark, sf, "fake_queries").select(F.col("query_id").alias("key"), "embedding"),
+        "content_chunks": child("content_chunks", "chunk_index"),
+        "paragraphs": child("paragraphs", "paragraph_index"),
+    }
+
+
+def _neighbours(spark: SparkSession, sf: str, probes: int, least: float | None = None) -> DataFrame:
+    each = [similar_vectors(df, "key", "embedding", NEIGHBOURS, DIMENSIONS, least, probes=probes).withColumn("collection", F.lit(name)) for name, df in _collections(spark, sf).items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+def p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 10 most similar vectors for every vector of the three collections."""
+    return _neighbours(spark, sf, ALL_PROBES)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of which one is among the 10 most similar of the other, with a cosine of at least 0.90."""
+    near = _neighbours(spark, sf, NEAR_PROBES, LEAST_SIMILARITY).where(F.col("similarity") >= LEAST_SIMILARITY)
+    return near.select("collection", F.least("key", "neighbour").alias("key_a"), F.greatest("key", "neighbour").alias("key_b")).distinct()
+
+
+def p3_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Per collection, the share of the exact 10 most similar that p3_neighbours finds, over some queries."""
+    out = None
+    for name, df in _collections(spark, sf).items():
+        fine = df.select(F.col("key").alias("k"), unit(F.col("embedding"), DIMENSIONS).alias("v")).where("k is not null and v is not null")
+        queries = fine.orderBy(F.xxhash64("k", F.lit(1)), "k").limit(2 * MEASURED).toPandas().drop_duplicates("k").head(MEASURED)
+        exact = exact_neighbours(df, "key", "embedding", queries, NEIGHBOURS, DIMENSIONS)
+        found = similar_vectors(df, "key", "embedding", NEIGHBOURS, DIMENSIONS, probes=ALL_PROBES).select("key", "neighbour", F.lit(1).alias("hit"))
+        one = exact.join(found, ["key", "neighbour"], "left").agg(F.count(F.lit(1)).alias("exact"), F.count("hit").alias("found"))
+        one = one.select(F.lit(name).alias("collection"), "exact", "found", (F.col("found") / F.col("exact")).alias("recall"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---------------------------------------------------------------- problem 4
 
 
@@ -79,7 +128,31 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_shares(spark, sf).where("not reachable").select("source")
 
 
+# ---------------------------------------------------------------- problem 8
+
+
+def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Score, probability and worst window of every document."""
+    documents = _table(spark, sf, "documents").select("doc_id", "text")
+    return score_abuse(documents, "doc_id", "text", _table(spark, sf, "review_labels").select("doc_id", "abusive"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with abusive content."""
+    return p8_scores(spark, sf).where("flagged and doc_id is not null").select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source, the share of documents with abusive content and the mean probability."""
+    scores = p8_scores(spark, sf).groupBy("doc_id").agg(F.max("probability").alias("probability"), F.max("flagged").alias("flagged"))
+    sources = _table(spark, sf, "documents").select("doc_id", source_name(F.col("source")).alias("source")).groupBy("doc_id").agg(F.min("source").alias("source"))
+    flagged = F.sum(F.col("flagged").cast("int"))
+    return sources.join(scores, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), flagged.alias("flagged"), (flagged / F.count(F.lit(1))).alias("rate"), F.avg("probability").alias("mean_probability"))
+
+
 QUERIES = {
+    "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p3_recall": p3_recall,
+    "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
     "p4_found": p4_found, "p4_pieces": p4_pieces,
     "p6_found": p6_found, "p6_containers": p6_containers, "p6_fill": p6_fill,
     "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares,

@@ -4,7 +4,13 @@ _TOKENS = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\p{
 _TOTAL = _TOKENS.format("text")
 _LONGEST = r"list_max(list_transform(regexp_split_to_array({0}, '[\p{{Z}}\t-\r\x1c-\x1f\x85.!?。！？]'), lambda x: length(x)))"
 
+_VECTORS = """{0} as (select key, v from (select {2} key, embedding::double[] v from {1}) where len(v) = 64 and list_sum(list_transform(v, lambda x: abs(x))) > 0 group by all)"""
+_PAIRS = """select '{1}' collection, a.key key_a, b.key key_b from {0} a join {0} b on a.key < b.key where list_cosine_similarity(a.v, b.v) >= 0.9"""
+
 ORACLES = {
+    "p3_found": "with "
+    + ", ".join([_VECTORS.format("q", "fake_queries", "query_id"), _VECTORS.format("c", "content_chunks", "memory_id || '#' || chunk_index"), _VECTORS.format("p", "paragraphs", "memory_id || '#' || paragraph_index")])
+    + " union all ".join(["", _PAIRS.format("q", "fake_queries"), _PAIRS.format("c", "content_chunks"), _PAIRS.format("p", "paragraphs")]).replace(" union all ", " ", 1),
     "p4_found": f"""
 select distinct 'session_text' field_name, memory_id record_key, case when {_LONGEST.format("session_text")} > 4000 then 'forced' else 'natural' end cut
 from memories where length(session_text) > 4000
