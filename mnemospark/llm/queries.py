@@ -10,6 +10,7 @@ from mnemospark.llm.ann import exact_neighbours, similar_vectors, unit
 from mnemospark.llm.chunking import split_oversized
 from mnemospark.llm.mixing import mix
 from mnemospark.llm.packing import pack
+from mnemospark.llm.pii import redact
 from mnemospark.llm.sql import ORACLES as ORACLES
 
 TEXT_LIMIT, TEXT_OVERLAP = 4_000, 200
@@ -26,6 +27,23 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# ---------------------------------------------------------------- problem 1
+
+
+def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Session texts and facts with placeholders for personal information, and where it was."""
+    speakers = _table(spark, sf, "samples").select(F.explode(F.array("speaker_a", "speaker_b")).alias("name")).distinct()
+    given = sorted(r["name"] for r in speakers.where("name is not null").collect())  # samples doesn't grow
+    texts = _table(spark, sf, "memories").select(F.lit("session_text").alias("field_name"), F.col("memory_id").alias("record_key"), F.col("session_text").alias("text"))
+    facts = _table(spark, sf, "knowledge_points").select(F.lit("fact").alias("field_name"), F.concat("memory_id", F.lit("#"), "kp_index").alias("record_key"), F.col("fact").alias("text"))
+    return redact(texts.unionByName(facts), ["field_name", "record_key"], "text", given)
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Each record and kind of personal information in it."""
+    return p1_redacted(spark, sf).where("record_key is not null").select("field_name", "record_key", F.explode("kinds").alias("kind")).distinct()
+
+
 # ---------------------------------------------------------------- problem 3
 
 
@@ -151,6 +169,7 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_redacted": p1_redacted,
     "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p3_recall": p3_recall,
     "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
     "p4_found": p4_found, "p4_pieces": p4_pieces,
