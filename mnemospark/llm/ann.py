@@ -11,7 +11,7 @@ a block of queries are scanned as one product of the queries with the decoded co
 has the same sums; what the scan keeps is reranked by exact cosine. Found pairs count for
 both their vectors, since every vector is both a query and held.
 
-Equal vectors are searched once, and their keys brought in afterwards.
+Of many equal vectors only a few are held, which are the neighbours of the others.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.session import partitions_for
+from mnemospark.session import cut, partitions_for
 
 #: Vectors in the sample on which the index is fitted, at most about this many.
 SAMPLE = 20_000
@@ -129,18 +130,23 @@ def fit(sample: np.ndarray, lists: int, seed: int = 5) -> Index:
 # ---------------------------------------------------------------- search
 
 
-def unit(vector: Column, dims: int) -> Column:
-    """``vector`` if it can have neighbours, else null: ``dims`` numbers, none null or NaN, not all zero."""
-    fine = (F.size(vector) == dims) & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(vector, lambda v: v != 0)
-    return F.when(vector.isNotNull() & fine, vector)
+def _valid(x: np.ndarray) -> np.ndarray:
+    """Rows that can have neighbours: all elements finite, not all zero."""
+    return np.isfinite(x).all(1) & (x != 0).any(1)
 
 
-def _rows(vectors: pd.Series) -> np.ndarray:
-    x = np.stack(vectors.to_numpy()).astype(np.float64)
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x /= np.abs(x).max(1, keepdims=True)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _vectors(column: pa.Array, dims: int) -> np.ndarray:
+    """The rows of a list column whose rows all have ``dims`` elements; null elements as NaN."""
+    flat = column.flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dims)
+
+
 def _matrix(packed: pd.Series, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(packed), np.float32).reshape(-1, dims)
 
@@ -204,46 +210,52 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 10, dims: int
     spark = df.sparkSession
     if dims % 2:
         raise ValueError("dims must be even")
-    rows = df.select(F.col(key).cast("string").alias("k"), unit(F.col(vector).cast("array<float>"), dims).alias("v")).where("k is not null and v is not null")
+    rows = _searchable(df, key, vector, dims)
     count = df.count()
     every = max(1, count // SAMPLE)
     sample = rows.where(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).orderBy(F.xxhash64("k"), "k").limit(SAMPLE).toPandas()
-    out_schema = "key string, other string, similarity double"
-    if not len(sample):
+    x = np.stack(sample["v"].to_numpy()).astype(np.float32) if len(sample) else np.zeros((0, dims), np.float32)
+    x = x[_valid(x)]
+    if not len(x):
         return spark.createDataFrame([], "key string, neighbour string, similarity double").toDF(key, "neighbour", "similarity")
-    index = fit(_rows(sample["v"]), lists or max(1, round(count**0.5)))
+    x = _units(x)
+    index = fit(x, lists or max(1, round(count**0.5)))
     held = spark.sparkContext.broadcast(index)  # lists x dims floats
 
-    # equal vectors (up to length) once, under the smallest of their keys
-    scaled = F.transform("v", lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    print_ = F.xxhash64(F.transform(scaled, lambda x: F.round(x / norm, 6)))
-    marked = rows.select("k", "v", print_.alias("h"), F.xxhash64(print_, F.element_at(F.transform(scaled, lambda x: F.round(x / norm, 6)), 1)).alias("h2"))
-    marked = marked.dropDuplicates(["h", "h2", "k"])
-    same = Window.partitionBy("h", "h2")
-    marked = marked.withColumn("top", F.min("k").over(same)).withColumn("n", F.count(F.lit(1)).over(same))
-    groups = marked.where("n > 1").select("top", "k")
-    single = marked.where("k = top").select("k", "v")
-
-    parts = partitions_for(count, 20_000)
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # of more than k + 1 equal vectors, those with the smallest k + 1 keys are searched for all
+    keys = rows.select("k", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2")).distinct()
+    crowded = cut(keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1))
+    extra = None
+    if not crowded.isEmpty():
+        members = keys.join(crowded.select("h1", "h2"), ["h1", "h2"])
+        order = Window.partitionBy("h1", "h2").orderBy("k")
+        few = cut(members.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1))
+        extra = cut(members.join(few.select("h1", "h2", "k"), ["h1", "h2", "k"], "left_anti"))
+        rows = rows.join(extra.select("k"), "k", "left_anti")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = held.value
-        for frame in frames:
-            if not len(frame):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _vectors(batch.column("v"), dims)
+            fine = _valid(x)
+            names, x = batch.column("k").filter(pa.array(fine)), x[fine]
+            if not len(x):
                 continue
-            x = _rows(frame["v"])
-            near = ix.nearest(x, probes)
-            codes = ix.encode(x)
-            packed = (codes[:, 0::2] | (codes[:, 1::2] << 4)) if codes.shape[1] % 2 == 0 else np.pad(codes, ((0, 0), (0, 1)))[:, 0::2] | (np.pad(codes, ((0, 0), (0, 1)))[:, 1::2] << 4)
-            vecs = [r.tobytes() for r in x]
+            x = _units(x)
+            near, codes = ix.nearest(x, probes), ix.encode(x)
+            codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
+            packed = codes[:, 0::2] | (codes[:, 1::2] << 4)
+            vecs, held_codes = pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in packed], pa.binary())
             for i in range(near.shape[1]):
-                yield pd.DataFrame({"list": near[:, i], "key": frame["k"], "vec": vecs, "code": [r.tobytes() for r in packed] if i == 0 else None})
+                code = held_codes if i == 0 else pa.nulls(len(x), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(near[:, i].astype(np.int32)), names, vecs, code], names=["list", "key", "vec", "code"])
 
-    placed = single.mapInPandas(place, "list int, key string, vec binary, code binary")
+    placed = rows.mapInArrow(place, "list int, key string, vec binary, code binary")
     # long lists are cut into blocks, each searched by all that look into the list
-    blocks = _blocks(sample, index, count)
-    if max(blocks.values(), default=1) > 1:
+    blocks = _blocks(x, index, count)
+    if blocks:
         many = spark.createDataFrame(list(blocks.items()), "list int, blocks int")  # a row per list
         placed = placed.join(F.broadcast(many), "list", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
@@ -251,43 +263,54 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 10, dims: int
         placed = placed.withColumn("code", F.when(F.col("block") == F.col("own"), F.col("code"))).select("list", "block", "key", "vec", "code")
     else:
         placed = placed.withColumn("block", F.lit(0))
-    found = placed.repartition(parts, "list", "block").groupBy("list", "block").applyInPandas(lambda pdf: _scan(pdf, held.value, k, least, dims), out_schema)
-
-    # the smallest k + 1 keys of a group of equal vectors stand for it among the neighbours
-    few = groups.withColumn("n", F.row_number().over(Window.partitionBy("top").orderBy("k"))).where(F.col("n") <= k + 1).select("top", F.col("k").alias("member"))
-    pairs = found.join(groups.select(F.col("top").alias("key"), F.col("k").alias("as_key")), "key", "left")
-    pairs = pairs.join(few.select(F.col("top").alias("other"), F.col("member").alias("as_other")), "other", "left")
-    pairs = pairs.select(F.coalesce("as_key", "key").alias("key"), F.coalesce("as_other", "other").alias("other"), "similarity")
-    within = groups.join(few, "top").where("k <> member").select(F.col("k").alias("key"), F.col("member").alias("other"), F.lit(1.0).alias("similarity"))
-    pairs = pairs.unionByName(within).repartition("key").where("key <> other").groupBy("key", "other").agg(F.max("similarity").alias("similarity"))
+    parts = partitions_for(count, 20_000)
+    pairs = placed.repartition(parts, "list", "block").groupBy("list", "block").applyInPandas(lambda pdf: _scan(pdf, held.value, k, least, dims), "key string, other string, similarity double")
+    pairs = pairs.repartition("key").groupBy("key", "other").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("key").orderBy(F.desc("similarity"), "other")
-    ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("key", "other", "similarity")
+    if extra is not None:
+        same = extra.withColumnRenamed("k", "key").join(few.where(F.col("n") <= k).withColumnRenamed("k", "other"), ["h1", "h2"])
+        ranked = ranked.unionByName(same.select("key", "other", F.lit(1.0).alias("similarity")))
     return ranked.select(F.col("key").alias(key), F.col("other").alias("neighbour"), "similarity")
 
 
-def _blocks(sample: pd.DataFrame, index: Index, count: int) -> dict[int, int]:
-    """Into how many blocks each list is cut, from its share of the sample."""
-    near = index.nearest(_rows(sample["v"]), 1)[:, 0]
+def _searchable(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
+    """``k, v`` of the rows with a key and a vector of the right size; the elements are looked at later."""
+    return df.select(F.col(key).cast("string").alias("k"), F.col(vector).cast("array<float>").alias("v")).where(F.col("k").isNotNull() & (F.size("v") == dims))
+
+
+def _blocks(sample: np.ndarray, index: Index, count: int) -> dict[int, int]:
+    """Into how many blocks each long list is cut, from its share of the sample."""
+    near = index.nearest(sample, 1)[:, 0]
     share = np.bincount(near, minlength=len(index.centroids)) * (count / max(1, len(sample)))
     return {i: int(-(-n // BLOCK)) for i, n in enumerate(share) if n > BLOCK}
 
 
+def measured_queries(df: DataFrame, key: str, vector: str, n: int, dims: int = 64) -> pd.DataFrame:
+    """The first ``n`` keys in order of a hash, with their vectors (``k, v``)."""
+    some = _searchable(df, key, vector, dims).orderBy(F.xxhash64("k", F.lit(1)), "k").limit(2 * n).toPandas().drop_duplicates("k")
+    return some[[_valid(np.asarray(v, np.float32)[None])[0] for v in some["v"]]].head(n)
+
+
 def exact_neighbours(df: DataFrame, key: str, vector: str, queries: pd.DataFrame, k: int = 10, dims: int = 64) -> DataFrame:
     """Brute force for a bounded frame of queries (``k, v``), to measure the loss."""
-    names, q = queries["k"].to_numpy(), _rows(queries["v"])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame):
+    names = queries["k"].to_numpy()
+    q = _units(np.stack(queries["v"].to_numpy())).astype(np.float64) if len(queries) else np.zeros((0, dims))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _vectors(batch.column("v"), dims) if batch.num_rows else np.zeros((0, dims), np.float32)
+            fine = _valid(x)
+            if not fine.any() or not len(q):
                 continue
-            x, other = _rows(frame["v"]), frame["k"].to_numpy()
-            s = q.astype(np.float64) @ x.T.astype(np.float64)
+            x, other = _units(x[fine]).astype(np.float64), batch.column("k").filter(pa.array(fine)).to_numpy(zero_copy_only=False)
+            s = q @ x.T
             s[names[:, None] == other[None, :]] = -2
-            n = min(k, s.shape[1])
+            n = min(2 * k, s.shape[1])
             top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            yield pd.DataFrame({"key": np.repeat(names, n), "neighbour": other[top].ravel(), "similarity": np.take_along_axis(s, top, 1).ravel()})
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(other[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], names=["key", "neighbour", "similarity"])
 
-    rows = df.select(F.col(key).cast("string").alias("k"), unit(F.col(vector).cast("array<float>"), dims).alias("v")).where("k is not null and v is not null").dropDuplicates(["k"])
     best = Window.partitionBy("key").orderBy(F.desc("similarity"), "neighbour")
-    near = rows.mapInPandas(run, "key string, neighbour string, similarity double").where("similarity > -1.5")
+    near = _searchable(df, key, vector, dims).mapInArrow(run, "key string, neighbour string, similarity double").where("similarity > -1.5")
+    near = near.groupBy("key", "neighbour").agg(F.max("similarity").alias("similarity"))
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(F.col("key").alias(key), "neighbour", "similarity")

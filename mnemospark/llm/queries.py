@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm.abuse import score_abuse, source_name
-from mnemospark.llm.ann import exact_neighbours, similar_vectors, unit
+from mnemospark.llm.ann import exact_neighbours, measured_queries, similar_vectors
 from mnemospark.llm.chunking import split_oversized
 from mnemospark.llm.mixing import mix
 from mnemospark.llm.packing import pack
@@ -76,8 +76,7 @@ def p3_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Per collection, the share of the exact 10 most similar that p3_neighbours finds, over some queries."""
     out = None
     for name, df in _collections(spark, sf).items():
-        fine = df.select(F.col("key").alias("k"), unit(F.col("embedding"), DIMENSIONS).alias("v")).where("k is not null and v is not null")
-        queries = fine.orderBy(F.xxhash64("k", F.lit(1)), "k").limit(2 * MEASURED).toPandas().drop_duplicates("k").head(MEASURED)
+        queries = measured_queries(df, "key", "embedding", MEASURED, DIMENSIONS)
         exact = exact_neighbours(df, "key", "embedding", queries, NEIGHBOURS, DIMENSIONS)
         found = similar_vectors(df, "key", "embedding", NEIGHBOURS, DIMENSIONS, probes=ALL_PROBES).select("key", "neighbour", F.lit(1).alias("hit"))
         one = exact.join(found, ["key", "neighbour"], "left").agg(F.count(F.lit(1)).alias("exact"), F.count("hit").alias("found"))
