@@ -275,8 +275,11 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 10, dims: int
 
 
 def _searchable(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
-    """``k, v`` of the rows with a key and a vector of the right size; the elements are looked at later."""
-    return df.select(F.col(key).cast("string").alias("k"), F.col(vector).cast("array<float>").alias("v")).where(F.col("k").isNotNull() & (F.size("v") == dims))
+    """``k, v`` of the rows with a key and a vector that can have neighbours (NaN counts as the largest element)."""
+    rows = df.select(F.col(key).cast("string").alias("k"), F.col(vector).cast("array<float>").alias("v"))
+    most, least, huge = F.array_max("v"), F.array_min("v"), F.lit(float("inf")).cast("float")
+    whole = F.array_contains("v", huge).isNotNull()  # null if an element is null and none is found
+    return rows.where(F.col("k").isNotNull() & (F.size("v") == dims) & whole & (most < huge) & (least > -huge) & ((most != 0) | (least != 0)))
 
 
 def _blocks(sample: np.ndarray, index: Index, count: int) -> dict[int, int]:
