@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemospark.plans import lineage, moments
+from mnemospark.plans import core, lineage, moments, oracles
 
-QUERIES = moments.QUERIES | lineage.QUERIES
-ORACLES = lineage.ORACLES
+QUERIES = core.QUERIES | moments.QUERIES | lineage.QUERIES
+ORACLES = oracles.ORACLES | lineage.ORACLES
