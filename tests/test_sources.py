@@ -1,0 +1,80 @@
+import json
+
+from pyspark.sql import functions as F
+
+from mnemospark import providers, schemas
+from mnemospark.sources.loaders import load, temporal_order
+from mnemospark.sources.store import MemoryStore, latest
+from mnemospark.streaming.ingest import ingest, windowed_counts
+
+TEXT = "The harbour opens at nine and closes late in the evening. The second sentence is about a boat that nobody wanted.\n\nA third paragraph speaks of something else that is long enough."
+
+
+def sessions(spark, rows):
+    return spark.createDataFrame([(i, None, None, t, None, c) for i, t, c in rows], schemas.MEMORIES)
+
+
+def test_store(spark, tmp_path):
+    store = MemoryStore(spark, str(tmp_path))
+    assert store.count() == 0 and not store.delete("x")
+    empty = spark.createDataFrame([], schemas.FAKE_QUERIES)
+    store.save(**providers.memorize(sessions(spark, [("a", TEXT, "1"), ("b", TEXT[:70], "1"), ("n", None, "1")]), empty))
+    assert store.count() == 3 and store.load("fake_queries").where("memory_id = 'a'").count() > 0
+    store.save(memories=sessions(spark, [("a", "old", "1"), ("a", "new", "2")]))  # same id twice: the last one
+    assert store.get("a").first()["session_text"] == "new" and store.load("fake_queries").where("memory_id = 'a'").count() == 0
+    assert store.load("paragraphs").where("memory_id = 'b'").count() == 1
+    assert {r[0] for r in store.missing(store.load().select("memory_id"), "paragraphs").collect()} == {"a", "n"}
+    assert store.delete("b") and not store.delete("b") and store.load("paragraphs").where("memory_id = 'b'").count() == 0
+    store.clear()
+    assert store.count() == 0
+
+
+def test_json_documents(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps([{"memory_id": "a", "session_text": "t", "paragraphs": ["p"]}, {"memory_id": "b", "metadata": {"k": "v"}}]))
+    df = MemoryStore(spark, str(tmp_path / "s")).read_json(str(tmp_path / "m.json"))
+    assert df.count() == 2 and df.where("memory_id = 'b'").first()["metadata"] == {"k": "v"}
+
+
+def test_latest(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "y"), ("b", None, "z"), (None, 9, "n")], "k string, t int, v string")
+    assert sorted((r["k"], r["v"]) for r in latest(df, ["k"], "t").collect()) == [("a", "y"), ("b", "z")]
+
+
+def test_samples(spark, tmp_path):
+    turns = [{"speaker": "A", "text": f"t{i}"} for i in range(3)]
+    sample = {"sample_id": "s", "conversation": {"session_1": turns, "session_1_date_time": "1:05 pm on 8 May, 2023", "session_2": turns[:2], "session_3": [{"role": "u", "content": "c"}] * 3, "session_5": turns}, "qa": [{"question": "q", "answer": "a", "category": 1, "evidence": ["D1:3", "D3:1", "D1:2"]}, {"question": "r", "answer": "b", "category": 2, "evidence": ["D2:1"]}, {"question": "x", "answer": "", "category": 1, "evidence": []}]}
+    (tmp_path / "a.json").write_text(json.dumps([sample]))
+    d = load(spark, "Samples", str(tmp_path / "a.json"))
+    assert sorted(r["session_id"] for r in d.sessions.collect()) == ["s_s1", "s_s3"]
+    assert d.sessions.where("session_id = 's_s3'").first()["text"] == "u: c\nu: c\nu: c"
+    assert [(r["ev_pos"], r["session_id"]) for r in d.evidence.orderBy("ev_pos").collect()] == [(0, "s_s1"), (1, "s_s3")]
+    assert d.queries.count() == 1 and d.summary().first()["sessions"] == 2
+
+
+def test_haystacks(spark, tmp_path):
+    two = [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]
+    entry = lambda q, ids, ans: {"question_id": q, "question": "?", "answer": "!", "question_type": "t", "answer_session_ids": ans, "haystack_session_ids": ids, "haystack_sessions": [two if i != "short" else two[:1] for i in ids], "haystack_dates": ["2023-05-01"] * len(ids)}
+    (tmp_path / "b.json").write_text(json.dumps([entry("1", ["x", "y"], ["y", "zz"]), entry("2", ["x", "short"], ["short"]), entry("3", ["x"], ["gone"])]))
+    d = load(spark, "haystacks", str(tmp_path / "b.json"))
+    assert sorted(r["session_id"] for r in d.sessions.collect()) == ["x", "y"]
+    assert sorted((r["query_id"], r["session_id"]) for r in d.evidence.collect()) == [("1", "y"), ("2", "short")] and d.queries.count() == 2
+
+
+def test_temporal_order(spark):
+    rows = [("g", "a", "2023-05-01"), ("g", "b", "1:05 pm on 8 May, 2021"), ("g", "c", "soon"), ("g", "d", "05/01/2023"), ("g", "e", None), ("g", "f", "2020-01-01T10:00:00")]
+    df = temporal_order(spark.createDataFrame(rows, "grp string, id string, date string"), "grp", "date", "id")
+    assert [r["id"] for r in df.orderBy("seq").collect()] == ["f", "b", "a", "d", "c", "e"]
+
+
+def test_streams(spark, tmp_path):
+    src, store = str(tmp_path / "in"), MemoryStore(spark, str(tmp_path / "store"))
+    sessions(spark, [("a", TEXT, "1"), ("a", TEXT + " More.", "2"), ("b", TEXT, "1")]).coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(schemas.MEMORIES).parquet(src)
+    ingest(stream, store, str(tmp_path / "cp"), threshold=0.5).awaitTermination()
+    assert store.count() == 2 and store.get("a").first()["session_text"].endswith("More.")
+    sessions(spark, [("c", TEXT, "3")]).coalesce(1).write.mode("append").parquet(src)
+    ingest(stream, store, str(tmp_path / "cp"), threshold=0.5).awaitTermination()
+    linked = store.load("fake_queries").where("memory_id = 'c' and size(parent_ids) > 0")
+    assert store.count() == 3 and linked.count() > 0
+    events = spark.createDataFrame([("2024-01-01 00:10:00", "x"), ("2024-01-01 00:50:00", "x"), ("2024-01-01 01:10:00", "y")], "ts string, k string").select(F.to_timestamp("ts").alias("ts"), "k")
+    assert sorted(r["n"] for r in windowed_counts(events, "ts", "k").collect()) == [1, 2]
