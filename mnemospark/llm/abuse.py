@@ -35,6 +35,8 @@ LEVEL = 3
 CACHED = 200_000
 #: Bytes of a dictionary at most.
 DICTIONARY = 112_000
+#: Windows of ordinary documents with this score or more are taken for passages that reviewers missed.
+OVERSIGHT = 8
 #: Characters of a window, and of one that is a single word, that is scored at least.
 SHORTEST, SHORTEST_WORD = 8, 6
 
@@ -184,7 +186,8 @@ def train(ordinary_texts: list[str], seed: int = 11) -> Model:
     model = Model(first.abusive, _dictionary(known + fine), 0.0, 0.5)
     high = np.sort(model.scores(held))
     # a window counts as often as it occurs, and a short one that many documents share counts in full
-    low_windows = sorted(set(good_held) | set(common))
+    held_fine = [w for w, s in zip(good_held, first.scores(good_held), strict=True) if s < OVERSIGHT or shared[w] > 2]
+    low_windows = sorted(set(held_fine) | set(common))
     low, times = model.scores(low_windows), np.array([shared[w] for w in low_windows], float)
     cuts = np.arange(3.0, 20.0, 0.5)
     missed = np.searchsorted(high, cuts, side="left") / max(1, len(high))
@@ -194,7 +197,7 @@ def train(ordinary_texts: list[str], seed: int = 11) -> Model:
     final = Model(_dictionary(seen + held), model.ordinary, model.threshold, model.slope)
     # nothing that several ordinary documents share may be flagged, save phrases they share by oversight
     top = final.scores(common)
-    final.threshold = max(final.threshold, float(top[top < 8].max(initial=0)) + 0.5)
+    final.threshold = max(final.threshold, float(top[top < OVERSIGHT].max(initial=0)) + 0.5)
     return final
 
 

@@ -64,7 +64,8 @@ class Index:
 
 
 def _extra(dims: int) -> float:
-    return (dims - 1) * THRESHOLD**2 / (1 - THRESHOLD**2) - 1
+    """What the parallel part weighs more than the rest; never less."""
+    return max(0.0, (dims - 1) * THRESHOLD**2 / (1 - THRESHOLD**2) - 1)
 
 
 def _assign(x: np.ndarray, books: np.ndarray, sweeps: int) -> np.ndarray:
@@ -155,8 +156,8 @@ def _scan(pdf: pd.DataFrame, index: Index, k: int, least: float | None, dims: in
     """Neighbours, in both directions, between the vectors that look into a block and those it holds."""
     held = (pdf["code"].notna()).to_numpy()
     if not held.any():
-        return pd.DataFrame({"key": [], "other": [], "similarity": []})
-    names = pdf["key"].to_numpy()
+        return pd.DataFrame({"key": pd.Series([], dtype=object), "other": pd.Series([], dtype=object), "similarity": np.zeros(0)})
+    names = pdf["key"].to_numpy(dtype=object)
     x = _matrix(pdf["vec"], dims)
     items, item_names = x[held], names[held]
     packed = np.frombuffer(b"".join(pdf["code"][held]), np.uint8).reshape(held.sum(), -1)
@@ -187,8 +188,8 @@ def _scan(pdf: pd.DataFrame, index: Index, k: int, least: float | None, dims: in
             found_q.append(names[at + a[keep]])
             found_i.append(item_names[b[keep]])
             found_s.append(exact[keep])
-    out = pd.DataFrame({"key": np.concatenate(found_q), "other": np.concatenate(found_i), "similarity": np.concatenate(found_s)}) if found_q else pd.DataFrame({"key": [], "other": [], "similarity": []})
-    both = pd.concat([out, out.rename(columns={"key": "other", "other": "key"})], ignore_index=True)
+    q, i, sims = (np.concatenate(x) if x else np.zeros(0, object) for x in (found_q, found_i, found_s))
+    both = pd.DataFrame({"key": pd.Series(np.concatenate([q, i]), dtype=object), "other": pd.Series(np.concatenate([i, q]), dtype=object), "similarity": np.concatenate([sims, sims]).astype(float)})
     if least is None and len(both):
         both = both.drop_duplicates(["key", "other"]).sort_values(["similarity", "other"], ascending=[False, True]).groupby("key", sort=False).head(k)
     return both
