@@ -26,16 +26,19 @@ def candidates_index(subs: DataFrame, hits: DataFrame) -> DataFrame:
     ).withColumn("matched", F.transform("m", lambda e: e["text"])).drop("m")
 
 
-def best_queries_exact(subs: DataFrame, sims: DataFrame) -> DataFrame:
+def best_queries_exact(sims: DataFrame, named: DataFrame) -> DataFrame:
     """Per sub-query and memory the one best fake query, not below 0: the exact mode's hits.
 
-    ``sims`` (``sub_id, query_id, memory_id, pos, text, sim``); ties go to the lower position. A
-    memory is a candidate only if its best score is above 0.
+    ``sims`` (``sub_id, query_id, sim``), ``named`` (``query_id, memory_id, pos, text``); ties go to the lower position. A
+    memory is a candidate only if its best score is above 0. The best is a partial aggregate, so
+    what is shuffled doesn't grow with a memory's queries; texts are joined to the winners only.
     """
-    w = Window.partitionBy("sub_id", "memory_id").orderBy(F.desc("sim"), "pos", "query_id")
-    best = sims.withColumn("n", F.row_number().over(w)).where("n = 1").withColumn("score", F.greatest("sim", F.lit(0.0)))
+    first = F.min(F.struct((-F.col("sim")).alias("s"), "pos", "query_id"))
+    best = sims.join(named.select("query_id", "memory_id", "pos"), "query_id").groupBy("sub_id", "memory_id").agg(first.alias("b"))
+    best = best.select("sub_id", "memory_id", F.col("b.query_id").alias("query_id"), F.greatest(-F.col("b.s"), F.lit(0.0)).alias("score"))
     order = Window.partitionBy("sub_id").orderBy("memory_id")
-    return best.withColumn("rank", F.row_number().over(order)).where("score > 0").select("sub_id", "query_id", "memory_id", "text", "score", "rank")
+    ranked = best.withColumn("rank", F.row_number().over(order)).where("score > 0")
+    return ranked.join(named.select("query_id", "text"), "query_id")
 
 
 def chunk_scores(candidates: DataFrame, subs: DataFrame, chunks: DataFrame, mode: str, top_k: int, dims: int = 64) -> DataFrame:
@@ -79,7 +82,7 @@ def retrieve(subs: DataFrame, fake_queries: DataFrame, chunks: DataFrame, config
         near = knn(subs, "sub_id", fake_queries, "query_id", config.top_k_per_sub)
         hits = near.join(named, "query_id").withColumn("score", F.greatest("sim", F.lit(0.0)))
     else:
-        hits = best_queries_exact(subs, similarities(subs, "sub_id", fake_queries, "query_id").join(named, "query_id"))
+        hits = best_queries_exact(similarities(subs, "sub_id", fake_queries, "query_id"), named)
     found = candidates_index(subs, hits)
     return fuse(found, chunk_scores(found, subs, chunks, mode, config.top_k_q2c), config)
 

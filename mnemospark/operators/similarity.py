@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 #: Queries that are sent to every task at most, and rows of a block beyond that.
 BROADCAST_QUERIES = 20_000
-BLOCK = 20_000
+BLOCK = 5_000
+#: Scores that a task holds at a time.
+SCORES = 4_000_000
 
 
 def _matrix(column: pa.Array | pd.Series, dims: int) -> np.ndarray:
@@ -43,16 +45,17 @@ def similarities(queries: DataFrame, query: str, pool: DataFrame, item: str, vec
     p = pool.where(fine).select(F.col(item).alias("p"), F.col(vector).cast("array<double>").alias("v"))
     schema = f"q {q.schema['q'].dataType.simpleString()}, p {p.schema['p'].dataType.simpleString()}, sim double"
 
-    def pairs(qn: np.ndarray, qx: np.ndarray, pn: np.ndarray, px: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        s = np.round(qx @ px.T, 9)
-        keep = np.ones(s.shape, bool)
-        if least is not None:
-            keep &= s >= least
-        if top is not None and s.shape[1] > top:
-            cut = -np.partition(-s, top - 1, axis=1)[:, top - 1]
-            keep &= s >= cut[:, None]
-        a, b = np.nonzero(keep)
-        return qn[a], pn[b], s[a, b]
+    def pairs(qn: np.ndarray, qx: np.ndarray, pn: np.ndarray, px: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        some = max(1, SCORES // max(1, len(px)))  # so many queries at a time
+        for at in range(0, len(qx), some):
+            s = np.round(qx[at : at + some] @ px.T, 9)
+            keep = np.ones(s.shape, bool)
+            if least is not None:
+                keep &= s >= least
+            if top is not None and s.shape[1] > top:
+                keep &= s >= -np.partition(-s, top - 1, axis=1)[:, top - 1 : top]
+            a, b = np.nonzero(keep)
+            yield qn[at + a], pn[b], s[a, b]
 
     if q.count() <= BROADCAST_QUERIES:
         local = q.toPandas()  # bounded by BROADCAST_QUERIES
@@ -61,8 +64,8 @@ def similarities(queries: DataFrame, query: str, pool: DataFrame, item: str, vec
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows and len(qn):
-                    a, b, s = pairs(qn, qx, batch.column("p").to_numpy(zero_copy_only=False), _unit(_matrix(batch.column("v"), dims)))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["q", "p", "sim"])
+                    for a, b, s in pairs(qn, qx, batch.column("p").to_numpy(zero_copy_only=False), _unit(_matrix(batch.column("v"), dims))):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["q", "p", "sim"])
 
         out = p.mapInArrow(run, schema)
     else:
@@ -71,10 +74,14 @@ def similarities(queries: DataFrame, query: str, pool: DataFrame, item: str, vec
         pb = p.withColumn("pb", F.pmod(F.xxhash64("p"), F.lit(np_)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            none = pd.DataFrame({"q": pd.Series([], dtype=object), "p": pd.Series([], dtype=object), "sim": np.zeros(0)})
             if not len(left) or not len(right):
-                return pd.DataFrame({"q": left["q"][:0], "p": right["p"][:0], "sim": np.zeros(0)})
-            a, b, s = pairs(left["q"].to_numpy(), _unit(_matrix(left["v"], dims)), right["p"].to_numpy(), _unit(_matrix(right["v"], dims)))
-            return pd.DataFrame({"q": a, "p": b, "sim": s})
+                return none
+            found = [x for x in pairs(left["q"].to_numpy(), _unit(_matrix(left["v"], dims)), right["p"].to_numpy(), _unit(_matrix(right["v"], dims))) if len(x[0])]
+            if not found:
+                return none
+            a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pd.DataFrame({"q": pd.Series(a, dtype=left["q"].to_numpy().dtype), "p": pd.Series(b, dtype=right["p"].to_numpy().dtype), "sim": s})
 
         out = qb.groupBy("qb", "pb").cogroup(pb.groupBy("qb", "pb")).applyInPandas(meet, schema)
     return out.select(F.col("q").alias(query), F.col("p").alias(item if item != query else "other"), "sim")

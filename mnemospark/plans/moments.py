@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.operators.timestamps import normalise_moments
+from mnemospark.session import cut
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -36,6 +37,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of records of a sample and field that denote the same moment; repeated rows count once."""
     at = ["field_name", "sample_id", "moment"]
     moments = p2_moments(spark, sf).where("moment_status = 'moment' and record_key is not null and sample_id is not null").select(*at, "record_key").distinct()
+    moments = cut(moments)  # both sides of the join read it
     a, b = moments.withColumnRenamed("record_key", "key_a"), moments.withColumnRenamed("record_key", "key_b")
     return a.join(b, at).where("key_a < key_b").select("field_name", "key_a", "key_b").distinct()
 

@@ -34,9 +34,18 @@ def parse_date(c: str):
 
 
 def temporal_order(sessions: DataFrame, group: str, date: str, tie: str) -> DataFrame:
-    """Adds ``date_ts`` and ``seq``: dated sessions of a group by time, then undated ones, ties by ``tie``."""
-    dated = sessions.withColumn("date_ts", parse_date(date))
-    return dated.withColumn("seq", F.row_number().over(Window.partitionBy(group).orderBy(F.asc_nulls_last("date_ts"), tie)))
+    """Adds ``date_ts`` and ``seq``: dated sessions of a group by time, then undated ones, ties by ``tie``.
+
+    A group is ranked month by month, and each month begins where those before it end, so a large group
+    is sorted by many tasks.
+    """
+    dated = sessions.withColumn("date_ts", parse_date(date)).withColumn("__month", F.coalesce(F.date_format("date_ts", "yyyy-MM"), F.lit("undated")))
+    counts = dated.groupBy(F.col(group).alias("__g"), "__month").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("__g").orderBy("__month").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__g", F.col("__month").alias("__m"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(group, "__month").orderBy("date_ts", tie))
+    ranked = dated.withColumn("__within", within).join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__month") == F.col("__m")))
+    return ranked.withColumn("seq", (F.col("__within") + F.col("__before")).cast("int")).drop("__month", "__g", "__m", "__within", "__before")
 
 
 def load_samples(spark: SparkSession, path: str, min_turns: int = 3, categories: list[int] | None = None) -> Dataset:
