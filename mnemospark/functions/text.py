@@ -117,3 +117,22 @@ def paragraphs(text: str | Column, least: int = 50, most: int = 500) -> Column:
         return texts.map(lambda t: paragraphs_of(t, least, most))
 
     return split(F.col(text) if isinstance(text, str) else text)
+
+
+def sub_query_text(query: str | Column, keywords: str | Column) -> Column:
+    """What is embedded of a sub-query: the query, and its keywords if there are any."""
+    q, k = (F.col(x) if isinstance(x, str) else x for x in (query, keywords))
+    return F.concat_ws(" ", q, F.nullif(stripped(k), F.lit("")))
+
+
+def note_text(title: str | Column, insight: str | Column, content: str | Column) -> Column:
+    """What is embedded of a note: ``title. insight content``; null without a title."""
+    t, i, c = (F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")) for x in (title, insight, content))
+    return F.when(stripped(t) != "", stripped(F.concat(t, F.lit(". "), i, F.lit(" "), c)))
+
+
+def hash_buckets(text: str | Column, dims: int = 64) -> Column:
+    """The bucket of each word: what the default embedder counts."""
+    t = F.col(text) if isinstance(text, str) else text
+    words = F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dims).cast("int"))

@@ -19,7 +19,9 @@ from mnemospark.functions.vectors import cosine
 from mnemospark.operators import evaluation as ev
 from mnemospark.operators import retrieval as rt
 from mnemospark.operators import versioning as vs
+from mnemospark.operators.context import contexts
 from mnemospark.operators.similarity import knn, similarities, within_threshold
+from mnemospark.providers import embed
 from mnemospark.sources.loaders import temporal_order
 from mnemospark.sources.store import latest
 
@@ -220,6 +222,39 @@ def json_repair_points(s, sf):
     return items.select("memory_id", F.posexplode(jsonrepair.knowledge_points(raw)).alias("pos", "k")).select("memory_id", "pos", F.md5(F.concat_ws("|", "k.time", "k.subject", "k.fact", "k.entities_or_values")).alias("line_md5"))
 
 
+def json_repair_subqueries(s, sf):
+    f = _fake(s, sf).where("text is not null").groupBy("memory_id").agg(F.sort_array(F.collect_list(F.struct("pos", "query_id", "text"))).alias("l"))  # a memory's queries
+    raw = F.to_json(F.transform("l", lambda e: F.struct(e["text"].alias("query"), e["query_id"].alias("keywords"))))
+    return f.select("memory_id", F.posexplode(jsonrepair.sub_queries(raw, F.lit("raw"))).alias("pos", "q")).select("memory_id", "pos", F.md5("q.query").alias("query_md5"), "q.keywords")
+
+
+def json_repair_notes(s, sf):
+    f = _fake(s, sf).where("text is not null").groupBy("memory_id").agg(F.sort_array(F.collect_list(F.struct("pos", "query_id", "text"))).alias("l"))
+    raw = F.concat(F.lit("Notes: "), F.to_json(F.transform("l", lambda e: F.struct(e["query_id"].alias("title"), e["text"].alias("content"), F.array(e["query_id"], F.lit("x")).alias("tags")))))
+    return f.select("memory_id", F.posexplode(jsonrepair.notes(raw)).alias("pos", "n")).select("memory_id", "pos", "n.title", F.md5("n.content").alias("content_md5"), F.array_join("n.tags", ",").alias("tags"))
+
+
+def hash_embedding(s, sf):
+    d = _t(s, sf, "knowledge_points").dropDuplicates(["memory_id", "kp_index"]).select("memory_id", "kp_index", F.explode(text.hash_buckets("fact")).alias("bucket"))
+    counts = d.groupBy("memory_id", "kp_index", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("memory_id", "kp_index")))
+    return counts.select("memory_id", "kp_index", "bucket", F.round(F.col("n") / norm, 6).alias("weight"))
+
+
+def kp_topk(s, sf):
+    points = _t(s, sf, "knowledge_points").where("memory_id is not null and fact is not null").dropDuplicates(["memory_id", "kp_index"]).select("memory_id", "kp_index", embed("fact").alias("v"))
+    q = _fake(s, sf).where("text is not null").select("query_id", "memory_id", embed("text").alias("q"))
+    near = q.join(points, "memory_id").select("query_id", "kp_index", F.round(cosine("q", "v"), 9).alias("sim"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "kp_index")
+    return near.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+
+
+def answer_contexts(s, sf):
+    found = rt.retrieve(_subs(s, sf), _fake(s, sf), _chunks(s, sf), CONFIG)
+    points = _t(s, sf, "knowledge_points").dropDuplicates(["memory_id", "kp_index"])
+    return contexts(found, points, rt.enrich(found, _subs(s, sf), _paragraphs(s, sf), CONFIG), CONFIG)
+
+
 # ---------------------------------------------------------------- analyses
 
 
@@ -361,7 +396,7 @@ def stored_sessions(s, sf):
 QUERIES = {f.__name__: f for f in (
     cosine_pairs, cosine_variants, knn_top20, content_topk, best_chunk_per_memory, paragraph_topk, threshold_search, multiget,
     retrieve_index, retrieve_exact, rerank_shortcircuit, dag_chains, low_conf_enrich, responses, context_budget,
-    version_parents, version_graph, linked_kps, sliding_chunks, paragraph_split, session_text, turn_chunks, token_counts, session_order, json_repair_strings, json_repair_points,
+    version_parents, version_graph, linked_kps, sliding_chunks, paragraph_split, session_text, turn_chunks, token_counts, session_order, json_repair_strings, json_repair_points, json_repair_subqueries, json_repair_notes, hash_embedding, kp_topk, answer_contexts,
     max_sim_by_method, alignment_best_session, paired_stats, category_breakdown, pairwise_method_stats, method_summary, distance_matrix, directional_alignment, discriminability, hit_at_k,
     robustness, robustness_overall, style_drop, friedman_chi2, drift_checkpoints, usage_stats, ari_nmi, kmeans_labels, upsert_delete, incremental_missing, stored_sessions,
 )}

@@ -95,6 +95,11 @@ union all select session_id, 0, 0, 0, md5('') from sess where session_id not in
     "session_order": f"with {_SESS}, d as (select sample_id, session_id, coalesce(try_strptime(case when not regexp_matches(date, '^\\s|\\s$') then date end, '%I:%M %p on %d %B, %Y'), try_strptime(case when regexp_full_match(date, '\\d{{4}}-\\d+-\\d+') then date end, '%Y-%m-%d'), try_strptime(case when regexp_full_match(date, '\\d{{4}}-\\d+-\\d+T\\d+:\\d+:\\d+') then date end, '%Y-%m-%dT%H:%M:%S'), try_strptime(case when regexp_full_match(date, '\\d+/\\d+/\\d{{4}}') then date end, '%m/%d/%Y')) date_ts from sess) select sample_id, session_id, coalesce(strftime(date_ts, '%Y-%m-%d %H:%M:%S'), 'undated') date_ts, cast(row_number() over (partition by sample_id order by date_ts asc nulls last, session_id) as int) seq from d",
     "json_repair_strings": f"with {_SESS} select session_id, cast(i - 1 as int) pos, md5(coalesce(turns[i].text, '')) text_md5 from (select session_id, turns, unnest(range(1, len(turns) + 1)) i from sess)",
     "json_repair_points": "with kp as (select distinct on (memory_id, kp_index) * from knowledge_points) select memory_id, cast(row_number() over (partition by memory_id order by kp_index) - 1 as int) pos, md5(coalesce(time, '') || '|' || coalesce(subject, '') || '|' || coalesce(fact, '') || '|' || coalesce(entities_or_values, '')) line_md5 from kp",
+    "json_repair_subqueries": f"with {_FAKE} select memory_id, cast(row_number() over (partition by memory_id order by pos nulls first, query_id) - 1 as int) pos, md5(text) query_md5, query_id keywords from fake where text is not null and trim(text) <> ''",
+    "json_repair_notes": f"with {_FAKE} select memory_id, cast(row_number() over (partition by memory_id order by pos nulls first, query_id) - 1 as int) pos, query_id title, md5(text) content_md5, query_id || ',x' tags from fake where text is not null and text <> ''",
+    "hash_embedding": r"""with kp as (select distinct on (memory_id, kp_index) * from knowledge_points), w as (select memory_id, kp_index, unnest(regexp_extract_all(lower(fact), '[\p{L}\p{N}_]+')) w from kp),
+c as (select memory_id, kp_index, cast(('0x' || substr(md5(w), 1, 8))::bigint % 64 as int) bucket, count(*) n from w group by all)
+select memory_id, kp_index, bucket, round(n / sqrt(sum(n * n) over (partition by memory_id, kp_index)), 6) weight from c""",
     "max_sim_by_method": f"with {_BASE} select query, method, round(max(sim), 6) best, arg_min(pos, struct_pack(a := -sim, b := pos)) best_pos from sims group by all",
     "alignment_best_session": f"with {_BASE} select query, session, round(q2q, 6) q2q, round(q2p, 6) q2p, round(q2n, 6) q2n, round(q2r, 6) q2r, round(q2c, 6) q2c, round(gap, 6) gap from aligned",
     "paired_stats": f"with {_BASE} select {_PAIRED} from (select q2q a, q2c b from aligned)",

@@ -94,3 +94,28 @@ def test_tails():
     assert abs(stats.t_two_sided(2.228, 10) - 0.05) < 1e-4 and abs(stats.t_two_sided(-2.762, 29) - 0.00986) < 1e-4
     assert abs(stats.chi2_tail(9.488, 4) - 0.05) < 1e-4 and abs(stats.chi2_tail(3.841, 1) - 0.05) < 1e-4 and stats.chi2_tail(0, 3) == 1
     assert stats.t_two_sided(None, 5) is None and stats.t_two_sided(1.0, 0) is None
+
+
+def test_prompts_and_embed_texts(spark):
+    from mnemospark.functions.prompts import TEMPLATES, prompt
+
+    got = one(spark, prompt("fake_queries", "en", n=3, session=F.col("t")), t="x" * 5000)
+    assert "write 3 questions" in got and got.count("x") == 3000
+    assert all(set(v) == {"en", "zh"} for v in TEMPLATES.values())
+    assert one(spark, prompt("decompose", "fr", query=F.lit(None)), t="x").startswith("Split")
+    assert one(spark, text.sub_query_text("a", "b"), a="q", b=" ") == "q" and one(spark, text.sub_query_text("a", "b"), a="q", b="k") == "q k"
+    assert one(spark, text.note_text("a", "b", "c"), a="t", b="i", c="c") == "t. i c" and one(spark, text.note_text("a", "b", "c"), a=" ", b="i", c="c") is None
+
+
+def test_context():
+    from mnemospark.config import Config
+    from mnemospark.operators.context import NOTHING, render
+
+    c = Config(max_context_tokens=400, min_context_tokens=150, min_tail_tokens=100)
+    assert render([]) == NOTHING["en"] and render([], language="zh") == NOTHING["zh"]
+    facts = [("t", "s", "f" * 270, None)] * 4
+    low = render([{"final_score": 0.1, "points": facts, "paragraphs": ["excerpt"], "chains": [["a", "b"]]}] * 3, c)
+    assert low.count("### Memory") == 3 and "LOW" in low and "a -> b" not in low
+    high = render([{"final_score": 0.9, "points": [], "paragraphs": ["excerpt"], "chains": [["a", "b"]]}], c)
+    assert "HIGH" in high and "a -> b" in high and "excerpt" not in high
+    assert render([{"final_score": 0.9, "points": facts[:1], "chains": []}] * 9, c).count("### Memory") == 3
