@@ -3,15 +3,30 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def share_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it.
+
+    That is enough where they see the same files. Elsewhere the package comes with the job (``--py-files``).
+    """
+    here = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, here])
+    return spark
+
+
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
-    return (
+    return share_package(
         SparkSession.builder.master(f"local[{cores}]")
         .appName("mnemospark")
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
