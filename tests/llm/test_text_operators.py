@@ -48,8 +48,14 @@ def test_plan_uses_every_item_once():
 
         for c in p.of(np.full(n, length), np.arange(n)).tolist():
             filled[c] = filled.get(c, 0) + length
-    total = sum(k * v for k, v in histogram.items())
-    assert max(filled.values()) <= 100 and len(filled) == p.containers <= -(-total // 100) * 1.02 + 1
+    first_fit: list[int] = []  # first-fit decreasing, the usual yardstick
+    for length in sorted((x for x, n in histogram.items() for _ in range(n)), reverse=True):
+        at = next((i for i, used in enumerate(first_fit) if used + length <= 100), None)
+        if at is None:
+            first_fit.append(length)
+        else:
+            first_fit[at] += length
+    assert max(filled.values()) <= 100 and len(filled) == p.containers <= len(first_fit)
     assert packing.plan({}, 100).containers == 0
 
 
@@ -123,7 +129,7 @@ def test_mix_of_nothing(spark):
 # ---------------------------------------------------------------- splitting
 
 
-ALPHABET = st.text(st.sampled_from(list("ab. \n!é。") + ["word ", "\n\n", "x" * 9]), max_size=300)
+ALPHABET = st.lists(st.sampled_from([*"ab. \n!é。", "word ", "\n\n", "x" * 9]), max_size=120).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
