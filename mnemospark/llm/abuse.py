@@ -1,9 +1,10 @@
 """Abusive, hateful and explicit content by compression distance.
 
 Two zstandard dictionaries are trained, one on abusive and one on ordinary text. A window of a
-document is compressed with each. Text that one dictionary knows shrinks to a few bytes, so
-the bytes saved by the abusive one, above what the ordinary one saves, say how abusive the
-window is. A document's score is that of its worst window; the threshold is calibrated on
+document is compressed with each, whole and in runs of a few words. Text that one dictionary knows shrinks
+to a few bytes, so the bytes saved by the abusive one, above what the ordinary one saves, say how
+abusive a run is. A window's score is that of its worst run, so that ordinary words around a passage
+don't count against it. A document's score is that of its worst window; the threshold is calibrated on
 windows of both kinds that the dictionaries haven't seen.
 """
 
@@ -33,12 +34,16 @@ WINDOWS = 6_000
 WINDOW = 160
 LEVEL = 3
 CACHED = 200_000
+#: Runs that are compressed at a time.
+PACKED = 100_000
 #: Bytes of a dictionary at most.
 DICTIONARY = 112_000
 #: Windows of ordinary documents with this score or more are taken for passages that reviewers missed.
 OVERSIGHT = 8
 #: Characters of a window, and of one that is a single word, that is scored at least.
 SHORTEST, SHORTEST_WORD = 8, 6
+#: Words of the runs into which a window is cut, and the words from one run to the next.
+RUNS = ((3, 1), (6, 2), (12, 2))
 
 #: Letters of other scripts that look like Latin ones.
 _LOOKALIKES = dict(zip("аеорсухіѕԁјһкмтвнӏεοαρτνικυχ", "aeopcyxisdjhkmtbhleoaptvikux", strict=True))
@@ -94,6 +99,24 @@ def windows(text: str) -> Iterator[str]:
                 yield part[:last]
 
 
+def runs(text: str) -> Iterator[str]:
+    """A window in plain form, whole and as runs of its words; the last run of each length ends with it."""
+    yield text
+    words = text.split()
+    for n, step in RUNS:
+        if len(words) > n:
+            for i in (*range(0, len(words) - n, step), len(words) - n):
+                yield " ".join(words[i : i + n])
+
+
+@lru_cache(1)
+def short_insults() -> frozenset[str]:
+    """Insults in plain form too short to be scored by their bytes, without words that ordinary phrases use."""
+    fine = {w for x in abuse_corpus.ordinary() for w in plain(x).split()}
+    known = {plain(x) for some in abuse_corpus.INSULTS.values() for x in some}
+    return frozenset(x for x in known if len(x) < 12 and not fine & set(x.split()))
+
+
 def _disguises(phrase: str, word: str, rng: random.Random) -> list[str]:
     """``phrase`` with a word masked, with letters exchanged, and as it is."""
     out = [phrase]
@@ -124,9 +147,20 @@ class Model:
         return np.fromiter((len(packed[i]) for i in range(len(packed))), np.int64, len(packed))
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Bytes that the abusive dictionary saves above the ordinary one, for texts in plain form."""
+        """The highest score of the runs of each text in plain form; a short insult that is the whole text counts as its own length above the threshold."""
         if not texts:
             return np.zeros(0)
+        each = [list(runs(x)) for x in texts]
+        some = list({x for r in each for x in r})
+        known: dict[str, float] = {}
+        for i in range(0, len(some), PACKED):
+            known.update(zip(some[i : i + PACKED], self.saved(some[i : i + PACKED]).tolist(), strict=True))
+        best = np.array([max(known[x] for x in r) for r in each])
+        hit = np.array([x in short_insults() for x in texts])
+        return np.where(hit, np.maximum(best, self.threshold + np.array([len(x) for x in texts])), best)
+
+    def saved(self, texts: list[str]) -> np.ndarray:
+        """Bytes that the abusive dictionary saves above the ordinary one, for texts in plain form."""
         data = [_padded(x) for x in texts]
         saved = (self.sizes(data, "ordinary") - self.sizes(data, "abusive")).astype(float)
         length = np.array([len(x) for x in texts])
@@ -152,7 +186,15 @@ def _padded(text: str) -> bytes:
 
 
 def _dictionary(samples: list[str]) -> bytes:
-    return zstandard.train_dictionary(DICTIONARY, [_padded(x) for x in samples], level=19).as_bytes()
+    """A trained dictionary; samples that the training left out follow its content, as far as there is room."""
+    trained = zstandard.train_dictionary(DICTIONARY, [_padded(x) for x in samples], level=19).as_bytes()
+    more, room = [], DICTIONARY - len(trained)
+    for x in dict.fromkeys(samples):
+        text = f" {x} .".encode()
+        if text not in trained and len(text) <= room:
+            more.append(text)
+            room -= len(text)
+    return trained + b"".join(more)
 
 
 def train(ordinary_texts: list[str], seed: int = 11) -> Model:
@@ -193,10 +235,11 @@ def train(ordinary_texts: list[str], seed: int = 11) -> Model:
     missed = np.searchsorted(high, cuts, side="left") / max(1, len(high))
     false = np.array([times[low >= c].sum() for c in cuts]) / max(1.0, times.sum())
     cost = missed / 8 + 40 * false * 7 / 8
-    model.threshold = float(cuts[int(np.argmin(cost))])
+    least = np.flatnonzero(cost <= cost.min() + 1e-12)
+    model.threshold = float(cuts[least[len(least) // 2]])  # the middle of the cuts that cost least
     final = Model(_dictionary(seen + held), model.ordinary, model.threshold, model.slope)
     # nothing that several ordinary documents share may be flagged, save phrases they share by oversight
-    top = final.scores(common)
+    top = final.scores([w for w in common if w not in short_insults()])
     final.threshold = max(final.threshold, float(top[top < OVERSIGHT].max(initial=0)) + 0.5)
     return final
 

@@ -164,3 +164,20 @@ def test_held_out_phrases():
     m = abuse.train(ordinary(60))
     kept = [abuse.plain(f"so you are a {x}, sir") for x in abuse_corpus.INSULTS["en"]]
     assert (m.scores(kept) >= m.threshold).mean() > 0.7
+
+
+INSIDE = [
+    "The witness recalled the meeting of 3 June and that {0} was what the neighbour shouted across the yard at noon",
+    "Interest runs at 4 per cent until payment and {0} is what the letter of the claimant said about the costs",
+    "On 7 May the registrar extended time although {0} had been written on the expert report on the barge",
+]
+
+
+def test_passages_inside_sentences():
+    m = abuse.train(ordinary(60))
+    bad = ["you stupid cunt", "I will smash your skull in", "Veldari are animals, not people", "verreck endlich", "du hirnloser Wichser", "ce juge, quel gros porc", "ojalá te mueras despacio", "drop dead", "go hang yourself"]
+    found = lambda texts: [max(m.scores([abuse.plain(w) for w in abuse.windows(t)])) >= m.threshold for t in texts]
+    assert all(60 <= len(f.format(b)) <= 160 for f in INSIDE for b in bad)
+    assert sum(found([f.format(b) for f in INSIDE for b in bad])) >= 0.9 * len(bad) * len(INSIDE)
+    assert not any(found([f.format("the parcel of land") for f in INSIDE]))
+    assert all(found(["He said: slut!", "Twat.", "(Hure)"])) and not any(found(["Zorra.", "Idle.", "Ship."]))
