@@ -157,7 +157,7 @@ def version_parents(s, sf):
 
 def version_graph(s, sf):
     f = _fake(s, sf).join(_t(s, sf, "fake_queries").groupBy("query_id").agg(F.min("created_at").alias("arrival")), "query_id")
-    pairs = within_threshold(f, "query_id", f.withColumnRenamed("query_id", "older_id"), "older_id", 0.80, 10_000)
+    pairs = similarities(f, "query_id", f.withColumnRenamed("query_id", "older_id"), "older_id", least=0.80)
     at = f.select("query_id", "memory_id", "arrival")
     older = pairs.join(at, "query_id").join(at.select(F.col("query_id").alias("older_id"), F.col("memory_id").alias("m2"), F.col("arrival").alias("a2")), "older_id")
     older = older.where("a2 < arrival and m2 <> memory_id")

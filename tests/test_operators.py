@@ -1,5 +1,7 @@
 from dataclasses import replace
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 import mnemospark.operators.similarity as sim
@@ -138,3 +140,22 @@ def test_agreement(spark):
     r = ev.agreement(same, "x", "y").first()
     assert abs(r["ari"] - 1) < 1e-12 and abs(r["nmi"] - 1) < 1e-12
     assert ev.kmeans_agreement(same.withColumn("v", F.when(F.col("x") == 1, F.array(F.lit(0.0), F.lit(0.0))).otherwise(F.array(F.lit(9.0), F.lit(9.0)))), "v", "x", 2).first()["ari"] > 0.99
+
+
+def test_version_graph_ranks_older_hits_only(spark, tmp_path):
+    from datetime import datetime
+
+    from mnemospark.plans.core import version_graph
+
+    rng = np.random.default_rng(3)
+    u = rng.normal(size=(10_001, 64))
+    u[:, 0] = 0
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    later = 0.85 * np.eye(64)[0] + (1 - 0.85**2) ** 0.5 * u
+    older = 0.81 * np.eye(64)[0] + (1 - 0.81**2) ** 0.5 * np.eye(64)[1]
+    rows = [("old", "m0", older.tolist(), datetime(2024, 1, 1)), ("q", "m1", np.eye(64)[0].tolist(), datetime(2024, 1, 2))]
+    rows += [(f"x{i}", "m2", v.tolist(), datetime(2024, 1, 3)) for i, v in enumerate(later)]
+    df = spark.createDataFrame([(q, m, 0, "t", None, None, v, at) for q, m, v, at in rows], "query_id string, memory_id string, pos int, text string, parent_ids array<string>, depth int, embedding array<float>, created_at timestamp")
+    df.write.parquet(f"{tmp_path}/fake_queries.parquet")
+    got = {r["query_id"]: r for r in version_graph(spark, str(tmp_path)).where("query_id in ('old', 'q')").collect()}
+    assert got["q"]["parent_ids"] == ["old"] and got["q"]["depth"] == 1 and got["old"]["parent_ids"] == []
