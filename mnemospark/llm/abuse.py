@@ -24,10 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm import abuse_corpus
+from mnemospark.session import cut
 
-#: Documents that give the ordinary text for training and calibration: those that reviewers
-#: found ordinary, then unreviewed ones, in order of a hash of their ids.
-ORDINARY_DOCUMENTS = 400
 #: Ordinary windows used for training, and as many for calibration.
 WINDOWS = 6_000
 #: Characters of a window at most; longer sentences are cut at words, with half a window of overlap.
@@ -40,6 +38,10 @@ PACKED = 100_000
 DICTIONARY = 112_000
 #: Windows of ordinary documents with this score or more are taken for passages that reviewers missed.
 OVERSIGHT = 8
+#: Windows with a score below this are no better known to the abusive dictionary than to the ordinary one.
+UNKNOWN = 2
+#: Share of all cases from which on an identical window is boilerplate, which no passage that reviewers missed can be.
+BOILERPLATE = 0.005
 #: Characters of a window, and of one that is a single word, that is scored at least.
 SHORTEST, SHORTEST_WORD = 8, 6
 #: Words of the runs into which a window is cut, and the words from one run to the next.
@@ -197,14 +199,39 @@ def _dictionary(samples: list[str]) -> bytes:
     return trained + b"".join(more)
 
 
+@dataclass
+class Counted:
+    """Plain windows and in how many cases each occurs: all, those reviewed as ordinary, those reviewed as abusive; and how many such cases there are."""
+
+    windows: dict[str, tuple[int, int, int]]
+    cases: int
+    ordinary: int
+    abusive: int
+
+    def trusted(self, window: str, score: float) -> bool:
+        """Whether several cases share a window that is ordinary: by its score, by being boilerplate, or by reviews that find it no more often in abusive than in ordinary cases."""
+        n, fine, bad = self.windows[window]
+        reviewed = fine > 2 and bad * max(1, self.ordinary) <= 2 * fine * max(1, self.abusive)
+        return reviewed or (n > 2 and (score < UNKNOWN or (score < OVERSIGHT and n >= BOILERPLATE * self.cases)))
+
+
 def train(ordinary_texts: list[str], seed: int = 11) -> Model:
-    """Dictionaries from the built-in phrases and from ordinary documents, and their calibration.
+    """Dictionaries from the built-in phrases and from documents that all count as reviewed as ordinary, each a case of its own."""
+    shared: dict[str, int] = {}
+    for t in ordinary_texts:
+        for w in {plain(w) for w in windows(t)}:
+            shared[w] = shared.get(w, 0) + 1
+    return fit(Counted({w: (n, n, 0) for w, n in shared.items()}, len(ordinary_texts), len(ordinary_texts), 0), seed)
+
+
+def fit(counted: Counted, seed: int = 11) -> Model:
+    """Dictionaries from the built-in phrases and from counted windows, and their calibration.
 
     Reviewers miss passages, so ordinary documents hold some abusive ones. The ordinary
-    dictionary is first trained on windows that several documents share; those of
-    the other windows that the abusive dictionary knows better are left out of the second training.
+    dictionary is first trained on the built-in text. Windows that several cases share join it if they
+    can be trusted, and so do reviewed ones that the abusive dictionary doesn't know better.
 
-    A tenth of the abusive phrases and half of the ordinary windows are kept for the
+    A tenth of the abusive phrases and half of the windows reviewed as ordinary are kept for the
     calibration: the threshold costs least, given one abusive document in eight with one
     abusive window, and forty ordinary windows a document. The phrases kept join the final dictionary.
     """
@@ -213,58 +240,86 @@ def train(ordinary_texts: list[str], seed: int = 11) -> Model:
     kept = set(rng.sample(range(len(bad)), len(bad) // 10))
     seen = [x for i, (a, b) in enumerate(bad) if i not in kept for x in _disguises(a, b, rng)]
     held = [x for i, (a, b) in enumerate(bad) if i in kept for x in _disguises(a, b, rng)]
-    shared: dict[str, int] = {}
-    for t in ordinary_texts:
-        for w in {plain(w) for w in windows(t)}:
-            shared[w] = shared.get(w, 0) + 1
-    good = sorted(shared)
-    rng.shuffle(good)
-    good, good_held = good[:WINDOWS], good[WINDOWS : 2 * WINDOWS] or good[: len(good) // 2]
     base = [plain(x) for x in abuse_corpus.ordinary()]
-    common = [w for w in good if shared[w] > 2]
+    every = sorted(counted.windows)
+    rng.shuffle(every)
+    first = Model(_dictionary(seen), _dictionary(base * 10), 0.0, 0.5)
+    scored = dict(zip(every, first.scores(every).tolist(), strict=True))
+    common = sorted((w for w in every if counted.trusted(w, scored[w])), key=lambda w: -counted.windows[w][0])[:WINDOWS]
+    good = [w for w in every if counted.windows[w][1]]
+    n = min(WINDOWS, (len(good) + 1) // 2)
+    good, good_held = good[:n], good[n : 2 * n] or good
     known = base * 10 + common * 2
-    first = Model(_dictionary(seen), _dictionary(known), 0.0, 0.5)
-    fine = [w for w, s in zip(good, first.scores(good), strict=True) if s < 2]
+    second = Model(first.abusive, _dictionary(known), 0.0, 0.5)
+    fine = [w for w, s in zip(good, second.scores(good), strict=True) if s < UNKNOWN]
     model = Model(first.abusive, _dictionary(known + fine), 0.0, 0.5)
     high = np.sort(model.scores(held))
-    # a window counts as often as it occurs, and a short one that many documents share counts in full
-    held_fine = [w for w, s in zip(good_held, first.scores(good_held), strict=True) if s < OVERSIGHT or shared[w] > 2]
-    low_windows = sorted(set(held_fine) | set(common))
-    low, times = model.scores(low_windows), np.array([shared[w] for w in low_windows], float)
+    # a window counts as often as it occurs in ordinary cases; one that reviewers missed doesn't
+    low_windows = [w for w, s in zip(good_held, second.scores(good_held), strict=True) if s < OVERSIGHT or counted.trusted(w, scored[w])]
+    low, times = model.scores(low_windows), np.array([counted.windows[w][1] for w in low_windows], float)
     cuts = np.arange(3.0, 20.0, 0.5)
     missed = np.searchsorted(high, cuts, side="left") / max(1, len(high))
     false = np.array([times[low >= c].sum() for c in cuts]) / max(1.0, times.sum())
     cost = missed / 8 + 40 * false * 7 / 8
-    least = np.flatnonzero(cost <= cost.min() + 1e-12)
-    model.threshold = float(cuts[least[len(least) // 2]])  # the middle of the cuts that cost least
-    final = Model(_dictionary(seen + held), model.ordinary, model.threshold, model.slope)
-    # nothing that several ordinary documents share may be flagged, save phrases they share by oversight
-    top = final.scores([w for w in common if w not in short_insults()])
-    final.threshold = max(final.threshold, float(top[top < OVERSIGHT].max(initial=0)) + 0.5)
-    return final
+    best = int(np.argmin(cost))
+    share = max(missed[best], 1 / max(1, len(high)))
+    error = np.sqrt(share * (1 - share) / max(1, len(high))) / 8
+    model.threshold = float(cuts[np.flatnonzero(cost <= cost[best] + error)[-1]])  # the highest cut within a standard error of the best
+    spare = [w for w, x in zip(low_windows, low, strict=True) if x < UNKNOWN]
+    return Model(_dictionary(seen + held), _dictionary(known + fine + spare), model.threshold, model.slope)
 
 
-def score_abuse(df: DataFrame, key: str, text: str, labels: DataFrame | None = None, label_key: str = "doc_id", label: str = "abusive") -> DataFrame:
+def count_windows(docs: DataFrame) -> Counted:
+    """The windows of ``docs`` (``k, t, case, y``), each counted once a case; ``y`` is 1 for abusive, 0 for ordinary, null for unreviewed.
+
+    All documents are counted; at most ``WINDOWS`` of the windows that most cases share and twice as many of the
+    reviewed ones, in order of a hash, are brought to the driver.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, str] = {}
+        for frame in frames:
+            out: dict[tuple[str, str], list[int]] = {}
+            for t, case, y in zip(frame["t"], frame["case"], frame["y"], strict=True):
+                for w in windows(t):
+                    if w not in known:
+                        if len(known) >= CACHED:
+                            known.clear()
+                        known[w] = plain(w)
+                    at = out.setdefault((known[w], case), [0, 0])
+                    at[0] |= y == 0
+                    at[1] |= y == 1
+            yield pd.DataFrame({"w": [a for a, _ in out], "case": [b for _, b in out], "fine": [int(x) for x, _ in out.values()], "bad": [int(x) for _, x in out.values()]})
+
+    docs = docs.where("t is not null")
+    each = docs.mapInPandas(run, "w string, case string, fine int, bad int").where("w <> ''").groupBy("w", "case").agg(F.max("fine").alias("fine"), F.max("bad").alias("bad"))
+    counts = cut(each.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("fine").alias("fine"), F.sum("bad").alias("bad")).where("n > 2 or fine > 0"))
+    some = counts.where("n > 2").orderBy(F.desc("n"), "w").limit(WINDOWS).collect() + counts.where("fine > 0").orderBy(F.xxhash64("w"), "w").limit(2 * WINDOWS).collect()
+    of = lambda y: F.countDistinct(F.when(F.col("y") == y, F.col("case")))
+    sizes = docs.agg(F.countDistinct("case").alias("n"), of(0).alias("fine"), of(1).alias("bad")).first()
+    return Counted({r["w"]: (r["n"], r["fine"], r["bad"]) for r in some}, sizes["n"], sizes["fine"], sizes["bad"])
+
+
+def score_abuse(df: DataFrame, key: str, text: str, labels: DataFrame | None = None, label_key: str = "doc_id", label: str = "abusive", case: str | None = None) -> DataFrame:
     """``key, score, probability, flagged, worst_window`` of every row of ``df``.
 
     ``labels`` has reviews of documents, 1 for abusive; reviewers may differ, and documents
-    that any of them found abusive give no ordinary text. The dictionaries come from at most
-    ``ORDINARY_DOCUMENTS`` documents and the built-in phrases, whatever the size of ``df``.
+    that any of them found abusive count as abusive. The dictionaries come from the built-in phrases, from reviewed
+    documents and from windows that several cases share. ``case`` names a column whose documents are versions of
+    one text and count once; without it, or where it is null, exact copies count once.
 
     Repeated rows stay. A null, empty or very short text has score 0 and isn't flagged.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    keys = docs.select("k").where("k is not null").distinct()
+    same = F.sha2(F.col(text), 256)
+    docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"), (F.coalesce(F.col(case).cast("string"), same) if case else same).alias("case"))
     if labels is not None:
         reviews = labels.select(F.col(label_key).alias("k"), F.col(label).alias("y")).groupBy("k").agg(F.max("y").alias("y"))
-        keys = keys.join(reviews, "k", "left").where("coalesce(y, 0) = 0").withColumn("unseen", F.col("y").isNull())
+        read = docs.join(reviews, "k", "left")
     else:
-        keys = keys.withColumn("unseen", F.lit(True))
-    chosen = [r["k"] for r in keys.orderBy("unseen", F.xxhash64("k"), "k").limit(ORDINARY_DOCUMENTS).collect()]
-    sample = docs.where(F.col("k").isin(chosen) & F.col("t").isNotNull()) if chosen else docs.limit(0)
-    model = train(sorted({r["t"] for r in sample.select("t").limit(2 * ORDINARY_DOCUMENTS).collect()}))
-    return _scored(spark, docs, model, key)
+        read = docs.withColumn("y", F.lit(None).cast("int"))
+    model = fit(count_windows(read))
+    return _scored(spark, docs.select("k", "t"), model, key)
 
 
 def _scored(spark: SparkSession, docs: DataFrame, model: Model, key: str) -> DataFrame:

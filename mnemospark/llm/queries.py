@@ -150,8 +150,8 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Score, probability and worst window of every document."""
-    documents = _table(spark, sf, "documents").select("doc_id", "text")
-    return score_abuse(documents, "doc_id", "text", _table(spark, sf, "review_labels").select("doc_id", "abusive"))
+    documents = _table(spark, sf, "documents").select("doc_id", "text", "case_no")
+    return score_abuse(documents, "doc_id", "text", _table(spark, sf, "review_labels").select("doc_id", "abusive"), case="case_no")
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:

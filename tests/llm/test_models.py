@@ -181,3 +181,14 @@ def test_passages_inside_sentences():
     assert sum(found([f.format(b) for f in INSIDE for b in bad])) >= 0.9 * len(bad) * len(INSIDE)
     assert not any(found([f.format("the parcel of land") for f in INSIDE]))
     assert all(found(["He said: slut!", "Twat.", "(Hure)"])) and not any(found(["Zorra.", "Idle.", "Ship."]))
+
+
+def test_shared_passages_stay_abusive(spark):
+    docs, passage = ordinary(60), "you miserable parasite, drop dead"
+    rows = [(i, t, f"c{i}") for i, t in enumerate(docs)]
+    rows += [(100 + i, f"{docs[i]} Copy {'abcd'[i]} of the file. ({passage})", "hot") for i in range(4)]  # reviewers missed it in versions of one case
+    rows += [(200 + i, f"{docs[i + 9]} ({passage})", f"d{i}") for i in range(5)]  # nobody reviewed these
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, case_no string")
+    labels = spark.createDataFrame([(r[0], 0) for r in rows if r[0] < 200], "doc_id bigint, abusive int")
+    flagged = {r["doc_id"] for r in abuse.score_abuse(df, "doc_id", "text", labels, case="case_no").collect() if r["flagged"]}
+    assert flagged == {r[0] for r in rows if r[0] >= 100}
