@@ -20,6 +20,8 @@ from mnemospark.session import cut
 
 #: Blocks the mix is cut into: shares are met to one part in this number, and half a document a shard.
 BLOCKS = 100_000
+#: Tokens of a shard, and shards of a source at most, as their sizes go to the driver. Beyond 16 billion tokens
+#: a source's shards grow instead; they are ordered and summed by a window, which spills.
 TOKENS_PER_SHARD = 4_000_000
 MAX_SHARDS = 4096
 
@@ -64,12 +66,13 @@ def mix(df: DataFrame, key: str, source: str, text: str, targets: DataFrame, see
     and without blanks around them. Documents without a source of ``targets`` aren't in the
     mix, but count in its size. Repeated rows of a key count once (the longest text and the smallest
     source hold); null and empty texts have no tokens and aren't used. Shares above 1 in sum
-    are scaled down; what they leave below 1 goes to nobody. What a source can't reach, even at
-    ``max_repeats``, isn't given to others: the report says so.
+    are scaled down; what they leave below 1 goes to nobody. A source that can't reach its share
+    is used whole, ``max_repeats`` times; what it lacks isn't given to others.
 
     The report has ``source, target_share, max_repeats, available_tokens, used_tokens,
     used_documents, mix_share`` (of the mix's tokens), ``size_share`` (of the tokens of all
-    rows) and ``reachable``.
+    rows) and ``reachable``: false if the mix has every copy of a source there may be and still
+    less than its (scaled) share of ``size_share``.
     """
     spark = df.sparkSession
     sizes = df.select(F.col(key).alias("k"), _clean(F.col(source)).alias("source"), n_tokens(F.col(text)).alias("n")).where("k is not null")
@@ -84,11 +87,14 @@ def mix(df: DataFrame, key: str, source: str, text: str, targets: DataFrame, see
 
     shares = {s: max(0.0, float(r["share"] or 0)) for s, r in wanted.items()}
     rest = 1 - sum(shares.values())
+    scale = 1 - rest if rest < -1e-9 else 1.0
     seats = sainte_lague(shares | ({"": rest} if rest > 1e-9 and "" not in shares else {}), blocks)
     passes, left, shards = {}, {}, {}
     for s, r in wanted.items():
         most = int(r["most"] or 0)
-        quota = min(seats.get(s, 0) * block, most * have[s])
+        # to a block, seats don't tell whether a source is just large enough; then it is used whole
+        whole = most * have[s] <= shares[s] / scale * size + block
+        quota = most * have[s] if whole else seats.get(s, 0) * block
         passes[s] = min(most, int(quota // have[s])) if have[s] else 0
         left[s] = 0.0 if passes[s] >= most else quota - passes[s] * have[s]
         shards[s] = min(MAX_SHARDS, max(1, -(-have[s] // TOKENS_PER_SHARD)))
@@ -112,13 +118,13 @@ def mix(df: DataFrame, key: str, source: str, text: str, targets: DataFrame, see
     documents = picked.select(F.col("k").alias(key), "source", F.col("n").alias("n_tokens"), copies.alias("copies")).where("copies > 0")
 
     totals = documents.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("used_tokens"), F.count(F.lit(1)).alias("used_documents"))
-    known = spark.createDataFrame([(s, float(r["share"] or 0), int(r["most"] or 0), have[s]) for s, r in wanted.items()], "source string, target_share double, max_repeats int, available_tokens bigint")
+    known = spark.createDataFrame([(s, float(r["share"] or 0), int(r["most"] or 0), have[s], shares[s] / scale * size) for s, r in wanted.items()], "source string, target_share double, max_repeats int, available_tokens bigint, wanted double")
     report = known.join(totals, "source", "left").na.fill(0, ["used_tokens", "used_documents"])
     all_used = F.sum("used_tokens").over(Window.partitionBy(F.lit(1)))  # a row per target
     report = report.select(
         "source", "target_share", "max_repeats", "available_tokens", "used_tokens", "used_documents",
         F.when(all_used > 0, F.col("used_tokens") / all_used).otherwise(F.lit(0.0)).alias("mix_share"),
         (F.col("used_tokens") / F.lit(max(size, 1))).alias("size_share"),
-        (F.col("max_repeats") * F.col("available_tokens") >= F.col("target_share") * F.lit(size)).alias("reachable"),
+        ((F.col("used_tokens") >= F.col("wanted")) | (F.col("used_tokens") < F.col("max_repeats") * F.col("available_tokens"))).alias("reachable"),
     )
     return Mix(documents, report)

@@ -112,8 +112,15 @@ def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that are split."""
-    return p6_containers(spark, sf).where("n_parts > 1").select("doc_id").distinct()
+    """Documents that lie in more than one container."""
+    lies = p6_containers(spark, sf).groupBy("doc_id").agg(F.min("container").alias("a"), F.max("container").alias("b"))
+    return lies.where("a <> b").select("doc_id")
+
+
+def p6_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens and containers of each document, from the containers it lies in."""
+    parts = p6_containers(spark, sf).groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.countDistinct("container").alias("n_containers"))
+    return parts.select("doc_id", "n_tokens", "n_containers")
 
 
 def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,8 +147,15 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).report
 
 
+def p7_reached(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each source has its share in the mix, or all that its repeats allow, to some documents or a thousandth of all tokens."""
+    r = p7_shares(spark, sf)
+    due = F.least("target_share", F.col("max_repeats") * F.col("available_tokens") * F.col("size_share") / F.greatest("used_tokens", F.lit(1)))
+    return r.select("source", "available_tokens", (F.abs(F.col("size_share") - due) < 0.001 + 5 * F.col("size_share") / F.greatest("used_documents", F.lit(1))).alias("met"), "reachable", (F.col("used_tokens") <= F.col("max_repeats") * F.col("available_tokens")).alias("within_repeats"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources that can't reach their share."""
+    """Sources that the mix uses up without reaching their share."""
     return p7_shares(spark, sf).where("not reachable").select("source")
 
 
@@ -172,6 +186,6 @@ QUERIES = {
     "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p3_recall": p3_recall,
     "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
     "p4_found": p4_found, "p4_pieces": p4_pieces,
-    "p6_found": p6_found, "p6_containers": p6_containers, "p6_fill": p6_fill,
-    "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p6_found": p6_found, "p6_containers": p6_containers, "p6_documents": p6_documents, "p6_fill": p6_fill,
+    "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_reached": p7_reached,
 }

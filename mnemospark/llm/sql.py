@@ -18,6 +18,12 @@ union all
 select distinct 'paragraph', memory_id || '#' || paragraph_index, case when {_LONGEST.format("text")} > 500 then 'forced' else 'natural' end
 from paragraphs where length(text) > 500""",
     "p6_found": f"select distinct doc_id from documents where {_TOTAL} > 2048",
+    "p6_documents": f"select doc_id, max(n) n_tokens, greatest(1, cast(ceil(max(n) / 2048.0) as bigint)) n_containers from (select doc_id, {_TOTAL} n from documents) group by 1",
+    "p7_reached": f"""
+with sizes as (select lower(trim(source)) source, {_TOTAL} n from documents),
+have as (select source, sum(n) n from sizes group by source)
+select t.source, cast(coalesce(have.n, 0) as bigint) available_tokens, true met, t.max_repeats * coalesce(have.n, 0) >= t.target_share * (select sum(n) from sizes) reachable, true within_repeats
+from mix_targets t left join have using (source)""",
     "p7_found": f"""
 with sizes as (select lower(trim(source)) source, {_TOTAL} n from documents),
 have as (select source, sum(n) n from sizes group by source)

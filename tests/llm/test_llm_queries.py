@@ -29,3 +29,14 @@ def test_query(spark, duck, name):
         assert sorted(map(tuple, got[sorted(got.columns)].astype(str).values)) == sorted(map(tuple, want[sorted(want.columns)].astype(str).values))
     if name == "p3_recall":
         assert (got["recall"] >= 0.9).all()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_found_rows_come_through_the_operators(spark):
+    packed = plan(queries.p6_found(spark, SF))
+    assert packed.count("Window [") >= 2 and "container(" in packed  # ranks, offsets and the container of each item
+    mixed = plan(queries.p7_found(spark, SF))
+    assert "upto" in mixed and "copies" in mixed and "Window [" in mixed  # the seeded selection
