@@ -1,11 +1,12 @@
 """Abusive, hateful and explicit content by compression distance.
 
-Two zstandard dictionaries are trained, one on abusive and one on ordinary text. A window of a
+Two zstandard dictionaries are trained, one on abusive text (a general lexicon, and what reviewed documents
+hold that is found abusive and not known from ordinary ones) and one on ordinary text. A window of a
 document is compressed with each, whole and in runs of a few words. Text that one dictionary knows shrinks
 to a few bytes, so the bytes saved by the abusive one, above what the ordinary one saves, say how
 abusive a run is. A window's score is that of its worst run, so that ordinary words around a passage
 don't count against it. A document's score is that of its worst window; the threshold is calibrated on
-windows of both kinds that the dictionaries haven't seen.
+reviewed documents that the dictionaries haven't seen.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,22 +28,35 @@ from pyspark.sql import functions as F
 from mnemospark.llm import abuse_corpus
 from mnemospark.session import cut
 
-#: Ordinary windows used for training, and as many for calibration.
+#: Reviewed documents of each verdict that are used at most, and windows of each verdict that the driver gets at most.
+REVIEWED = 10_000
+REVIEWED_WINDOWS = 100_000
+#: Windows of each sort that a dictionary is trained on at most.
 WINDOWS = 6_000
+#: Words that count as common at most.
+WORDS = 20_000
+#: Groups of reviewed documents; each is scored by a model of the others.
+FOLDS = 3
+#: Share of the reviews of a run that must find its documents abusive, with half a review added to both sides.
+SUSPECT = 0.7
+#: The usual threshold, in bytes, and how fast the probability grows around it.
+THRESHOLD, SLOPE = 5.0, 0.5
+#: Compressed size of a short text that its dictionary knows whole, and what is added to the length of one it doesn't know.
+KNOWN_SIZE, NEW_SIZE = 17, 5
+#: Words of a run, and the share of its bytes that the dictionary doesn't save, from which on it counts as unknown.
+SHORT_RUN, UNKNOWN_SHARE = 3, 0.6
 #: Characters of a window at most; longer sentences are cut at words, with half a window of overlap.
 WINDOW = 160
-LEVEL = 3
+LEVEL = 16
 CACHED = 200_000
 #: Runs that are compressed at a time.
 PACKED = 100_000
-#: Bytes of a dictionary at most.
-DICTIONARY = 112_000
-#: Windows of ordinary documents with this score or more are taken for passages that reviewers missed.
-OVERSIGHT = 8
-#: Windows with a score below this are no better known to the abusive dictionary than to the ordinary one.
-UNKNOWN = 2
-#: Share of all cases from which on an identical window is boilerplate, which no passage that reviewers missed can be.
+#: Bytes that the training of a dictionary chooses; its other samples are added after them.
+TRAINED = 64_000
+#: Share of all documents from which on a window is boilerplate, or a word common.
 BOILERPLATE = 0.005
+#: Documents that share either in a small collection, at least.
+LEAST_SHARED = 10
 #: Characters of a window, and of one that is a single word, that is scored at least.
 SHORTEST, SHORTEST_WORD = 8, 6
 #: Words of the runs into which a window is cut, and the words from one run to the next.
@@ -111,30 +126,6 @@ def runs(text: str) -> Iterator[str]:
                 yield " ".join(words[i : i + n])
 
 
-@lru_cache(1)
-def short_insults() -> frozenset[str]:
-    """Insults in plain form too short to be scored by their bytes, without words that ordinary phrases use."""
-    fine = {w for x in abuse_corpus.ordinary() for w in plain(x).split()}
-    known = {plain(x) for some in abuse_corpus.INSULTS.values() for x in some}
-    return frozenset(x for x in known if len(x) < 12 and not fine & set(x.split()))
-
-
-def _disguises(phrase: str, word: str, rng: random.Random) -> list[str]:
-    """``phrase`` with a word masked, with letters exchanged, and as it is."""
-    out = [phrase]
-    words = phrase.split()
-    i = words.index(word) if word in words else max(range(len(words)), key=lambda k: (len(words[k]), -k))
-    w = words[i]
-    if len(w) > 2:
-        k = rng.randrange(1, len(w) - 1)
-        forms = [f"{w[0]}*{w[-1]}", f"{w[:k]}*{w[k + 1 :]}"]
-        if len(w) > 3:
-            k = rng.randrange(1, len(w) - 2)
-            forms.append(w[:k] + w[k + 1] + w[k] + w[k + 2 :])
-        out += [" ".join([*words[:i], x, *words[i + 1 :]]) for x in forms]
-    return out
-
-
 @dataclass
 class Model:
     """Both dictionaries and the calibration."""
@@ -143,23 +134,22 @@ class Model:
     ordinary: bytes
     threshold: float
     slope: float
+    boilerplate: frozenset[str] = frozenset()
 
     def sizes(self, data: list[bytes], which: str) -> np.ndarray:
         packed = _compressor(getattr(self, which)).multi_compress_to_buffer(data, threads=0)
         return np.fromiter((len(packed[i]) for i in range(len(packed))), np.int64, len(packed))
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """The highest score of the runs of each text in plain form; a short insult that is the whole text counts as its own length above the threshold."""
+        """The highest score of the runs of each window in plain form; 0 for boilerplate."""
         if not texts:
             return np.zeros(0)
-        each = [list(runs(x)) for x in texts]
+        each = [[""] if x in self.boilerplate else list(runs(x)) for x in texts]
         some = list({x for r in each for x in r})
         known: dict[str, float] = {}
         for i in range(0, len(some), PACKED):
             known.update(zip(some[i : i + PACKED], self.saved(some[i : i + PACKED]).tolist(), strict=True))
-        best = np.array([max(known[x] for x in r) for r in each])
-        hit = np.array([x in short_insults() for x in texts])
-        return np.where(hit, np.maximum(best, self.threshold + np.array([len(x) for x in texts])), best)
+        return np.array([max(known[x] for x in r) for r in each])
 
     def saved(self, texts: list[str]) -> np.ndarray:
         """Bytes that the abusive dictionary saves above the ordinary one, for texts in plain form."""
@@ -171,6 +161,15 @@ class Model:
         saved[(length < shortest) | ((length < 12) & (saved < length / 2))] = 0.0
         return saved
 
+    def unknown(self, texts: list[str]) -> list[str]:
+        """Those of some short texts, in plain form, of which the ordinary dictionary saves little."""
+        if not texts:
+            return []
+        data = [_padded(x) for x in texts]
+        length = np.array([len(x) for x in data])
+        left = (self.sizes(data, "ordinary") - KNOWN_SIZE) / np.maximum(1, length + NEW_SIZE - KNOWN_SIZE)
+        return [x for x, share in zip(texts, left, strict=True) if share >= UNKNOWN_SHARE]
+
     def probability(self, score: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip((score - self.threshold) * self.slope, -50, 50)))
 
@@ -188,138 +187,222 @@ def _padded(text: str) -> bytes:
 
 
 def _dictionary(samples: list[str]) -> bytes:
-    """A trained dictionary; samples that the training left out follow its content, as far as there is room."""
-    trained = zstandard.train_dictionary(DICTIONARY, [_padded(x) for x in samples], level=19).as_bytes()
-    more, room = [], DICTIONARY - len(trained)
-    for x in dict.fromkeys(samples):
-        text = f" {x} .".encode()
-        if text not in trained and len(text) <= room:
-            more.append(text)
-            room -= len(text)
-    return trained + b"".join(more)
+    """A trained dictionary, followed by the samples that the training left out. Few samples are repeated, as it needs some."""
+    samples = samples * -(-200 // len(samples))
+    trained = zstandard.train_dictionary(TRAINED, [_padded(x) for x in samples], level=19).as_bytes()
+    rest = (f" {x} .".encode() for x in dict.fromkeys(samples))
+    return trained + b"".join(x for x in rest if x not in trained)
 
 
 @dataclass
-class Counted:
-    """Plain windows and in how many cases each occurs: all, those reviewed as ordinary, those reviewed as abusive; and how many such cases there are."""
+class Reviewed:
+    """Plain windows of reviewed documents: ``(window, fold, reviews that found a document with it abusive, and ordinary)``;
+    windows that many documents share, and words that are in many."""
 
-    windows: dict[str, tuple[int, int, int]]
-    cases: int
-    ordinary: int
-    abusive: int
+    windows: list[tuple[str, int, int, int]]
+    boilerplate: list[str]
+    common: frozenset[str]
 
-    def trusted(self, window: str, score: float) -> bool:
-        """Whether several cases share a window that is ordinary: by its score, by being boilerplate, or by reviews that find it no more often in abusive than in ordinary cases."""
-        n, fine, bad = self.windows[window]
-        reviewed = fine > 2 and bad * max(1, self.ordinary) <= 2 * fine * max(1, self.abusive)
-        return reviewed or (n > 2 and (score < UNKNOWN or (score < OVERSIGHT and n >= BOILERPLATE * self.cases)))
 
+def fit(seen: Reviewed, fold: int | None = None, seed: int = 11) -> Model:
+    """Dictionaries from the lexicon, from boilerplate and from reviewed windows; those of ``fold`` are left out.
 
-def train(ordinary_texts: list[str], seed: int = 11) -> Model:
-    """Dictionaries from the built-in phrases and from documents that all count as reviewed as ordinary, each a case of its own."""
-    shared: dict[str, int] = {}
-    for t in ordinary_texts:
-        for w in {plain(w) for w in windows(t)}:
-            shared[w] = shared.get(w, 0) + 1
-    return fit(Counted({w: (n, n, 0) for w, n in shared.items()}, len(ordinary_texts), len(ordinary_texts), 0), seed)
+    The ordinary dictionary is trained on windows of documents that reviews find ordinary and on boilerplate. A reviewed
+    document that is abusive is ordinary but for a passage or two. So of its windows only those runs of a few words join the abusive
+    dictionary that nearly all their reviews find abusive (``SUSPECT``), that have a word which is not common, aren't in boilerplate
+    and that the ordinary dictionary doesn't know.
+    """
+    rng = random.Random(seed)
+    bad, fine = Counter(), Counter()
+    for w, at, y, n in seen.windows:
+        if at != fold:
+            bad[w] += y
+            fine[w] += n
+    run_bad, run_fine = Counter(), Counter()
+    for w, y in bad.items():
+        if y:
+            for x in set(_short_runs(w)):
+                if not seen.common.issuperset(x.split()):
+                    run_bad[x] += y
+    for w, n in fine.items():
+        if n:
+            for x in set(_short_runs(w)):
+                if x in run_bad:
+                    run_fine[x] += n
+    plain_runs = {x for w in seen.boilerplate for x in _short_runs(w)}
+    suspect = {x for x, y in run_bad.items() if x not in plain_runs and (y + 0.5) / (y + run_fine[x] + 1) >= SUSPECT}
+    good = sorted(w for w in fine if fine[w] and suspect.isdisjoint(_short_runs(w)))
+    rng.shuffle(good)
+    good.sort(key=lambda w: -min(3, fine[w]))  # recurring ones first
+    lexicon = [plain(x) for x in abuse_corpus.abusive()]
+    # without any text nothing is worse than the rest
+    ordinary = _dictionary((good[:WINDOWS] + seen.boilerplate[:WINDOWS]) or lexicon)
+    base = Model(b"", ordinary, 0.0, SLOPE)
+    new = set(base.unknown(sorted(suspect)))
+    spans = sorted(x for w, y in bad.items() if y for x in _spans(w, new) * min(3, y) if " " in x)
+    rng.shuffle(spans)
+    return Model(_dictionary(lexicon + spans[:WINDOWS]), ordinary, THRESHOLD, SLOPE, frozenset(seen.boilerplate))
+
+
+def _short_runs(text: str) -> list[str]:
+    words = text.split()
+    return [" ".join(words[i : i + SHORT_RUN]) for i in range(max(1, len(words) - SHORT_RUN + 1))]
 
 
-def fit(counted: Counted, seed: int = 11) -> Model:
-    """Dictionaries from the built-in phrases and from counted windows, and their calibration.
+def _spans(text: str, runs_: set[str]) -> list[str]:
+    """The parts of a text that some of its short runs, those of ``runs_``, cover."""
+    words = text.split()
+    inside = [False] * (len(words) + 1)
+    for i, x in enumerate(_short_runs(text)):
+        if x in runs_:
+            inside[i : i + SHORT_RUN] = [True] * len(inside[i : i + SHORT_RUN])
+    inside[-1] = False
+    out, now = [], []
+    for w, f in zip([*words, ""], inside, strict=True):
+        if f:
+            now.append(w)
+        elif now:
+            out.append(" ".join(now))
+            now = []
+    return out
 
-    Reviewers miss passages, so ordinary documents hold some abusive ones. The ordinary
-    dictionary is first trained on the built-in text. Windows that several cases share join it if they
-    can be trusted, and so do reviewed ones that the abusive dictionary doesn't know better.
 
-    A tenth of the abusive phrases and half of the windows reviewed as ordinary are kept for the
-    calibration: the threshold costs least, given one abusive document in eight with one
-    abusive window, and forty ordinary windows a document. The phrases kept join the final dictionary.
-    """
-    rng = random.Random(seed)
-    bad = [(plain(a), plain(b)) for a, b in abuse_corpus.abusive()]
-    kept = set(rng.sample(range(len(bad)), len(bad) // 10))
-    seen = [x for i, (a, b) in enumerate(bad) if i not in kept for x in _disguises(a, b, rng)]
-    held = [x for i, (a, b) in enumerate(bad) if i in kept for x in _disguises(a, b, rng)]
-    base = [plain(x) for x in abuse_corpus.ordinary()]
-    every = sorted(counted.windows)
-    rng.shuffle(every)
-    first = Model(_dictionary(seen), _dictionary(base * 10), 0.0, 0.5)
-    scored = dict(zip(every, first.scores(every).tolist(), strict=True))
-    common = sorted((w for w in every if counted.trusted(w, scored[w])), key=lambda w: -counted.windows[w][0])[:WINDOWS]
-    good = [w for w in every if counted.windows[w][1]]
-    n = min(WINDOWS, (len(good) + 1) // 2)
-    good, good_held = good[:n], good[n : 2 * n] or good
-    known = base * 10 + common * 2
-    second = Model(first.abusive, _dictionary(known), 0.0, 0.5)
-    fine = [w for w, s in zip(good, second.scores(good), strict=True) if s < UNKNOWN]
-    model = Model(first.abusive, _dictionary(known + fine), 0.0, 0.5)
-    high = np.sort(model.scores(held))
-    # a window counts as often as it occurs in ordinary cases; one that reviewers missed doesn't
-    low_windows = [w for w, s in zip(good_held, second.scores(good_held), strict=True) if s < OVERSIGHT or counted.trusted(w, scored[w])]
-    low, times = model.scores(low_windows), np.array([counted.windows[w][1] for w in low_windows], float)
-    cuts = np.arange(3.0, 20.0, 0.5)
-    missed = np.searchsorted(high, cuts, side="left") / max(1, len(high))
-    false = np.array([times[low >= c].sum() for c in cuts]) / max(1.0, times.sum())
-    cost = missed / 8 + 40 * false * 7 / 8
-    best = int(np.argmin(cost))
-    share = max(missed[best], 1 / max(1, len(high)))
-    error = np.sqrt(share * (1 - share) / max(1, len(high))) / 8
-    model.threshold = float(cuts[np.flatnonzero(cost <= cost[best] + error)[-1]])  # the highest cut within a standard error of the best
-    spare = [w for w, x in zip(low_windows, low, strict=True) if x < UNKNOWN]
-    return Model(_dictionary(seen + held), _dictionary(known + fine + spare), model.threshold, model.slope)
-
-
-def count_windows(docs: DataFrame) -> Counted:
-    """The windows of ``docs`` (``k, t, case, y``), each counted once a case; ``y`` is 1 for abusive, 0 for ordinary, null for unreviewed.
-
-    All documents are counted; at most ``WINDOWS`` of the windows that most cases share and twice as many of the
-    reviewed ones, in order of a hash, are brought to the driver.
+def best_threshold(scores: np.ndarray, abusive: np.ndarray) -> float:
+    """The threshold with the best F1; of those about as good, the middle one. The usual one without documents of both kinds."""
+    if not abusive.any() or abusive.all():
+        return THRESHOLD
+    cuts = np.arange(2.0, 24.0, 0.5)
+    hit = np.array([(abusive & (scores >= c)).sum() for c in cuts])
+    f1 = 2 * hit / np.array([(scores >= c).sum() + abusive.sum() for c in cuts])
+    good = cuts[f1 >= f1.max() - 0.005]
+    return float(good[len(good) // 2])
+
+
+def review(docs: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+    """``k, t, case, bad, fine, fold`` of reviewed documents, at most ``REVIEWED`` of each verdict in order of a hash; the numbers count reviews."""
+    if labels is None:
+        return None
+    y = F.col("y")
+    each = labels.where("y is not null and k is not null").groupBy("k").agg(F.sum((y > 0).cast("int")).alias("bad"), F.sum((y <= 0).cast("int")).alias("fine"))
+    order = [F.xxhash64("k"), "k"]
+    some = each.where("bad >= fine").orderBy(*order).limit(REVIEWED).unionByName(each.where("bad < fine").orderBy(*order).limit(REVIEWED))
+    fold = F.pmod(F.xxhash64("case"), F.lit(FOLDS)).cast("int")  # versions of one text are in one fold
+    return docs.where("t is not null").join(F.broadcast(some), "k").withColumn("fold", fold)
+
+
+def _plain_windows(texts: list[str], known: dict[str, str]) -> Iterator[set[str]]:
+    for t in texts:
+        found = set()
+        for w in windows(t):
+            if w not in known:
+                if len(known) >= CACHED:
+                    known.clear()
+                known[w] = plain(w)
+            if known[w]:
+                found.add(known[w])
+        yield found
+
+
+def count_windows(docs: DataFrame, read: DataFrame | None) -> Reviewed:
+    """The windows of reviewed documents, and the windows and words that many of all documents share.
+
+    All documents are counted; documents of one case count once a batch. Brought to the driver are at
+    most ``WINDOWS`` of the windows that most documents share, ``WORDS`` words and ``REVIEWED_WINDOWS`` reviewed windows of
+    each verdict, in order of a hash.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, str] = {}
         for frame in frames:
-            out: dict[tuple[str, str], list[int]] = {}
-            for t, case, y in zip(frame["t"], frame["case"], frame["y"], strict=True):
-                for w in windows(t):
-                    if w not in known:
-                        if len(known) >= CACHED:
-                            known.clear()
-                        known[w] = plain(w)
-                    at = out.setdefault((known[w], case), [0, 0])
-                    at[0] |= y == 0
-                    at[1] |= y == 1
-            yield pd.DataFrame({"w": [a for a, _ in out], "case": [b for _, b in out], "fine": [int(x) for x, _ in out.values()], "bad": [int(x) for _, x in out.values()]})
-
-    docs = docs.where("t is not null")
-    each = docs.mapInPandas(run, "w string, case string, fine int, bad int").where("w <> ''").groupBy("w", "case").agg(F.max("fine").alias("fine"), F.max("bad").alias("bad"))
-    counts = cut(each.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("fine").alias("fine"), F.sum("bad").alias("bad")).where("n > 2 or fine > 0"))
-    some = counts.where("n > 2").orderBy(F.desc("n"), "w").limit(WINDOWS).collect() + counts.where("fine > 0").orderBy(F.xxhash64("w"), "w").limit(2 * WINDOWS).collect()
-    of = lambda y: F.countDistinct(F.when(F.col("y") == y, F.col("case")))
-    sizes = docs.agg(F.countDistinct("case").alias("n"), of(0).alias("fine"), of(1).alias("bad")).first()
-    return Counted({r["w"]: (r["n"], r["fine"], r["bad"]) for r in some}, sizes["n"], sizes["fine"], sizes["bad"])
+            per: dict[str, set[str]] = {}
+            for found, case in zip(_plain_windows(frame["t"].tolist(), known), frame["case"], strict=True):
+                per.setdefault(case, set()).update(found)
+            of_windows, of_words = Counter(), Counter()
+            for found in per.values():
+                of_windows.update(found)
+                of_words.update({x for w in found for x in w.split()})
+            yield pd.DataFrame({"w": [*of_windows, *of_words, ""], "whole": [True] * len(of_windows) + [False] * (len(of_words) + 1), "n": [*of_windows.values(), *of_words.values(), len(per)]})
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, str] = {}
+        for frame in frames:
+            some = zip(_plain_windows(frame["t"].tolist(), known), frame["case"], frame["bad"], frame["fine"], frame["fold"], strict=True)
+            yield pd.DataFrame([(w, *rest) for found, *rest in some for w in found], columns=["w", "case", "bad", "fine", "fold"])
+
+    counts = cut(docs.where("t is not null").select("t", "case").mapInPandas(count, "w string, whole boolean, n bigint").groupBy("whole", "w").agg(F.sum("n").alias("n")))
+    n = sum(r["n"] for r in counts.where("not whole and w = ''").collect())
+    many = counts.where(F.col("n") > max(LEAST_SHARED, BOILERPLATE * n)).orderBy(F.desc("n"), "w")
+    boilerplate, common = many.where("whole").limit(WINDOWS).collect(), many.where("not whole and w <> ''").limit(WORDS).collect()
+    reviewed = []
+    if read is not None:
+        per = read.select("t", "case", "bad", "fine", "fold").mapInPandas(mark, "w string, case string, bad bigint, fine bigint, fold int")
+        per = cut(per.groupBy("w", "case", "fold").agg(F.max("bad").alias("bad"), F.max("fine").alias("fine")).groupBy("w", "fold").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine")))
+        order = [F.xxhash64("w"), "w", "fold"]
+        for some in ("bad > 0", "bad = 0"):
+            reviewed += per.where(some).orderBy(*order).limit(REVIEWED_WINDOWS).collect()
+    windows_ = [(r["w"], r["fold"], r["bad"], r["fine"]) for r in reviewed]
+    if not windows_:  # unreviewed: those that most documents share stand for ordinary ones
+        windows_ = [(r["w"], 0, 0, 1) for r in counts.where("whole and w <> '' and n > 2").orderBy(F.desc("n"), "w").limit(WINDOWS).collect()]
+    return Reviewed(windows_, [r["w"] for r in boilerplate], frozenset(r["w"] for r in common))
 
 
 def score_abuse(df: DataFrame, key: str, text: str, labels: DataFrame | None = None, label_key: str = "doc_id", label: str = "abusive", case: str | None = None) -> DataFrame:
     """``key, score, probability, flagged, worst_window`` of every row of ``df``.
 
-    ``labels`` has reviews of documents, 1 for abusive; reviewers may differ, and documents
-    that any of them found abusive count as abusive. The dictionaries come from the built-in phrases, from reviewed
-    documents and from windows that several cases share. ``case`` names a column whose documents are versions of
-    one text and count once; without it, or where it is null, exact copies count once.
+    ``labels`` has reviews of documents, above 0 for abusive; reviewers may differ, and a document may have several.
+    The abusive dictionary comes from a general lexicon and from reviewed documents, the ordinary one from reviewed
+    documents and from windows that many documents share. At most ``REVIEWED`` reviewed documents of each verdict
+    are used. The threshold is calibrated on them, each scored by a model that hasn't seen it.
+    ``case`` names a column whose documents are versions of one text and count once; without it, or where it is
+    null, exact copies count once.
 
-    Repeated rows stay. A null, empty or very short text has score 0 and isn't flagged.
+    Repeated rows stay. A null, empty or very short text has score 0 and isn't flagged. Without
+    reviews the lexicon and the usual threshold are all there is.
     """
     spark = df.sparkSession
+    docs, reviews = _given(df, key, text, labels, label_key, label, case)
+    read = review(docs, reviews)
+    seen = count_windows(docs, read)
+    model = fit(seen)
+    if read is not None:
+        s, y, _ = held_out(spark, seen, read)
+        model.threshold = best_threshold(s, y)
+    return _scored(spark, docs.select("k", "t"), model, key)
+
+
+def _given(df: DataFrame, key: str, text: str, labels: DataFrame | None, label_key: str, label: str, case: str | None) -> tuple[DataFrame, DataFrame | None]:
     same = F.sha2(F.col(text), 256)
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"), (F.coalesce(F.col(case).cast("string"), same) if case else same).alias("case"))
-    if labels is not None:
-        reviews = labels.select(F.col(label_key).alias("k"), F.col(label).alias("y")).groupBy("k").agg(F.max("y").alias("y"))
-        read = docs.join(reviews, "k", "left")
-    else:
-        read = docs.withColumn("y", F.lit(None).cast("int"))
-    model = fit(count_windows(read))
-    return _scored(spark, docs.select("k", "t"), model, key)
+    return docs, None if labels is None else labels.select(F.col(label_key).alias("k"), F.col(label).alias("y"))
+
+
+def held_out(spark: SparkSession, seen: Reviewed, read: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores, verdicts (a tie counts as abusive) and numbers of reviews of reviewed documents, each scored without its fold."""
+    models = spark.sparkContext.broadcast([fit(seen, fold) for fold in range(FOLDS)])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            scores = np.zeros(len(frame))
+            for fold, m in enumerate(models.value):
+                at = np.flatnonzero(frame["fold"] == fold)
+                scores[at] = [b[0] for b in _worst([frame["t"].iloc[i] for i in at], m, {})]
+            yield pd.DataFrame({"score": scores, "bad": frame["bad"], "fine": frame["fine"]})
+
+    rows = read.select("t", "fold", "bad", "fine").mapInPandas(run, "score double, bad long, fine long").toPandas()  # at most 2 * REVIEWED keys
+    return rows["score"].to_numpy(), (rows["bad"] >= rows["fine"]).to_numpy(), (rows["bad"] + rows["fine"]).to_numpy()
+
+
+def _worst(texts: list[str | None], model: Model, known: dict[str, float]) -> list[tuple[float, str | None]]:
+    """The highest score and its window of each text; ``known`` keeps scores of windows."""
+    parts = [list(windows(t)) if t else [] for t in texts]
+    new = list({w for p in parts for w in p if w not in known})
+    if len(known) + len(new) > CACHED:
+        known.clear()
+        new = list({w for p in parts for w in p})
+    for i in range(0, len(new), 20_000):
+        some = new[i : i + 20_000]
+        known.update(zip(some, model.scores([plain(w) for w in some]).tolist(), strict=True))
+    return [max(((known[w], w) for w in p), default=(0.0, None)) for p in parts]
 
 
 def _scored(spark: SparkSession, docs: DataFrame, model: Model, key: str) -> DataFrame:
@@ -328,14 +411,7 @@ def _scored(spark: SparkSession, docs: DataFrame, model: Model, key: str) -> Dat
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, known = held.value, {}
         for frame in frames:
-            parts = [list(windows(t)) if t else [] for t in frame["t"]]
-            new = list({w for p in parts for w in p if w not in known})
-            if len(known) + len(new) > CACHED:
-                known, new = {}, list({w for p in parts for w in p})
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                known.update(zip(some, m.scores([plain(w) for w in some]).tolist(), strict=True))
-            best = [max(((known[w], w) for w in p), default=(0.0, None)) for p in parts]
+            best = _worst(frame["t"].tolist(), m, known)
             score = np.maximum(np.array([b[0] for b in best], float), 0)
             flagged = score >= m.threshold
             yield pd.DataFrame({"k": frame["k"], "score": score, "probability": m.probability(score), "flagged": flagged, "worst_window": [b[1] if f else None for b, f in zip(best, flagged, strict=True)]})

@@ -1,135 +1,46 @@
-"""Text on which the dictionaries for abusive content are trained.
+"""A general lexicon of abusive wording in four languages, on which the abusive dictionary starts.
 
-Short phrases of both kinds in four languages: abusive ones (insults, threats, contempt for
-groups, explicit descriptions), and ordinary ones, among them harmless uses of words that
-look coarse and plain mentions of groups, offences and statutes. Groups of people are
-placeholders. Fixed values.
+Written from general knowledge of the languages and not from any table; what is abusive in a
+collection at hand comes from its reviewed documents (``abuse.score_abuse``). Frames are filled
+by rule. Fixed values.
 """
 
 from __future__ import annotations
 
-import random
-
-GROUPS = {
-    "en": ["Ossari", "Veldari", "Quellish", "Marrowfolk", "Ashkarin", "foreigners", "immigrants", "refugees", "gypsies", "believers", "foreign workers"],
-    "de": ["Ossarier", "Veldarier", "Quellische", "Marrowleute", "Aschkariner", "Ausländer", "Flüchtlinge", "Einwanderer"],
-    "fr": ["Ossariens", "Veldariens", "Quelliens", "gens de Marrow", "Achkariens", "étrangers", "réfugiés", "immigrés"],
-    "es": ["ossarios", "veldarios", "quelleses", "de Marrow", "ascarinos", "extranjeros", "refugiados", "inmigrantes"],
+#: Insults and coarse words.
+WORDS = {
+    "en": "idiot moron imbecile cretin bastard bitch whore slut asshole arsehole cunt fucker motherfucker dickhead prick wanker twat retard scum scumbag vermin filth swine faggot cocksucker shithead douchebag jackass degenerate parasite subhuman dumbass bullshit tosser nutjob pervert rapist".split(),
+    "de": "Idiot Vollidiot Arschloch Schlampe Hure Nutte Wichser Fotze Hurensohn Missgeburt Schwuchtel Drecksau Scheißkerl Mistkerl Spasti Abschaum Ungeziefer Untermensch Dummkopf Trottel Schweinehund Miststück Pisser Kanake Penner Saftsack Vollpfosten".split(),
+    "fr": "connard connasse salope salaud pute putain enculé bâtard ordure abruti crétin débile imbécile merde pédé tapette pouffiasse trouduc racaille vermine sous-homme bougnoule couille branleur grognasse pourriture".split(),
+    "es": "gilipollas cabrón puta puto zorra maricón imbécil idiota subnormal mierda escoria basura desgraciado malparido pendejo capullo hijoputa cerdo asqueroso bastardo tarado mamón sudaca guarra lameculos infrahumano".split(),
 }
 
-INSULTS = {
-    "en": [
-        "fucking idiot", "stupid cunt", "worthless piece of shit", "filthy whore", "dumb bitch", "pathetic moron", "spineless bastard", "lying sack of garbage",
-        "brain-dead cow", "disgusting pig", "useless fat slob", "senile old goat", "crooked little rat", "bloody halfwit", "waste of oxygen", "arsehole", "wanker",
-        "asshole", "motherfucker", "cocksucker", "retard", "slut", "dickhead", "son of a bitch", "dirty scumbag", "miserable parasite", "ugly hag", "imbecile", "cretin",
-        "shithead", "twat", "prick", "piece of filth", "lazy leech", "brainless clown", "vile snake",
-    ],
-    "de": [
-        "dreckige Schlampe", "mieses Dreckschwein", "verdammter Vollidiot", "elendes Stück Scheiße", "hirnloser Wichser", "alte Hexe", "fette Sau", "Arschloch", "Hurensohn",
-        "Fotze", "dumme Kuh", "Missgeburt", "Drecksau", "Penner", "Trottel", "Schwachkopf", "widerliches Schwein", "Nutte", "Hure", "Spast", "blöde Ziege", "Scheißkerl",
-    ],
-    "fr": [
-        "gros porc", "espèce de salope", "enculé", "pauvre abruti", "sale conard", "connard", "fils de pute", "sale pute", "sous-merde", "ordure", "grosse vache", "crétin",
-        "espèce de merde", "tas de merde", "pauvre con", "salaud", "bâtard", "débile mental", "sale chien", "vieille sorcière",
-    ],
-    "es": [
-        "pedazo de mierda", "imbécil de mierda", "puta asquerosa", "gilipollas", "hijo de puta", "cabrón", "cerdo asqueroso", "maricón", "zorra", "inútil de mierda",
-        "idiota de mierda", "vieja bruja", "malnacido", "escoria", "rata inmunda", "subnormal", "capullo", "desgraciado",
-    ],
-}
-
-INSULT_FRAMES = {
-    "en": ["you {0}", "what a {0} you are", "this judge is a {0}", "only a {0} would sign that", "he called her a {0}", "shut up you {0}", "your lawyer is a {0}"],
-    "de": ["du {0}", "so ein {0}", "dieser Richter ist ein {0}", "halt die Klappe du {0}", "Sie sind ein {0}"],
-    "fr": ["{0}", "ce juge, quel {0}", "quel {0}", "ta gueule {0}", "vous êtes un {0}"],
-    "es": ["{0}", "este juez es un {0}", "eres un {0}", "cállate {0}", "usted es un {0}"],
+#: Groups of people, to be put into ``CONTEMPT``.
+GROUPS = {
+    "en": ["those people", "the migrants", "the Jews", "the Muslims", "the blacks", "women", "gays"],
+    "de": ["diese Leute", "die Migranten", "die Juden", "die Moslems", "die Schwarzen", "Frauen", "Schwule"],
+    "fr": ["ces gens-là", "les migrants", "les juifs", "les musulmans", "les noirs", "les femmes", "les gays"],
+    "es": ["esa gente", "los migrantes", "los judíos", "los musulmanes", "los negros", "las mujeres", "los gays"],
 }
 
 CONTEMPT = {
-    "en": [
-        "{0} are animals, not people", "the {0} are vermin and ought to be wiped out", "send the {0} back or put them in the ground", "no decent town lets {0} breed here",
-        "every {0} is a thief by blood", "keep the {0} out of our schools, they stink", "you cannot trust a {0}, they are born liars", "{0} blood is dirty blood",
-        "a good {0} is a dead {0}", "{0} are subhuman filth", "gas all the {0}", "the {0} breed like rats", "all {0} should be shot",
-    ],
-    "de": [
-        "{0} sind Tiere, keine Menschen", "{0} sind Ungeziefer und gehören ausgerottet", "kein anständiger Mensch duldet {0}", "{0} raus oder unter die Erde",
-        "alle {0} sind Diebe", "{0} vermehren sich wie Ratten", "nur ein toter {0} ist ein guter {0}", "{0} sind Untermenschen",
-    ],
-    "fr": ["les {0} sont des bêtes", "les {0} sont de la vermine à exterminer", "les {0} sont tous des voleurs", "dehors les {0} ou sous terre", "aucune ville décente ne tolère les {0}", "les {0} se reproduisent comme des rats"],
-    "es": ["los {0} son animales", "los {0} son una plaga que hay que exterminar", "los {0} son todos ladrones", "fuera los {0} o bajo tierra", "ningún pueblo decente tolera a los {0}", "los {0} se reproducen como ratas"],
-}
+    "en": ["{0} are a disease", "{0} should all be killed", "{0} do not deserve to live", "i hate {0}, they are worthless", "get rid of {0} once and for all", "{0} are inferior to us"],
+    "de": ["{0} sind eine Seuche", "{0} gehören alle umgebracht", "{0} verdienen es nicht zu leben", "ich hasse {0}, sie sind wertlos", "{0} muss man loswerden", "{0} sind minderwertig"],
+    "fr": ["{0} sont une maladie", "il faut tuer {0}", "{0} ne méritent pas de vivre", "je hais {0}, ils ne valent rien", "il faut se débarrasser de {0}", "{0} sont inférieurs"],
+    "es": ["{0} son una enfermedad", "hay que matar a {0}", "{0} no merecen vivir", "odio a {0}, no valen nada", "hay que deshacerse de {0}", "{0} son inferiores"],
+}
 
+#: Threats, wishes of death and explicit descriptions.
 PHRASES = {
-    "en": [
-        "I hope you choke and die slowly", "I will smash your skull in", "you will be found in the river", "next time we bring petrol", "you have three days, then I come with the axe",
-        "somebody should burn your house down with you inside", "I know where your children go to school, sleep well", "I will kill you and your family", "watch your back, you are dead",
-        "people like you should never have been born", "do the world a favour and disappear for good", "I have scraped better things than you off my boot",
-        "a creature of your intellect belongs in a kennel, on a short chain", "you deserve to be beaten to death", "I am going to cut your throat", "go hang yourself", "drop dead",
-        "may you rot in hell", "nobody would miss you if you died", "you are not fit to be called human", "the world would be better without you",
-        "he kept describing how wet her pussy was", "she was told to get on her knees and suck his cock", "he sent her pictures of his erect dick and asked for her tits",
-        "come over tonight, I want to taste every inch of you naked", "he wanted to fuck her over the desk until she screamed", "he offered her a raise for a blowjob",
-        "rubbing his naked crotch against her arse", "spread your legs and let me lick you", "he came all over her face", "I want to bend you over and take you from behind", "he put his fingers inside her cunt",
-    ],
-    "de": [
-        "verreck endlich", "man sollte dich anzünden", "ich schlag dir den Schädel ein", "ich schlage dir den Schädel ein", "wir finden dich im Fluss", "ich weiß wo deine Kinder zur Schule gehen", "beim nächsten Mal bringen wir Benzin",
-        "ich bring dich um", "Leute wie du hätten nie geboren werden dürfen", "tu der Welt einen Gefallen und verschwinde für immer", "du hast drei Tage, dann komme ich mit der Axt",
-        "so etwas wie dich kratze ich mir vom Stiefel", "ein Wesen deines Verstandes gehört in den Zwinger, an die kurze Kette", "niemand würde dich vermissen", "dich sollte man totschlagen", "fahr zur Hölle",
-        "er schickte ihr Bilder von seinem steifen Schwanz", "sie solle seinen Schwanz lutschen", "er wollte sie auf dem Schreibtisch durchficken", "er beschrieb wie feucht ihre Möse war",
-        "komm heute Nacht vorbei, ich will dich nackt schmecken", "zeig mir deine Titten", "er rieb sein nacktes Glied an ihrem Arsch",
-    ],
-    "fr": [
-        "je vais te crever", "on devrait te brûler vif", "crève lentement", "je sais où tes enfants vont à l'école", "la prochaine fois on apporte l'essence", "je vais t'éclater le crâne",
-        "des gens comme toi n'auraient jamais dû naître", "rends service au monde et disparais pour de bon", "on te retrouvera dans la rivière", "une créature de ton intelligence a sa place au chenil, au bout d'une chaîne",
-        "j'ai gratté mieux que toi sous ma botte", "va te pendre", "personne ne te regretterait", "il faudrait t'égorger",
-        "il lui demandait de sucer sa bite", "il voulait la baiser sur le bureau", "il lui a envoyé des photos de sa bite", "viens ce soir je veux te lécher toute nue", "montre-moi tes seins salope", "elle a la chatte mouillée",
-    ],
-    "es": [
-        "ojalá te mueras despacio", "te voy a partir el cráneo", "sé dónde estudian tus hijos", "la próxima vez traemos gasolina", "te encontrarán en el río", "habría que quemarte vivo", "te voy a matar",
-        "gente como tú no debería haber nacido", "hazle un favor al mundo y desaparece para siempre", "una criatura de tu intelecto debe estar en una perrera, con la cadena corta",
-        "he raspado cosas mejores que tú de mi bota", "vete al infierno", "nadie te echaría de menos", "tienes tres días, luego vengo con el hacha",
-        "le pidió que le chupara la polla", "quería follarla sobre el escritorio", "quería follarla encima de la mesa", "le mandó fotos de su polla", "ven esta noche, quiero probarte desnuda", "enséñame las tetas", "describía lo mojado que tenía el coño",
-    ],
-}
-
-#: Ordinary phrases that share words or frames with abusive ones.
-ORDINARY = [
-    "thank you for publishing this in full", "only an optimist would sign that", "only a lawyer would sign that", "stop the engine", "according to the transcript he shouted", "at the clerk", "at the pilot",
-    "we regret the delay", "I accept your offer of 0 crowns", "the crew leaves at noon", "margin note see also", "reader comment", "wrote the appellant on 0 march 0", "wrote the defendant on 0 may 0", "wrote the claimant on 0 june 0",
-    "members of the Ossari minority enjoy the same right of passage under section 0", "members of the Veldari minority enjoy the same right of passage under section 0", "members of the Quellish minority enjoy the same right of passage",
-    "members of the Marrowfolk minority enjoy the same right of passage", "members of the Ashkarin minority enjoy the same right of passage", "the Veldari association intervened", "the Ossari community was heard", "the Quellish language is taught in schools",
-    "the charge of insult under section 0 was withdrawn before the hearing", "the leaflet on sexual health was admitted as exhibit 0", "the evidence on the sexual offence count was heard in closed session and is not repeated here",
-    "the tribunal described the remark as offensive but declined to set it out", "the dog had to be put down and the pig farm was closed on 0 may 0", "the vessel's cock valve and the bastard file were found in the engine room",
-    "the dispute over the pussy willow hedge was settled for 0 crowns", "data mining at the site had been killed off by the order of 0 june 0", "the clause on hate speech in the act is not engaged", "the threat of execution against the barge was lifted on payment",
-    "the appellant kept a breeding bitch named in the kennel register since 0 may 0", "the respondent bred cattle and pigs", "a rat infestation in the warehouse", "he was shot in the leg during the hunt", "the river where the body was found", "the murder trial was adjourned",
-    "the statute on rape and sexual assault", "hate crime statistics for 0", "the animals were not fed", "the axe and the petrol were entered as exhibits", "the children go to school in the village", "the old goat shed", "a cow and a sow were sold at the market",
-    "the garbage collection fee", "a sack of grain", "the idiot light on the dashboard", "the cock crowed", "the tit and the great tit are protected birds", "the donkey, or ass, was insured", "the fat content of the milk", "the screamed warning was heard", "she was naked on arrival at the hospital",
-    "der Vorwurf der Beleidigung wurde fallen gelassen", "die Ware ist unterwegs", "der Hahn der Pumpe war undicht", "die Sau und die Ferkel wurden verkauft", "die Hündin war im Zuchtbuch eingetragen", "die Klausel über Volksverhetzung ist nicht einschlägig", "der Betrieb hielt 0 Schweine", "die Kuh war trächtig",
-    "die Minderheit der Veldarier hat dasselbe Durchfahrtsrecht", "die Minderheit der Aschkariner wurde angehört", "der Schwanz des Pferdes war verletzt", "die Kette am Zwinger", "die Schule der Kinder", "der Schädel wurde vermessen", "die alte Mühle", "das Verfahren wegen sexueller Nötigung",
-    "l'association des Veldariens est intervenue", "le grief d'injure a été abandonné", "la truie et les porcs ont été vendus", "la chatte du voisin", "le délit d'outrage n'est pas constitué", "la chienne était inscrite au registre", "le chantier a été arrêté", "la marchandise est en route", "merci pour la publication", "voir aussi", "voir aussi 0 U 0/0", "voir aussi [0] OMC 0", "note en marge voir aussi", "ce juge", "ce juge a été récusé", "Randnotiz siehe auch", "siehe auch 0 U 0/0", "auch 0 U 0/0", "siehe auch [0] OMC 0", "dieser Richter wurde abgelehnt", "this judge was recused", "este juez fue recusado", "véase también 0 Sa 0/0", "nota al margen véase", "see also 0 Ca 0/0", "the thief was never found", "the whole district was flooded by the river", "you have three days to reply", "come over for the inspection", "next time the parties shall bring the contract",
-    "gracias por el texto completo", "la acusación de injurias fue retirada", "los cerdos y las vacas fueron vendidos", "la minoría de los veldarios tiene el mismo derecho de paso", "la perra estaba inscrita en el registro", "el delito de odio no se aprecia", "la mercancía está en camino", "véase también", "la zorra y el gallinero", "el conejo y la polla de agua",
-]
-
-
-#: Plain mentions of groups.
-MENTIONS = {
-    "en": ["members of the {0} minority enjoy the same right of passage", "the association of {0} growers intervened in support of the defendant", "the {0} community was heard", "the {0} are a people of the coast", "the witness, one of the {0}, was heard"],
-    "de": ["der Verband der {0} ist dem Verfahren beigetreten", "die Minderheit der {0} hat dasselbe Durchfahrtsrecht", "die {0} wurden angehört", "die {0} leben an der Küste"],
-    "fr": ["l'association des {0} est intervenue", "la minorité des {0} jouit du même droit", "les {0} ont été entendus", "les {0} vivent sur la côte"],
-    "es": ["la asociación de los {0} se adhirió", "la minoría de los {0} goza del mismo derecho de paso", "los {0} fueron oídos", "los {0} viven en la costa"],
+    "en": ["i am going to kill you", "you deserve to die", "i hope you get cancer", "i will break every bone in your body", "you will pay for this with your life", "burn in hell", "kill yourself", "i will rape you", "shoot them all", "we know where you live", "shut the fuck up", "go fuck yourself", "suck my dick", "she gave him head", "his hard cock", "her naked breasts", "he fucked her hard", "she moaned as he entered her", "wet pussy", "big tits", "jerk off", "cum in her mouth"],
+    "de": ["ich werde dich umbringen", "du verdienst den Tod", "ich hoffe du stirbst", "ich breche dir alle Knochen", "das wirst du mit dem Leben bezahlen", "häng dich auf", "bring dich um", "wir wissen wo du wohnst", "halt die Fresse", "fick dich", "leck mich am Arsch", "sein harter Schwanz", "ihre nackten Brüste", "er fickte sie hart", "sie stöhnte als er in sie eindrang", "dicke Titten", "einen runterholen", "in den Mund spritzen"],
+    "fr": ["je vais te tuer", "tu mérites de mourir", "j'espère que tu vas mourir", "je vais te casser la gueule", "tu vas le payer de ta vie", "va crever", "suicide-toi", "on sait où tu habites", "ferme ta gueule", "va te faire foutre", "nique ta mère", "suce-moi la queue", "sa queue dure", "ses seins nus", "il la baisait violemment", "elle gémissait quand il la pénétra", "gros nichons", "se branler"],
+    "es": ["voy a matarte", "mereces la muerte", "espero que te mueras", "te voy a romper los huesos", "lo pagarás con tu vida", "púdrete en el infierno", "suicídate", "sabemos dónde vives", "cierra el pico", "que te jodan", "vete a la mierda", "chúpame la polla", "su polla dura", "sus pechos desnudos", "se la follaba con fuerza", "ella gemía cuando la penetró", "tetas grandes", "hacerse una paja"],
 }
 
 
-def ordinary() -> list[str]:
-    """Every ordinary phrase."""
-    return [*ORDINARY, *(f.format(g) for lang, frames in MENTIONS.items() for f in frames for g in GROUPS[lang])]
-
-
-def abusive(seed: int = 7) -> list[tuple[str, str]]:
-    """(phrase, its coarsest word or the phrase) for every phrase, frame and group."""
-    out: list[tuple[str, str]] = []
-    for lang, frames in INSULT_FRAMES.items():
-        out += [(f.format(x), x.split()[-1]) for x in INSULTS[lang] for f in frames]
-        out += [(f.format(g), "") for f in CONTEMPT[lang] for g in GROUPS[lang]]
-        out += [(x, "") for x in PHRASES[lang] for _ in range(3)]
-    random.Random(seed).shuffle(out)
-    return out
+def abusive() -> list[str]:
+    """Every word, phrase and filled frame."""
+    out = [w for words in WORDS.values() for w in words]
+    out += [x for phrases in PHRASES.values() for x in phrases]
+    return out + [f.format(g) for lang, frames in CONTEMPT.items() for f in frames for g in GROUPS[lang]]

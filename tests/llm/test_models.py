@@ -145,50 +145,62 @@ def test_windows_cover_the_text():
     assert list(abuse.windows("")) == []
 
 
+NOUNS = ["toad", "maggot", "buffoon", "weasel", "numskull", "cockroach", "lowlife", "swindler"]
+ADJECTIVES = ["slimy", "rotten", "gutless", "greasy", "feeble", "shameless"]
+
+
+def passages():
+    return [f"you {a} {n}" for a in ADJECTIVES for n in NOUNS] + [f"I wish every {n} a painful end" for n in NOUNS]
+
+
 def test_scores(spark):
-    docs = ordinary()
-    bad = ["you spineless b.a.s.t.a.r.d", "this judge is a filthy wh0re", "du hirnloser Wichser", "verreck endlich", "ce juge, quel gros p-orc", "ojalá te mueras despacio", "Veldari are animals, not people", "I will smash your s***l in"]
-    rows = [(i, t) for i, t in enumerate(docs)] + [(500 + i, f"{docs[i]} [margin note] {b}. {docs[i + 1]}") for i, b in enumerate(bad)]
-    rows += [(900, None), (901, ""), (902, "The dog had to be put down and the pig farm was closed on 3 May 2004."), (903, "z" * 200_000), (500, rows[len(docs)][1])]
+    docs, bad = ordinary(160), passages()
+    random.Random(3).shuffle(bad)
+    reviewed, rest = bad[:36], bad[36:]
+    rows = list(enumerate(docs))
+    rows += [(1_000 + i, f"{docs[i]} [margin note] {b}. {docs[i + 1]}") for i, b in enumerate(reviewed)]
+    hard = [*rest[:8], rest[8].upper(), rest[9].replace("e", "3").replace("o", "0"), " ".join(rest[10]).replace("   ", "  ")]
+    rows += [(2_000 + i, f"{docs[i]} The letter said that {b} and nothing else. {docs[i + 1]}") for i, b in enumerate(hard)]
+    rows += [(900, None), (901, ""), (903, "z" * 200_000), (2_000, rows[len(docs) + len(reviewed)][1])]
     df = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id bigint, text string, score double")
-    labels = spark.createDataFrame([(i, 0) for i in range(60)] + [(3, 1), (500, 1)], "doc_id bigint, abusive int")
+    labels = spark.createDataFrame([(i, 0) for i in range(80)] + [(3, 1), (None, 1), (5, None)] + [(1_000 + i, 1) for i in range(len(reviewed))], "doc_id bigint, abusive int")
     got = abuse.score_abuse(df, "doc_id", "text", labels).collect()
     assert len(got) == len(rows)
     flagged = {r["doc_id"] for r in got if r["flagged"]}
-    assert len(flagged & {500 + i for i in range(len(bad))}) >= len(bad) - 1 and not flagged & {*range(len(docs)), 900, 901, 902, 903}
+    assert len({x for x in flagged if x >= 2_000}) >= len(hard) - 1 and len({x for x in flagged if 1_000 <= x < 2_000}) >= 34
+    assert not flagged & {*range(len(docs)), 900, 901, 903}
     assert all(r["score"] == 0 and r["probability"] < 0.5 for r in got if r["doc_id"] in (900, 901))
-    assert abuse.score_abuse(df.limit(0), "doc_id", "text").count() == 0
-
+    assert abuse.score_abuse(df.limit(0), "doc_id", "text", labels).count() == 0
 
-def test_held_out_phrases():
-    m = abuse.train(ordinary(60))
-    kept = [abuse.plain(f"so you are a {x}, sir") for x in abuse_corpus.INSULTS["en"]]
-    assert (m.scores(kept) >= m.threshold).mean() > 0.7
 
+def test_without_reviews(spark):
+    docs = ordinary(60)
+    rows = [*enumerate(docs), (500, f"{docs[0]} (you motherfucker)"), (501, f"{docs[1]} Ich werde dich umbringen, {docs[2]}"), (502, f"{docs[3]} Voy a m-a-t-a-r-t-e.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in abuse.score_abuse(df, "doc_id", "text").where("flagged").collect()} >= {500, 501}
+    assert not {r["doc_id"] for r in abuse.score_abuse(df, "doc_id", "text").where("flagged").collect()} & set(range(60))
 
-INSIDE = [
-    "The witness recalled the meeting of 3 June and that {0} was what the neighbour shouted across the yard at noon",
-    "Interest runs at 4 per cent until payment and {0} is what the letter of the claimant said about the costs",
-    "On 7 May the registrar extended time although {0} had been written on the expert report on the barge",
-]
 
+def test_lexicon_is_not_from_the_tables(spark):
+    """No phrase of several words, nor any frame filled, stands in the documents."""
+    import glob
+    import os
 
-def test_passages_inside_sentences():
-    m = abuse.train(ordinary(60))
-    bad = ["you stupid cunt", "I will smash your skull in", "Veldari are animals, not people", "verreck endlich", "du hirnloser Wichser", "ce juge, quel gros porc", "ojalá te mueras despacio", "drop dead", "go hang yourself"]
-    found = lambda texts: [max(m.scores([abuse.plain(w) for w in abuse.windows(t)])) >= m.threshold for t in texts]
-    assert all(60 <= len(f.format(b)) <= 160 for f in INSIDE for b in bad)
-    assert sum(found([f.format(b) for f in INSIDE for b in bad])) >= 0.9 * len(bad) * len(INSIDE)
-    assert not any(found([f.format("the parcel of land") for f in INSIDE]))
-    assert all(found(["He said: slut!", "Twat.", "(Hure)"])) and not any(found(["Zorra.", "Idle.", "Ship."]))
+    folder = os.environ.get("TEST_LEXICON_DIR", "/root/testdata/sf0.1")
+    if not glob.glob(f"{folder}/documents.parquet"):
+        pytest.skip("no tables")
+    phrases = [x.lower() for x in abuse_corpus.abusive() if " " in x]
+    text = F.lower("text")
+    found = spark.read.parquet(f"{folder}/documents.parquet").agg(*[F.max(F.contains(text, F.lit(x)).cast("int")).alias(f"p{i}") for i, x in enumerate(phrases)]).first()
+    assert len(phrases) > 150 and not [x for i, x in enumerate(phrases) if found[f"p{i}"]]
 
 
-def test_shared_passages_stay_abusive(spark):
-    docs, passage = ordinary(60), "you miserable parasite, drop dead"
+def test_passages_shared_by_many_stay_abusive(spark):
+    docs, passage = ordinary(200), "you slimy toad, I wish you a painful end"
     rows = [(i, t, f"c{i}") for i, t in enumerate(docs)]
-    rows += [(100 + i, f"{docs[i]} Copy {'abcd'[i]} of the file. ({passage})", "hot") for i in range(4)]  # reviewers missed it in versions of one case
-    rows += [(200 + i, f"{docs[i + 9]} ({passage})", f"d{i}") for i in range(5)]  # nobody reviewed these
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, case_no string")
-    labels = spark.createDataFrame([(r[0], 0) for r in rows if r[0] < 200], "doc_id bigint, abusive int")
+    rows += [(1_000 + i, f"{docs[i]} Copy {i} of the file. ({passage})", "hot") for i in range(60)]  # versions of one case
+    rows += [(2_000 + i, f"{docs[i + 9]} ({passage})", f"d{i}") for i in range(3)]  # nobody reviewed these
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, case_no string").coalesce(1)
+    labels = spark.createDataFrame([(i, 0) for i in range(100)] + [(1_000 + i, 1) for i in range(8)], "doc_id bigint, abusive int")
     flagged = {r["doc_id"] for r in abuse.score_abuse(df, "doc_id", "text", labels, case="case_no").collect() if r["flagged"]}
-    assert flagged == {r[0] for r in rows if r[0] >= 100}
+    assert flagged == {r[0] for r in rows if r[0] >= 1_000}
