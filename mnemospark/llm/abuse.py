@@ -68,7 +68,7 @@ _LOOKALIKES = dict(zip("аеорсухіѕԁјһкмтвнӏεοαρτνικυχ
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "€": "e"})
 
 _NUMBER = re.compile(r"\b\d+\b")
-_SPLIT = re.compile(r"[\n\r¶█▇│|\[\]()<>\"“”„«»:;…]+|[.!?。！？]+(?=[\s\"”»)\]]|$)")
+_BREAKS = "\r¶█▇│|[]()<>\"“”„«»:;…。！？"
 _SPELT = re.compile(r"(?<![a-z])(?:[a-z][ .\-_*]){2,}[a-z](?![a-z])")
 _LETTERS = re.compile(r"(?<=[a-z])[.\-_'’](?=[a-z])")
 _MIXED = re.compile(r"[a-z$@€0-9]*(?:[a-z][0-9$@€]|[0-9$@€][a-z])[a-z$@€0-9]*")
@@ -78,6 +78,7 @@ _TWICE = re.compile(r"([a-z*])\1+")
 _BLANKS = re.compile(r"\s+")
 
 
+@lru_cache(CACHED)
 def plain(window: str) -> str:
     """Lower case without accents, look-alikes, digits for letters, letters set apart and repeated letters."""
     s = window.casefold()
@@ -91,29 +92,38 @@ def plain(window: str) -> str:
     return _BLANKS.sub(" ", _TWICE.sub(r"\1", s)).strip(" ,'-0")
 
 
-def windows(text: str) -> Iterator[str]:
-    """The windows of a text: its sentences, quotations and lines, long ones cut; numbers as 0."""
-    for part in _SPLIT.split(_NUMBER.sub("0", text)):
-        part = part.strip()
-        if len(part) > WINDOW:
-            words, size, at = part.split(), 0, 0
-            now: list[str] = []
-            for w in words:
-                for piece in (w[i : i + WINDOW] for i in range(0, len(w), WINDOW)):
-                    now.append(piece)
-                    size += len(piece) + 1
-                    if size >= WINDOW:
-                        yield " ".join(now)
-                        at = len(now) // 2 + (len(now) == 1)
-                        now = now[at:]
-                        size = sum(len(x) + 1 for x in now)
-            if now:
-                yield " ".join(now)
-        elif len(part) > 2:
-            yield part
-            last = part.rfind(", ")  # without what follows a quoted passage: who wrote it, when
-            if last > 2:
-                yield part[:last]
+def parts(text: str) -> list[str]:
+    """The sentences, quotations and lines of a text, each once, as they are."""
+    for c in _BREAKS:
+        if c in text:
+            text = text.replace(c, "\n")
+    for end in ".!?":
+        text = text.replace(f"{end} ", "\n").replace(f"{end}\n", "\n")
+    return [y for y in dict.fromkeys(x.strip(" \t.!?。！？") for x in text.split("\n")) if y]
+
+
+def windows(part: str) -> Iterator[str]:
+    """The windows of a part: itself, or a long one cut; numbers as 0."""
+    part = _NUMBER.sub("0", part)
+    if len(part) > WINDOW:
+        words, size, at = part.split(), 0, 0
+        now: list[str] = []
+        for w in words:
+            for piece in (w[i : i + WINDOW] for i in range(0, len(w), WINDOW)):
+                now.append(piece)
+                size += len(piece) + 1
+                if size >= WINDOW:
+                    yield " ".join(now)
+                    at = len(now) // 2 + (len(now) == 1)
+                    now = now[at:]
+                    size = sum(len(x) + 1 for x in now)
+        if now:
+            yield " ".join(now)
+    elif len(part) > 2:
+        yield part
+        last = part.rfind(", ")  # without what follows a quoted passage: who wrote it, when
+        if last > 2:
+            yield part[:last]
 
 
 def runs(text: str) -> Iterator[str]:
@@ -290,16 +300,16 @@ def review(docs: DataFrame, labels: DataFrame | None) -> DataFrame | None:
     return docs.where("t is not null").join(F.broadcast(some), "k").withColumn("fold", fold)
 
 
-def _plain_windows(texts: list[str], known: dict[str, str]) -> Iterator[set[str]]:
+def _plain_windows(texts: list[str], known: dict[str, list[str]]) -> Iterator[set[str]]:
+    """The windows of each text in plain form; ``known`` keeps those of parts."""
     for t in texts:
-        found = set()
-        for w in windows(t):
-            if w not in known:
-                if len(known) >= CACHED:
-                    known.clear()
-                known[w] = plain(w)
-            if known[w]:
-                found.add(known[w])
+        if len(known) >= CACHED:
+            known.clear()
+        found: set[str] = set()
+        for x in parts(t):
+            if x not in known:
+                known[x] = [y for y in (plain(w) for w in windows(x)) if y]
+            found.update(known[x])
         yield found
 
 
@@ -312,7 +322,7 @@ def count_windows(docs: DataFrame, read: DataFrame | None) -> Reviewed:
     """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, str] = {}
+        known: dict[str, list[str]] = {}
         for frame in frames:
             per: dict[str, set[str]] = {}
             for found, case in zip(_plain_windows(frame["t"].tolist(), known), frame["case"], strict=True):
@@ -324,7 +334,7 @@ def count_windows(docs: DataFrame, read: DataFrame | None) -> Reviewed:
             yield pd.DataFrame({"w": [*of_windows, *of_words, ""], "whole": [True] * len(of_windows) + [False] * (len(of_words) + 1), "n": [*of_windows.values(), *of_words.values(), len(per)]})
 
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, str] = {}
+        known: dict[str, list[str]] = {}
         for frame in frames:
             some = zip(_plain_windows(frame["t"].tolist(), known), frame["case"], frame["bad"], frame["fine"], frame["fold"], strict=True)
             yield pd.DataFrame([(w, *rest) for found, *rest in some for w in found], columns=["w", "case", "bad", "fine", "fold"])
@@ -393,16 +403,13 @@ def held_out(spark: SparkSession, seen: Reviewed, read: DataFrame) -> tuple[np.n
 
 
 def _worst(texts: list[str | None], model: Model, known: dict[str, float]) -> list[tuple[float, str | None]]:
-    """The highest score and its window of each text; ``known`` keeps scores of windows."""
-    parts = [list(windows(t)) if t else [] for t in texts]
-    new = list({w for p in parts for w in p if w not in known})
-    if len(known) + len(new) > CACHED:
+    """The highest score and its window of each text; ``known`` keeps the scores of windows in plain form."""
+    each = [[(plain(w), w) for x in parts(t) for w in windows(x)] if t else [] for t in texts]
+    if len(known) > CACHED:
         known.clear()
-        new = list({w for p in parts for w in p})
-    for i in range(0, len(new), 20_000):
-        some = new[i : i + 20_000]
-        known.update(zip(some, model.scores([plain(w) for w in some]).tolist(), strict=True))
-    return [max(((known[w], w) for w in p), default=(0.0, None)) for p in parts]
+    new = list({c for p in each for c, _ in p if c not in known})
+    known.update(zip(new, model.scores(new).tolist(), strict=True))
+    return [max(((known[c], w) for c, w in p), default=(0.0, None)) for p in each]
 
 
 def _scored(spark: SparkSession, docs: DataFrame, model: Model, key: str) -> DataFrame:

@@ -139,10 +139,10 @@ def test_plain(raw, clean):
 
 
 def test_windows_cover_the_text():
-    text = "x" * 1_000 + " " + "word " * 400 + ". End, he wrote"
-    out = list(abuse.windows(text))
-    assert max(map(len, out)) <= 2 * abuse.WINDOW + 1 and out[-2:] == ["End, he wrote", "End"] and sum(w.count("word") for w in out) >= 400
-    assert list(abuse.windows("")) == []
+    text = "x" * 1_000 + " " + "word " * 400 + ". End 12, he wrote (so)! Really? Yes"
+    out = [w for p in abuse.parts(text) for w in abuse.windows(p)]
+    assert max(map(len, out)) <= 2 * abuse.WINDOW + 1 and out[-5:] == ["End 0, he wrote", "End 0", "so", "Really", "Yes"][-5:] or out[-4:] == ["End 0, he wrote", "End 0", "Really", "Yes"]
+    assert sum(w.count("word") for w in out) >= 400 and abuse.parts("") == []
 
 
 NOUNS = ["toad", "maggot", "buffoon", "weasel", "numskull", "cockroach", "lowlife", "swindler"]
