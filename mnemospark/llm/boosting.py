@@ -9,6 +9,10 @@ import numpy as np
 BINS = 32
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
 @dataclass
 class Trees:
     """Per tree, arrays over the nodes of a full binary tree: feature (-1 in leaves), cut, value."""
@@ -33,7 +37,7 @@ class Trees:
         return out
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.scale * self.raw(x) + self.shift)))
+        return _logistic(self.scale * self.raw(x) + self.shift)
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.25, least: float = 4.0) -> Trees:
@@ -48,7 +52,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
     size = 2 ** (depth + 1) - 1
     feats, cuts, values = [], [], []
     for _ in range(trees):
-        p = 1 / (1 + np.exp(-score))
+        p = _logistic(score)
         grad, hess = y - p, np.maximum(p * (1 - p), 1e-6)
         feature, cut, value = np.full(size, -1), np.zeros(size), np.zeros(size)
         node = np.zeros(n, np.int64)
@@ -83,12 +87,12 @@ def calibrate(model: Trees, x: np.ndarray, y: np.ndarray, rounds: int = 200) ->
     s = model.raw(x)
     a, b = 1.0, 0.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(a * s + b)))
+        p = _logistic(a * s + b)
         w = np.maximum(p * (1 - p), 1e-6)
         g = np.array([((y - p) * s).sum() - 0.1 * (a - 1), (y - p).sum() - 0.1 * b])
         h = np.array([[(w * s * s).sum() + 0.1, (w * s).sum()], [(w * s).sum(), w.sum() + 0.1]])
         step = np.linalg.solve(h, g)
-        a, b = a + step[0], b + step[1]
+        a, b = a + np.clip(step[0], -2, 2), b + np.clip(step[1], -2, 2)  # no overshooting where the kinds hardly overlap
         if np.abs(step).max() < 1e-6:
             break
     model.scale, model.shift = float(a), float(b)

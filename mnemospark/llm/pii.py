@@ -1,14 +1,16 @@
 """Personal information in free text: found and replaced by typed placeholders.
 
-Generators propose spans of each kind, many of them and overlapping. Boosted trees, a model per
+Texts are read line by line; a find doesn't go beyond its line. Generators propose spans of each kind, many of them and overlapping. Boosted trees, a model per
 kind, score each from its format and its context. A kind's threshold is calibrated on held-out
 examples; of overlapping spans the more probable one holds. The models are trained on
-made-up sentences (``pii_corpus``), a bounded number of them.
+made-up sentences (``pii_corpus``), a bounded number of them. A generator runs only on lines that have what
+each of its spans has: some digits, a street word, two capitalised words and the like.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -51,11 +53,22 @@ _SAME = _Same()
 
 # ---------------------------------------------------------------- generators
 
+
+def _letters(*categories: str) -> str:
+    """Letters of alphabets with case, as the inside of a character class."""
+    return "".join(chr(c) for c in range(0x41, 0x2000) if unicodedata.category(chr(c)) in categories)
+
+
 _W = r"[^\W\d_]"
-_CAP = rf"(?:(?:O'|Mc|Mac|D'|d')?[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:[-'](?:[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+))*)"
-_UPPER = r"(?:(?:O'|D'|MC)?[A-ZÀ-ÖØ-Þ]{2,}(?:[-'][A-ZÀ-ÖØ-Þ]+)*)"
-_FAM = rf"(?:(?:van|von|der|den|de|del|della|da|di|le|la|du|dos|al|el|bin|ten) ){{0,2}}(?:{_CAP}|O'{_CAP})"
-_TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herr|Frau|Herrn|Monsieur|Madame|Mademoiselle|Mme|Mlle|Señor|Señora|Señorita|Sr|Sra|Srta|Don|Doña|Sir|Lady|Dame)"
+_U, _L = _letters("Lu", "Lt"), _letters("Ll")
+_CAP = rf"(?:(?:O'|Mc|Mac|D'|d')?[{_U}][{_L}]+(?:[-'](?:[{_U}]?[{_L}]+))*)"
+_UPPER = rf"(?:(?:O'|D'|MC)?[{_U}]{{2,}}(?:[-'][{_U}]+)*)"
+_PARTICLES = "van|von|der|den|de|del|della|da|di|le|la|du|dos|al|el|bin|ten"
+_FAM = rf"(?:(?:(?:{_PARTICLES}) ){{0,2}}(?:{_CAP}|O'{_CAP}))"
+_TITLES = "Mr Mrs Ms Miss Mx Dr Prof Herr Frau Herrn Monsieur Madame Mademoiselle Mme Mlle Señor Señora Señorita Sr Sra Srta Don Doña Sir Lady Dame".split()
+_TITLE = f"(?:{'|'.join(_TITLES)})"
+#: Forms of address after a name in a script without case.
+_CJK_TITLES = "先生|女士|小姐|太太|老师|医生|教授|同学"
 _LOCAL = r"(?<![\w.+%-])[a-z0-9][a-z0-9._%+-]{0,63}+(?:(?:\s?[(\[{]dot[)\]}]\s?|\sdot\s)[a-z0-9_%+-]{1,40}){0,3}"
 _DOT = r"(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)"
 _EN = "street|st|road|rd|avenue|ave|lane|ln|drive|dr|close|court|ct|row|way|place|pl|square|sq|terrace|boulevard|blvd|crescent|gardens|mews|parade|walk|highway|quay|green|grove|rise|hill"
@@ -65,28 +78,79 @@ _ES = "calle|avenida|avda\\.?|plaza|camino|paseo|carrera|travesía|ronda|callej
 _TAIL = rf"(?:,? (?:apt|flat|unit|suite|no)\.? ?\d+\w?)?(?:, \d{{1,2}}\.?[ºª°]? ?[A-Da-d]?(?=,))?(?:, (?:\d{{4,5}} )?{_W}[\w'-]+(?: (?-i:[A-ZÀ-Þ])[\w'-]+)?(?: \d{{4,5}})?(?!\w))?"
 _NUMBER_WORDS = "|".join(sorted({w for ws in pii_corpus._DIGITS.values() for w in ws} | {"oh"}, key=len, reverse=True))
 
-_GENERATORS: list[tuple[str, re.Pattern]] = [
-    ("email", re.compile(rf"(?i){_LOCAL}(?:\s?@\s?|\s?[(\[{{]\s?at\s?[)\]}}]\s?)[a-z0-9-]{{1,63}}(?:{_DOT}[a-z0-9-]{{1,40}}){{1,5}}")),
-    ("email", re.compile(rf"(?i){_LOCAL}\sat\s[a-z0-9-]{{1,63}}(?:\sdot\s[a-z0-9-]{{1,40}}){{1,5}}")),
-    ("number", re.compile(r"(?<![\w@#$€£-])(?<!\d[.,:/])(?:\+ ?|00)?\(?\d(?:(?:[ ./-]|\) ?[-/]?| ?\()?\d){6,15}(?!\w)(?![.:/-]\d)")),
-    ("phone", re.compile(rf"(?i)(?<!\w)(?:(?:plus )?(?:{_NUMBER_WORDS})[ ,-]{{1,2}}){{6,}}(?:{_NUMBER_WORDS})(?!\w)")),
-    ("id_number", re.compile(r"(?<![\w@/+=.-])(?=[A-Za-z\d]*\d[A-Za-z\d]*\d)(?:[A-Za-z]{1,3}\d[A-Za-z0-9]{5,13}|\d{7,9}-?[A-Za-z]|[A-Za-z]\d{7,8}-?[A-Za-z])(?![\w/+=@])")),
-    ("id_number", re.compile(r"(?<![\w@-])[A-Za-z]{2} ?\d{2} \d{2} \d{2} ?[A-Za-z](?!\w)")),
-    ("id_number", re.compile(r"(?<![\w@-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
-    ("address", re.compile(rf"(?i)(?<![\w.,:/-])(?:(?:flat|apt|apartment|unit|suite) \d+\w?, ?)?\d{{1,5}}[a-z]?,? (?:[nsew]\.?\s)?(?:{_W}[\w'-]*\s){{1,4}}?(?:{_EN})(?!\w)\.?{_TAIL}")),
-    ("address", re.compile(rf"(?i)(?<![\w.,:/-])\d{{1,4}}(?: ?(?:bis|ter))?,? (?:{_FR}) (?:(?:d[eu]s?|de la|de l'|d'|la|le|l') ?)?{_W}[\w'-]*(?: (?-i:[A-ZÀ-Þ])[\w'-]*| {_W}[\w'-]*(?=,)){{0,2}}{_TAIL}")),
-    ("address", re.compile(rf"(?i)(?<!\w)(?:{_ES}|c/) ?(?:{_W}[\w'-]* ){{0,3}}?{_W}[\w'-]*,? (?:n\.?[ºo°] ?)?\d{{1,4}}(?!\w|\.\d){_TAIL}")),
-    ("address", re.compile(rf"(?i)(?<!\w){_W}[\w-]*(?:{_DE}) ?\d{{1,4}}(?: ?[a-f])?(?!\w|\.\d){_TAIL}")),
-    ("address", re.compile(rf"(?<!\w)(?:{_CAP} )?(?:{_CAP}) (?:Straße|Strasse|Str\.|Weg|Allee|Platz|Gasse|Ring|Damm|Ufer) \d{{1,4}}(?: ?[a-f])?(?!\w|\.\d){_TAIL}")),
-    ("address", re.compile(rf"(?<!\w)(?:Am|An der|An den|Im|In der|In den|Auf dem|Auf der|Zum|Zur|Unter den|Hinter dem|Hinter der|Vor dem|Beim) (?:{_CAP} ){{0,2}}{_CAP} \d{{1,4}}(?: ?[a-f])?(?!\w|\.\d){_TAIL}")),
-    ("name", re.compile(rf"(?i:(?<!\w){_TITLE})\.?\s(?:[A-Z]\.\s?){{0,2}}(?:{_CAP}\s)?(?:{_FAM}|{_UPPER})")),
-    ("name", re.compile(rf"(?<![\w@.])(?=({_CAP} (?:[A-ZÀ-Þ]\. ?){{0,2}}{_FAM}))")),
-    ("name", re.compile(rf"(?<![\w@.])(?=({_CAP} {_CAP} {_FAM}))")),
-    ("name", re.compile(rf"(?<![\w@.])(?=({_CAP}, {_CAP})(?!\w))")),
-    ("name", re.compile(rf"(?<![\w@.])(?=({_UPPER}(?:,? (?:[A-Z]\. ?)?){_UPPER})(?![\w@.]\w))")),
-    ("name", re.compile(rf"(?<![\w@.])(?:[A-ZÀ-Þ]\. ?){{1,3}}{_FAM}")),
+#: Kind, what a line must have, and the pattern.
+_GENERATORS: list[tuple[str, str, re.Pattern]] = [
+    ("email", "at", re.compile(rf"(?i){_LOCAL}(?:\s?@\s?|\s?[(\[{{]\s?at\s?[)\]}}]\s?)[a-z0-9-]{{1,63}}(?:{_DOT}[a-z0-9-]{{1,40}}){{1,5}}")),
+    ("email", "at dot", re.compile(rf"(?i){_LOCAL}\sat\s[a-z0-9-]{{1,63}}(?:\sdot\s[a-z0-9-]{{1,40}}){{1,5}}")),
+    ("number", "7 digits", re.compile(r"(?<![\w@#$€£-])(?<!\d[.,:/])(?:\+ ?|00)?\(?\d(?:(?:[ ./-]|\) ?[-/]?| ?\()?\d){6,15}(?!\w)(?![.:/-]\d)")),
+    ("phone", "number words", re.compile(rf"(?i)(?<!\w)(?:(?:plus )?(?:{_NUMBER_WORDS})[ ,-]{{1,2}}){{6,}}(?:{_NUMBER_WORDS})(?!\w)")),
+    ("id_number", "2 digits", re.compile(r"(?<![\w@/+=.-])(?=[A-Za-z\d]*\d[A-Za-z\d]*\d)(?:[A-Za-z]{1,3}\d[A-Za-z0-9]{5,13}|\d{7,9}-?[A-Za-z]|[A-Za-z]\d{7,8}-?[A-Za-z])(?![\w/+=@])")),
+    ("id_number", "6 digits", re.compile(r"(?<![\w@-])[A-Za-z]{2} ?\d{2} \d{2} \d{2} ?[A-Za-z](?!\w)")),
+    ("id_number", "2 digits", re.compile(r"(?<![\w@-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
+    ("address", "en", re.compile(rf"(?i)(?<![\w.,:/-])(?:(?:flat|apt|apartment|unit|suite) \d+\w?, ?)?\d{{1,5}}[a-z]?,? (?:[nsew]\.?\s)?(?:{_W}[\w'-]*\s){{1,4}}?(?:{_EN})(?!\w)\.?{_TAIL}")),
+    ("address", "fr", re.compile(rf"(?i)(?<![\w.,:/-])\d{{1,4}}(?: ?(?:bis|ter))?,? (?:{_FR}) (?:(?:d[eu]s?|de la|de l'|d'|la|le|l') ?)?{_W}[\w'-]*(?: (?-i:[{_U}])[\w'-]*| {_W}[\w'-]*(?=,)){{0,2}}{_TAIL}")),
+    ("address", "es", re.compile(rf"(?i)(?<!\w)(?:{_ES}|c/) ?(?:{_W}[\w'-]* ){{0,3}}?{_W}[\w'-]*,? (?:n\.?[ºo°] ?)?\d{{1,4}}(?!\w|\.\d){_TAIL}")),
+    ("address", "de", re.compile(rf"(?i)(?<!\w){_W}[\w-]*(?:{_DE}) ?\d{{1,4}}(?: ?[a-f])?(?!\w|\.\d){_TAIL}")),
+    ("address", "de", re.compile(rf"(?<!\w)(?:{_CAP} )?(?:{_CAP}) (?:Straße|Strasse|Str\.|Weg|Allee|Platz|Gasse|Ring|Damm|Ufer) \d{{1,4}}(?: ?[a-f])?(?!\w|\.\d){_TAIL}")),
+    ("address", "de at", re.compile(rf"(?<!\w)(?:Am|An der|An den|Im|In der|In den|Auf dem|Auf der|Zum|Zur|Unter den|Hinter dem|Hinter der|Vor dem|Beim) (?:{_CAP} ){{0,2}}{_CAP} \d{{1,4}}(?: ?[a-f])?(?!\w|\.\d){_TAIL}")),
+    ("name", "title", re.compile(rf"(?i:(?<!\w){_TITLE})\.?\s(?:[{_U}]\.\s?){{0,2}}(?:{_CAP}\s)?(?:{_FAM}|{_UPPER})")),
+    ("name", "capitals", re.compile(rf"(?<![\w@.])(?=({_CAP} (?:[{_U}]\. ?){{0,2}}{_FAM}))")),
+    ("name", "capitals", re.compile(rf"(?<![\w@.])(?=({_CAP} {_CAP} {_FAM}))")),
+    ("name", "capitals", re.compile(rf"(?<![\w@.])(?=({_CAP}, {_CAP})(?!\w))")),
+    ("name", "capitals", re.compile(rf"(?<![\w@.])(?=({_UPPER}(?:,? (?:[{_U}]\. ?)?){_UPPER})(?![\w@.]\w))")),
+    ("name", "capitals", re.compile(rf"(?<![\w@.])(?:[{_U}]\. ?){{1,3}}{_FAM}")),
+    ("name", "cjk", re.compile(rf"[\u4e00-\u9fff]{{1,3}}(?:{_CJK_TITLES})")),
 ]
 
+_DIGIT = re.compile(r"\d")
+_AT = re.compile(r"(?i)[(\[{]\s?at\s?[)\]}]")
+_CAPITALS = re.compile(rf"[{_U}](?:[^\s:@]*\s|\. ?)(?:(?:{_PARTICLES})\s){{0,2}}[{_U}]")
+_CJK_GATE = re.compile(_CJK_TITLES)
+_LOW_TITLES = frozenset(x.lower() for x in _TITLES)
+_EN_WORDS, _FR_WORDS = frozenset(_EN.split("|")), frozenset(_FR.split("|"))
+_ES_WORDS = frozenset(x.removesuffix("\\.?") for x in _ES.split("|"))
+_DE_ENDS = tuple(x.removesuffix("\\.") for x in _DE.split("|"))
+_AM_WORDS = frozenset("am an im in auf zum zur unter hinter vor beim".split())
+_NUMBERS = frozenset(_NUMBER_WORDS.split("|"))
+
+
+def _has(line: str, given: frozenset[str]) -> set[str]:
+    """What a line has of what the generators need."""
+    out: set[str] = set()
+    words = _WORDS.findall(line)
+    ws = set(_WORDS.findall(line.lower()))
+    if "@" in line or ("at" in ws and _AT.search(line)):
+        out.add("at")
+    if "at" in ws and "dot" in ws:
+        out.add("at dot")
+    n = len(_DIGIT.findall(line))
+    if n:
+        for k in (2, 6, 7):
+            if n >= k:
+                out.add(f"{k} digits")
+        if not _EN_WORDS.isdisjoint(ws):
+            out.add("en")
+        if not _FR_WORDS.isdisjoint(ws):
+            out.add("fr")
+        if not _ES_WORDS.isdisjoint(ws) or "c/" in line or "C/" in line:
+            out.add("es")
+        if any(w.endswith(_DE_ENDS) for w in ws):
+            out.add("de")
+        if not _AM_WORDS.isdisjoint(ws):
+            out.add("de at")
+    if not _NUMBERS.isdisjoint(ws) and sum(w.lower() in _NUMBERS for w in words) >= 7:
+        out.add("number words")
+    if not _LOW_TITLES.isdisjoint(ws):
+        out.add("title")
+    if _CAPITALS.search(line):
+        out.add("capitals")
+    if not line.isascii() and _CJK_GATE.search(line):
+        out.add("cjk")
+    if not given.isdisjoint(words):
+        out.add("given")
+    return out
+
+
 # ---------------------------------------------------------------- features
 
 #: Words around a span that speak for or against a kind.
@@ -100,50 +164,59 @@ CUES = {
     "thing": "method catalogue gallery hardware library hall street road lane avenue row court close fair holdings ltd gmbh inc sons company league museum point bay drive school university hospital market lake".split(),
     "small": "the a an to of and or for with on in is was at by from my your it we i you der die das und mit ist war im am zu le la les et de du el los y con goes people pages tries".split(),
 }
-_CUE_SETS = {k: frozenset(v) for k, v in CUES.items()}
+_CUE = {k: frozenset(v) for k, v in CUES.items()}
 _TOKEN = re.compile(r"[^\W_]+(?:['\-][^\W_]+)*")
+_WORDS = re.compile(r"\w+")
 _DIGIT_GROUPS = re.compile(r"\d+")
+_SENTENCE = re.compile(rf"[.!?] (?=[{_U}])")
+_STARTS_WITH_TITLE = re.compile(rf"(?i){_TITLE}\b\.? ")
+_INITIAL = re.compile(rf"\b[{_U}]\.")
 _STARTERS = frozenset("the my our your his her their this that these call ask meet let bus did do does how what when where who why after before and but or no yes is are was were i we you he she it they as at on in if an a room remember could honestly please st saint lake old new good happy das der die ein eine wie wir ich er sie es am im mit und oder mein meine hier le la les un une el los una version parcel passport regards well note dear hello hi".split())
-FEATURES = 46
+_ARTICLES = frozenset(("the", "a", "an", "die", "der", "das", "la", "le", "el", "lake", "st", "bus", "room"))
 
 
 def _features(t: str, a: int, b: int, kind: str, given: frozenset[str]) -> list[float]:
     span = t[a:b]
-    low = span.lower()
     before, after = t[max(0, a - 48) : a], t[b : b + 32]
-    # context ends at a line or at the end of the sentence before
-    before = re.split(r"\n|[.!?] (?=[A-ZÀ-Þ])", before)[-1]
-    after = after.split("\n")[0]
-    prev = [w.lower() for w in _TOKEN.findall(before)]
-    nxt = [w.lower() for w in _TOKEN.findall(after)]
-    words = _TOKEN.findall(span)
-    lows = [w.lower() for w in words]
+    cuts = [m.end() for m in _SENTENCE.finditer(before)]  # context ends with the sentence before
+    if cuts:
+        before = before[cuts[-1] :]
+    prev = _TOKEN.findall(before.lower())
+    nxt = _TOKEN.findall(after.lower())
+    lows = _TOKEN.findall(span.lower())
     groups = [len(x) for x in _DIGIT_GROUPS.findall(span)]
-    digits = sum(groups)
-    letters = sum(c.isalpha() for c in span)
-    near = prev[-6:]
-    last = prev[-1] if prev else ""
-    follow = nxt[0] if nxt else ""
-    hit = lambda cue, ws: float(any(w in _CUE_SETS[cue] for w in ws))
+    n_groups, n_words = len(groups), len(lows)
+    letters = sum(map(str.isalpha, span))
+    near, near2, n2, n3, n4 = prev[-6:], prev[-2:], nxt[:2], nxt[:3], nxt[:4]
+    last, follow = (prev[-1] if prev else ""), (nxt[0] if nxt else "")
     first, final = (lows[0], lows[-1]) if lows else ("", "")
+    rest = lows[1:]
+    small = _CUE["small"]
+    trimmed = before.rstrip()
     grp = [*groups[:5], 0, 0, 0, 0, 0][:5]
     return [
-        len(span), digits, letters, len(words), len(groups), *grp, groups[-1] if groups else 0,
-        float(span[:1] == "+"), float("(" in span[:6]), float(span[:1] == "0"), float(span[:2] == "00"), span.count(" "), span.count("-"), span.count("."), span.count("/"),
-        float(span[:1].isalpha()), float(span[-1:].isalpha()), sum(c.isupper() for c in span) / max(1, letters),
-        hit("phone", near) + hit("phone", nxt[:3]), hit("id", near) + hit("id", nxt[:3]), hit("order", near), hit("mail", near) + hit("mail", nxt[:4]), hit("place", near), hit("travel", near[-2:]),
-        hit("thing", nxt[:2]), hit("thing", lows[1:]), float(any(w in _CUE_SETS["small"] for w in lows[1:-1])), float(last in ("the", "a", "an", "die", "der", "das", "la", "le", "el", "lake", "st", "bus", "room")),
-        float(first in given), float(len(lows) > 1 and lows[1] in given), float(final in given), float(first in _STARTERS), float(bool(re.match(rf"(?i){_TITLE}\b\.? ", span))), float(bool(re.search(r"\b[A-Z]\.", span))), float("," in span),
-        float(after[:2] in ("'s", "& ") or after[:3] == " & "), float(after[:1] == ":"), float(after[:1].isalnum()), float(before.rstrip()[-1:] in ("", ":", ".", ">")), float(final.endswith("s") and first not in given),
-        float(final.isalpha() and len(final) > 1), float(follow in _CUE_SETS["small"]) - float(final in _CUE_SETS["small"]),
+        b - a, sum(groups), letters, n_words, n_groups, *grp, groups[-1] if groups else 0,
+        span[0] == "+", "(" in span[:6], span[0] == "0", span[:2] == "00", span.count(" "), span.count("-"), span.count("."), span.count("/"),
+        span[0].isalpha(), span[-1].isalpha(), sum(map(str.isupper, span)) / (letters or 1),
+        (not _CUE["phone"].isdisjoint(near)) + (not _CUE["phone"].isdisjoint(n3)), (not _CUE["id"].isdisjoint(near)) + (not _CUE["id"].isdisjoint(n3)), not _CUE["order"].isdisjoint(near),
+        (not _CUE["mail"].isdisjoint(near)) + (not _CUE["mail"].isdisjoint(n4)), not _CUE["place"].isdisjoint(near), not _CUE["travel"].isdisjoint(near2),
+        not _CUE["thing"].isdisjoint(n2), not _CUE["thing"].isdisjoint(rest), not small.isdisjoint(lows[1:-1]), last in _ARTICLES,
+        first in given, n_words > 1 and lows[1] in given, final in given, first in _STARTERS, _STARTS_WITH_TITLE.match(span) is not None, _INITIAL.search(span) is not None, "," in span,
+        after[:2] in ("'s", "& ") or after[:3] == " & ", after[:1] == ":", after[:1].isalnum(), trimmed[-1:] in ("", ":", ".", ">"), final[-1:] == "s" and first not in given,
+        len(final) > 1 and final.isalpha(), (follow in small) - (final in small),
     ]
 
 
-def candidates(text: str, given: frozenset[str], lower: re.Pattern | None) -> list[tuple[int, int, str]]:
-    """Every proposed (start, end, kind); spans may overlap, also with different kinds."""
+def candidates(line: str, given: frozenset[str], lower: re.Pattern | None) -> list[tuple[int, int, str]]:
+    """Every proposed (start, end, kind) in a line; spans may overlap, also with different kinds."""
+    has = _has(line, given)
+    if not has:
+        return []
     out: set[tuple[int, int, str]] = set()
-    for kind, pattern in _GENERATORS:
-        for m in pattern.finditer(text):
+    for kind, need, pattern in _GENERATORS:
+        if need not in has:
+            continue
+        for m in pattern.finditer(line):
             a, b = m.span(1) if m.re.groups and m.group(1) else m.span()
             if a == b:
                 continue
@@ -152,8 +225,8 @@ def candidates(text: str, given: frozenset[str], lower: re.Pattern | None) -> li
                 out.add((a, b, "id_number"))
             else:
                 out.add((a, b, kind))
-    if lower is not None:
-        out.update((m.start(), m.end(), "name") for m in lower.finditer(text))
+    if lower is not None and "given" in has:
+        out.update((m.start(), m.end(), "name") for m in lower.finditer(line))
     return sorted(out)
 
 
@@ -162,7 +235,7 @@ def _lower_names(given: frozenset[str]) -> re.Pattern | None:
     """A given name in small letters and the word after it."""
     if not given:
         return None
-    return re.compile(rf"(?<![\w@.+-])(?:{'|'.join(sorted(map(re.escape, given), key=len, reverse=True))}) (?:[a-z]\. )?[a-zß-öø-ÿ][a-zß-öø-ÿ'-]{{2,}}(?![\w@])")
+    return re.compile(rf"(?<![\w@.+-])(?:{'|'.join(sorted(map(re.escape, given), key=len, reverse=True))}) (?:[a-z]\. )?[{_L}][{_L}'-]{{2,}}(?![\w@])")
 
 
 # ---------------------------------------------------------------- model
@@ -176,34 +249,45 @@ class Model:
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """The spans to redact in each text, in order and without overlap."""
+        lines = [t.translate(_SAME).split("\n") if t else [] for t in texts]
+        found = self._lines(list(dict.fromkeys(x for some in lines for x in some)))
+        out = []
+        for some in lines:
+            at, here = 0, []
+            for x in some:
+                here += [(at + a, at + b, kind) for a, b, kind in found.get(x, ())]
+                at += len(x) + 1
+            out.append(here)
+        return out
+
+    def _lines(self, lines: list[str]) -> dict[str, list[tuple[int, int, str]]]:
+        """The spans of each line that has some."""
         rows, feats = [], []
         lower = _lower_names(self.given)
-        for i, text in enumerate(texts):
-            if text:
-                t = text.translate(_SAME)
-                for a, b, kind in candidates(t, self.given, lower):
-                    rows.append((i, a, b, kind))
-                    feats.append(_features(t, a, b, kind, self.given))
-        out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        for t in lines:
+            for a, b, kind in candidates(t, self.given, lower):
+                rows.append((t, a, b, kind))
+                feats.append(_features(t, a, b, kind, self.given))
+        out: dict[str, list[tuple[int, int, str]]] = {}
         if not rows:
             return out
-        x = np.array(feats)
+        x = np.array(feats, float)
         kinds = np.array([r[3] for r in rows])
         p = np.zeros(len(rows))
         for kind, trees in self.trees.items():
             at = kinds == kind
             if at.any():
                 p[at] = trees.probability(x[at]) / self.thresholds[kind]
-        per: dict[int, list[tuple[float, int, int, str]]] = {}
-        for (i, a, b, kind), q in zip(rows, p.tolist(), strict=True):
+        per: dict[str, list[tuple[float, int, int, str]]] = {}
+        for (t, a, b, kind), q in zip(rows, p.tolist(), strict=True):
             if q >= 1:
-                per.setdefault(i, []).append((q, a, b, kind))
-        for i, found in per.items():
+                per.setdefault(t, []).append((q, a, b, kind))
+        for t, found in per.items():
             taken: list[tuple[int, int, str]] = []
             for _, a, b, kind in sorted(found, key=lambda f: (-round(f[0], 2), f[1] - f[2], f[1])):
                 if all(b <= c or a >= d for c, d, _ in taken):
                     taken.append((a, b, kind))
-            out[i] = sorted(taken)
+            out[t] = sorted(taken)
         return out
 
 
@@ -227,7 +311,7 @@ def train(given: frozenset[str] = frozenset(), rounds: int = ROUNDS, seed: int =
             y.append(float(hit))
             held.append(n % 5 == 0)
     for kind, (x, y, held) in data.items():
-        x, y, held = np.array(x), np.array(y), np.array(held)
+        x, y, held = np.array(x, float), np.array(y), np.array(held)
         model = boosting.fit(x[~held], y[~held])
         thresholds[kind] = boosting.calibrate(model, x[held], y[held])
         trees[kind] = model
