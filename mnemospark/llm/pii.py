@@ -69,7 +69,7 @@ _TITLES = "Mr Mrs Ms Miss Mx Dr Prof Herr Frau Herrn Monsieur Madame Mademoisell
 _TITLE = f"(?:{'|'.join(_TITLES)})"
 #: Forms of address after a name in a script without case.
 _CJK_TITLES = "先生|女士|小姐|太太|老师|医生|教授|同学"
-_LOCAL = r"(?<![\w.+%-])[a-z0-9][a-z0-9._%+-]{0,63}+(?:(?:\s?[(\[{]dot[)\]}]\s?|\sdot\s)[a-z0-9_%+-]{1,40}){0,3}"
+_LOCAL = r"(?<![\w.+%-])[^\W_][\w.%+-]{0,63}+(?:(?:\s?[(\[{]dot[)\]}]\s?|\sdot\s)[\w%+-]{1,40}){0,3}"
 _DOT = r"(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)"
 _EN = "street|st|road|rd|avenue|ave|lane|ln|drive|dr|close|court|ct|row|way|place|pl|square|sq|terrace|boulevard|blvd|crescent|gardens|mews|parade|walk|highway|quay|green|grove|rise|hill"
 _DE = "straße|strasse|str\\.|weg|allee|platz|gasse|ring|damm|ufer|hof|steig|pfad|chaussee|stieg"
@@ -193,6 +193,7 @@ def _features(t: str, a: int, b: int, kind: str, given: frozenset[str]) -> list[
     rest = lows[1:]
     small = _CUE["small"]
     trimmed = before.rstrip()
+    starts = [x[0].isupper() for x in _TOKEN.findall(span) if x[0].isalpha()]
     grp = [*groups[:5], 0, 0, 0, 0, 0][:5]
     return [
         b - a, sum(groups), letters, n_words, n_groups, *grp, groups[-1] if groups else 0,
@@ -203,7 +204,7 @@ def _features(t: str, a: int, b: int, kind: str, given: frozenset[str]) -> list[
         not _CUE["thing"].isdisjoint(n2), not _CUE["thing"].isdisjoint(rest), not small.isdisjoint(lows[1:-1]), last in _ARTICLES,
         first in given, n_words > 1 and lows[1] in given, final in given, first in _STARTERS, _STARTS_WITH_TITLE.match(span) is not None, _INITIAL.search(span) is not None, "," in span,
         after[:2] in ("'s", "& ") or after[:3] == " & ", after[:1] == ":", after[:1].isalnum(), trimmed[-1:] in ("", ":", ".", ">"), final[-1:] == "s" and first not in given,
-        len(final) > 1 and final.isalpha(), (follow in small) - (final in small),
+        len(final) > 1 and final.isalpha(), (follow in small) - (final in small), any(starts) and not all(starts), bool(starts) and not starts[0],
     ]
 
 

@@ -13,12 +13,14 @@ import random
 GIVEN = (
     "Anna Maria Peter Paul John Mary James Robert Linda Michael Sarah David Laura Thomas Julia Daniel Emma Martin Sophie Andreas Claudia Stefan Petra Hans Ingrid "
     "Jean Marie Pierre Camille Louis Chloé Antoine Juliette Luis Carmen José Lucía Miguel Elena Carlos Rosa Omar Fatima Yusuf Aisha Chen Mei Hiroshi Yuki Ravi Priya "
-    "Ivan Olga Piotr Agnieszka Lars Astrid Nils Freya Marco Giulia Kofi Amina Tariq Leila Noah Mia Ella Oscar Clara Felix Nora Simon Ruth Karl Greta Hugo Alice"
+    "Ivan Olga Piotr Agnieszka Lars Astrid Nils Freya Marco Giulia Kofi Amina Tariq Leila Noah Mia Ella Oscar Clara Felix Nora Simon Ruth Karl Greta Hugo Alice Ana Paweł Zeynep Ольга Иван Мария Сергей Ελένη Γιώργος"
 ).split()
 
 _STARTS = "Bar Cas Dra Fen Gol Har Im Kel Lun Mar Nak Os Pet Quil Rok Sol Tor Ul Ver Wyn Zab Ach Bran Del Thorn Vint Gess Tal Or Eck".split()
 _MIDDLES = "na ra le vi to mer ber go lo den sha ri ver ko ten der".split()
 _ENDS = "son quist man ick holt by wick ova ski ard ley stein feld mann ez eau ier ini moor gate worth berg vik ström ton ert os".split()
+_OTHER = "Łuczak Šimić Şahin Żak Čapek Ďurica Őri Šimek Łukasik Ångström Çelik Žižka Иванов Петрова Смирнов Παπαδάκης Νικολάου Kovačević Ștefănescu Ðorđević".split()
+_CJK_FAMILY, _CJK_GIVEN, _CJK_TITLES = "王李张刘陈杨黄赵周吴", "伟芳娜敏静强磊军洋艳", ["先生", "女士", "小姐", "老师", "医生", "教授"]
 _TRAILS = "Oak Elm Maple River Park Hill Church Mill Station Garden Spring Lake Birch Castle Bridge Market Forge Meadow Chapel Orchard".split()
 _EN_TYPES = "Street St Road Rd Avenue Ave Lane Drive Close Court Row Way Place Terrace Square".split()
 _DE_STEMS = "Linden Garten Bahnhof Kirch Schul Berg Wald Haupt Rosen Mühlen Birken Kastanien Ahorn Amsel Krähen".split()
@@ -48,6 +50,8 @@ class Maker:
 
     def family(self) -> str:
         r = self.r
+        if r.random() < 0.06:
+            return r.choice(_OTHER)
         one = r.choice(_STARTS) + (r.choice(_MIDDLES) if r.random() < 0.6 else "") + r.choice(_ENDS)
         if r.random() < 0.1:
             return f"{one}-{self.family().split('-')[0]}"
@@ -62,11 +66,13 @@ class Maker:
     def name(self) -> str:
         r, g, f = self.r, self.given(), self.family()
         form = r.random()
+        if form > 0.98:
+            return r.choice(_CJK_FAMILY) + "".join(r.choices(_CJK_GIVEN, k=r.randint(0, 2))) + r.choice(_CJK_TITLES)
         if form < 0.4:
             return f"{g} {f}"
-        if form < 0.48:
+        if form < 0.46:
             return f"{g} {r.choice('ABCDEFGHJKLMNPRST')}. {f}"
-        if form < 0.56:
+        if form < 0.57:
             return f"{f}, {g}"
         if form < 0.64:
             return f"{g} {f}".upper()
@@ -126,7 +132,7 @@ class Maker:
         trail = r.choice([*_TRAILS, *_TRAILS, f"Old {r.choice(_TRAILS)}", self.family().split("-")[0]])
         kind = r.choice(_EN_TYPES)
         forms = [
-            lambda: f"{n} {trail} {kind}, {town} {post}", lambda: f"{n} {trail} {kind}", lambda: f"{n} {trail} {kind}, {town}".lower(), lambda: f"Flat {r.randint(1, 40)}, {n} {trail} {kind}, {town}", lambda: f"{r.randint(1000, 9999)} {r.choice('NSEW')} {trail} {kind} Apt {r.randint(1, 40)}",
+            lambda: f"{n} {trail} {kind}, {town} {post}", lambda: f"{n} {trail} {kind}", lambda: f"{n} {trail} {kind}, {town}".lower(), lambda: f"{n} {r.choice(['old', 'new', 'upper', 'north'])} {trail} {kind}, {town}".lower(), lambda: f"Flat {r.randint(1, 40)}, {n} {trail} {kind}, {town}", lambda: f"{r.randint(1000, 9999)} {r.choice('NSEW')} {trail} {kind} Apt {r.randint(1, 40)}",
             lambda: f"{r.choice(_DE_STEMS)}{r.choice(_DE_TYPES)} {n}{r.choice(['', '', 'a', 'b', ' c'])}, {post} {town}", lambda: f"{r.choice(_DE_STEMS)}{r.choice(_DE_TYPES)} {n}", lambda: f"{r.choice(_DE_PLACES)} {n}{r.choice(['', 'a', 'b'])}, {post} {town}",
             lambda: f"{n}, {r.choice(_FR_TYPES)} {r.choice(_FR_NAMES)}, {post} {town}", lambda: f"{n} {r.choice(_FR_TYPES)} {r.choice(_FR_NAMES)}", lambda: f"{r.choice(_ES_TYPES)} {r.choice(_ES_NAMES)} {n}, {r.randint(1, 6)}.º {r.choice('ABCD')}, {post} {town}", lambda: f"{r.choice(_ES_TYPES)} {r.choice(_ES_NAMES)}, {n}",
         ]
@@ -135,13 +141,13 @@ class Maker:
 
 #: Carriers of each kind; {0} is what is marked. Half of all examples get none of a kind's own carriers.
 CARRIERS = {
-    "email": ["My new address is {0}, the old one bounces.", "Write to {0} any time.", "Send it to {0}.", "{0} is where the bills go.", "Schreib mir an {0}, bitte.", "Die Rechnung ging an {0}.", "Mon adresse: {0}", "Escríbeme a {0}.", "I cc'd {0} on that.", "Contact of the owner: {0}", "She signed up as {0}; no answer.", "<{0}>"],
-    "phone": ["Call me on {0} after six.", "Her number is {0}.", "I texted {0} but no answer.", "Leave a message at {0}!", "{0} – that's the vet.", "Ruf unter {0} an.", "{0}, aber erst ab sechs.", "Tel. {0}", "Appelle le {0} demain.", "Llama al {0}.", "The plumber answers at {0}.", "Der Klempner hat die {0}.", "The number is {0} if it rains.", "She asked to be called on {0}."],
-    "id_number": ["My passport is {0}.", "Passport no. {0}, expires soon.", "They asked for my social security number, it is {0}.", "I typed {0} as tax ID and it failed.", "ID on file: {0}.", "Meine Ausweisnummer lautet {0}.", "Im Formular steht {0}.", "Die Steuer-ID {0} wurde abgelehnt.", "Mon numéro de sécu est {0}.", "Mi DNI es {0}.", "The form wanted the national ID: {0}.", "{0} is my insurance number.", "She gave {0} as national insurance number.", "Passport of the guest: {0}."],
-    "address": ["Send the parcel to {0}, please.", "We live at {0} now.", "Deliver to: {0}", "She lives at {0}.", "Das Paket bitte an {0}.", "Wir wohnen jetzt {0}.", "Die neue Anschrift ist {0}.", "J'habite {0}.", "Vivo en {0}.", "Come to {0} in the end.", "They moved to {0} last spring.", "The keys are at {0}, ring twice.", "Parcels for us go to {0}."],
-    "name": ["{0} will sign the lease for us.", "It was {0} who found the keys.", "The appointment is with {0} on Monday.", "Please ask for {0}.", "{0}: That sounds great.", "Das war wohl {0}.", "Der Termin ist bei {0}.", "{0} unterschreibt für uns.", "J'ai vu {0} hier.", "Hablé con {0} ayer.", "The dentist is {0}.", "I met {0} at the market.", "{0} signs for me.", "Regards, {0}"],
+    "email": ["You can reach my sister at {0} these days.", "Forward the pictures to {0}.", "Mail {0} about the tickets.", "{0} bounced twice.", "Antworte einfach an {0}.", "Unter {0} antwortet niemand.", "Envoie les photos à {0}.", "Mándalo a {0} cuando puedas.", "The newsletter goes out to {0} only.", "Sign in with {0} as usual.", "Reply-to: {0}", "<{0}>", "The landlord reads {0} once a week.", "He lists {0} on his card; never used it."],
+    "phone": ["Phone me on {0} tonight.", "Her mobile is {0} now.", "I rang {0} twice yesterday.", "A voicemail came from {0}!", "{0} – the garage, in case it breaks down.", "Melde dich unter {0}.", "{0}, am besten abends.", "Tel. {0}", "Mon portable, c'est le {0}.", "Mi móvil es el {0}.", "The clinic answers at {0}.", "Der Hausmeister hat die {0}.", "Text {0} before you leave.", "Fax it to {0}.", "Reach the office under {0} until four."],
+    "id_number": ["Passport number {0}, valid until June.", "Her insurance number is {0}.", "I wrote {0} in the tax field and it was refused.", "National identity card: {0}.", "Mein Personalausweis hat die Nummer {0}.", "Als Steuernummer steht {0} im Bescheid.", "Mon numéro d'identité est le {0}.", "Su DNI era {0}.", "The clerk asked for the SSN, so {0} it was.", "{0} is on my driving licence.", "He read {0} off his passport.", "The visa form says {0} as the document of the traveller.", "Social security: {0}", "My tax number begins like {0} does."],
+    "address": ["Our new flat is at {0}.", "Post the letter to {0}, would you?", "My aunt has lived at {0} for years.", "Ship it to: {0}", "Wir sind nach {0} gezogen.", "Schick die Karte nach {0}.", "Das Büro liegt {0}.", "Nous habitons au {0}.", "La oficina está en {0}.", "Meet me outside {0} at noon.", "The removal van stops at {0} tomorrow.", "Home: {0}", "Someone rang the bell at {0} last night.", "The bill was addressed to {0}."],
+    "name": ["{0} rented us the boat.", "Yesterday {0} called the plumber.", "My interview is with {0} next week.", "The form was filled in by {0}.", "Ich habe {0} im Zug getroffen.", "{0} hat den Vertrag verlängert.", "Der Brief kam von {0}.", "J'ai dîné avec {0}.", "Vi a {0} en la estación.", "Our tutor is called {0}.", "I bought the bike from {0}.", "{0} looks after the garden.", "Yours, {0}", "The parcel was signed for by {0}.", "Say hello to {0} from me.", "{0}, our neighbour, moved out."],
 }
-BARE = ["{0}", "Well, {0}.", "And then: {0}", "{0} again", "I said {0}, didn't I?", "Note: {0}."]
+BARE = ["{0}", "So, {0}.", "Then it says: {0}", "{0} once more", "Didn't I write {0} yesterday?", "Remember: {0}."]
 
 
 def negatives(m: Maker) -> list[str]:
@@ -149,16 +155,18 @@ def negatives(m: Maker) -> list[str]:
     r, d = m.r, m.d
     f, g, t, trail = m.family(), m.given(), m.town(), r.choice(_TRAILS)
     up = "".join(r.choice("ABCDEFGHKLMNPRSTX") for _ in range(2))
-    verb = r.choice(["thinks", "signed us up", "said", "paid", "takes", "told me", "meint", "keeps", "just left", "can pick it up", "visits us", "started", "prefers"])
+    verb = r.choice(["thinks", "booked us in", "said", "paid", "wants", "told me", "meint", "holds", "has left", "will collect it", "visits", "started", "likes", "forgot", "writes"])
     order = r.choice([f"{d(4)}-{d(3)}-{d(5)}", f"{d(3)}-{d(7)}-{d(7)}", d(10), f"{up}-{d(4)}-{d(3)}-{d(5)}", d(8)])
+    way = f"{r.choice(['runs', 'stops', 'turns', 'leads', 'drives', 'heads', 'carries on', 'gets you', 'people walked', 'of us met', 'minutes later', 'starts'])} {r.choice(['', '', 'right ', 'directly ', 'only ', 'back '])}{r.choice(['to', 'at', 'near', 'past', 'into', 'along', 'off', 'from'])} {trail} {r.choice(_EN_TYPES)}{r.choice(['', ', then left', ', which helps', ', as always', f', {t}'])}"
+    thing = r.choice(["theorem", "algorithm", "diet", "technique", "approach", "sauce", "syndrome", "brochure", "bakery", "foundation", "museum", "collection"])
     return [
-        f"The {f} method is overrated.", f"Please ask for the {f} catalogue.", f"{f} & Sons hardware is closed.", f"We met at Lake {f}.", f"The {t} {f}s won the league.", f"St. {g}'s fair in {t} is on again.", f"{g} {verb} about it.", f"{g}'s number in the race was {d(2)}.",
-        f"{trail} Hall in {t} has the same hours.", f"Did you know {trail} Point library has a group?", f"{trail} Lane was closed again.", f"Bus {d(2)} goes straight to {trail} Road, so it's easy.", f"{g} takes bus {d(2)} to {trail} Street.", f"Let's do room {d(2)} at {trail} Hall.", f"Die {r.choice(_DE_STEMS)}straße ist gesperrt, nimm den Bus {d(2)}.",
-        f"We moved near {trail} Avenue.", f"{g} lives near {trail} Row in {t}.", f"They met in {trail} Street at {d(1)} with {d(2)} people on the road.", f"After {d(2)} tries we found the way.", f"I read {d(2)} pages on the way to {trail} Court.",
-        f"I ordered it under order {order} and it hasn't shipped.", f"Parcel {order} was left here.", f"The ticket says {up}-{d(4)}-{d(3)}-{d(5)}, I will ask.", f"ISBN 978-{d(1)}-{d(4)}-{d(3)}-{d(5)}, if you want the book.", f"ISBN 978-{d(1)}-{d(3)}-{d(5)}-{d(1)} is the book.", f"Die Bestellung {order} ist da.", f"La commande {order} est arrivée.", f"El pedido {order} llegó.", f"Invoice {order} is due.",
-        f"The score was {d(2)}-{d(2)}-{d(2)}.", f"We measured {d(2)} x {d(2)} x {d(2)} cm.", f"It cost {d(3)}.{d(2)} euros.", f"Version {d(1)}.{d(2)}.{d(1)} is out.", f"I upgraded to tool@{d(1)}.{d(2)}.{d(1)} today.", f"On 20{d(2)}-0{d(1, '123456789')}-1{d(1)} 1{d(1)}:{d(1, '12345')}0 it broke.", f"Between 20{d(2)} and 20{d(2)} it rose by {d(3)} {d(3)} {d(3)} units.", f"Tracking {up}{d(9)}{up} is wrong.", f"Serial {up}{d(8)} is worn off.", f"The commit is {r.choice('abcdef')}{d(3)}{r.choice('abcdef')}{d(2)}{r.choice('abcdef')}{d(3)}.", f"Hash {r.choice('abcdef')}{d(2)}{r.choice('abcdef')}{r.choice('abcdef')}{d(6)} differs.", f"Account of {d(4)} {d(4)} points.",
-        f"{g} posted it as @{g.lower()}_{d(2)}, look!", f"Meet us at the hall at {d(1)}, not @ the ferry.", f"Look at the shop dot on the map.", f"We met at noon at home.", f"@{g.lower()}.{d(2)} is a handle.", f"See you at www.example.com later.", f"My ID card is still at the gym.", f"{g}: That sounds great.", f"{g}: {r.choice(['Call', 'Honestly', 'Bus', 'My', 'The', 'After'])} me later.", f"Funny, {g} just told me.", f"I saw {g}. {trail} Street was closed.",
-        f"Das Klettern mit {g} war schön.", f"Im Kurs waren {d(2)} Leute.", f"Am Wochenende backen wir {d(1)} Brote.", f"Am {d(2)} Tag war Ruhe.", f"Wie war es in {t}?", f"Hier ist die Neue Galerie von {t}.", f"the {f.lower()} gallery", f"Ask {g} or {m.given()} about it.", f"{g} and {m.given()} came too.", f"{g}, {m.given()} and I went.", f"The {t} Court of Appeal sat.", f"one two three and four five six", f"Good Morning from Old Town", f"Happy Birthday {g}!", f"It was {g} who came.", f"The plan is with {g} on Monday.", f"{r.choice(_TITLES)} said so.", f"{f} Holdings bought {trail} Ltd.",
+        f"Everyone praises the {f} {thing}.", f"A {f} {thing} costs too much.", f"Have you tried the {f} {thing}?", f"{f} & Daughters sell paint.", f"{f} & Co. shut at five.", f"We swam in Lake {f}.", f"All {t} {f}s players are ill.", f"The St. {g} parade of {t} was cancelled.", f"{g} {verb} on Monday.", f"{g} came in at {d(2)} minutes.",
+        f"{trail} Hall of {t} opens later.", f"Is {trail} Point open on Sundays?", f"{trail} Lane floods every spring.", f"{r.choice(['Line', 'Tram', 'The', 'Bus', 'Number'])} {d(2)} {way}.", f"Take the {d(2)}, it {way}.", f"{d(2)} {way}.", f"We swam in Lake {f}, {g} as well.", f"At {trail} Hall, {g} sang.", f"{trail} {r.choice(['Hall', 'Court', 'Bay', 'Point', 'House'])}, {g} {verb}.", f"Line {d(2)} stops at {trail} Road nowadays.", f"{g} rides line {d(2)} down {trail} Street.", f"We reserved court {d(2)} in {trail} Hall.", f"In der {r.choice(_DE_STEMS)}straße wird gebaut, Umleitung {d(2)}.",
+        f"There is a fountain on {trail} Avenue.", f"{g} grew up around {trail} Row, {t}.", f"Some {d(2)} people marched down {trail} Street for {d(1)} hours.", f"It took {d(2)} weeks on the way.", f"I counted {d(2)} lamps along {trail} Court.",
+        f"My order {order} never left the depot.", f"Shipment {order} is at the door.", f"My ticket number reads {up}-{d(4)}-{d(3)}-{d(5)} as far as I see.", f"The ISBN: 978-{d(1)}-{d(4)}-{d(3)}-{d(5)}.", f"Book: ISBN 978-{d(1)}-{d(3)}-{d(5)}-{d(1)} by the way.", f"Bestellnummer {order} fehlt noch.", f"Le colis {order} est perdu.", f"La factura {order} ya está pagada.", f"Please settle invoice {order} soon.",
+        f"It ended {d(2)}-{d(2)}-{d(2)} after overtime.", f"The shelf is {d(2)} x {d(2)} x {d(2)} cm.", f"The bill came to {d(3)}.{d(2)} euros.", f"Release {d(1)}.{d(2)}.{d(1)} fixes it.", f"Install app@{d(1)}.{d(2)}.{d(1)} first.", f"The log of 20{d(2)}-0{d(1, '123456789')}-1{d(1)} 1{d(1)}:{d(1, '12345')}0 is empty.", f"From 20{d(2)} to 20{d(2)} they made {d(3)} {d(3)} {d(3)} pieces.", f"Tracking code {up}{d(9)}{up} shows nothing.", f"Its serial number was {up}{d(8)}.", f"Checked out {r.choice('abcdef')}{d(3)}{r.choice('abcdef')}{d(2)}{r.choice('abcdef')}{d(3)} again.", f"Checksum {r.choice('abcdef')}{d(2)}{r.choice('abcdef')}{r.choice('abcdef')}{d(6)} is off.", f"We have {d(4)} {d(4)} bonus points.",
+        f"{g} streams as @{g.lower()}_{d(2)} now.", f"Come at {d(1)} @ the lido.", f"There is a dot at home on the plan.", f"We were at work at nine.", f"Follow @{g.lower()}.{d(2)} there.", f"It is on www.example.com already.", f"I lost my ID card again.", f"{g}: No idea.", f"{g}: {r.choice(['Ring', 'Maybe', 'Train', 'Our', 'A', 'Before'])} the others.", f"Odd, {g} never wrote.", f"I waved at {g}. {trail} Street was dark.",
+        f"Das Rudern mit {g} hat geklappt.", f"Da saßen {d(2)} Gäste.", f"Am Freitag kommen {d(1)} Freunde.", f"Am {d(2)} Mai ist frei.", f"Kennst du {t} im Winter?", f"Gegenüber steht das Alte Museum von {t}.", f"the {f.lower()} {thing}", f"{g} or {m.given()} may know.", f"{g} and {m.given()} cooked.", f"{m.given()}, {g} and I danced.", f"The {t} Court of Appeal agreed.", f"two, three and four or five six", f"Kind Regards from New Harbour", f"Merry Christmas {g}!", f"Only {g} laughed.", f"Dinner with {g} on Friday.", f"{r.choice(_TITLES)} left.", f"{f} Partners merged with {trail} Ltd.", f"Wir kauften bei {f} Möbel ein.", f"the {trail} {thing} in {t}",
     ]
 
 
@@ -175,5 +183,5 @@ def examples(n: int, seed: int, given: list[str]) -> list[tuple[str, list[tuple[
             before = m.r.choice(["", "", m.r.choice(plain) + " ", f"{m.given()}: "])
             text = before + carrier.replace("{0}", value) + m.r.choice(["", "", " " + m.r.choice(plain)])
             out.append((text, [(len(before) + at, len(before) + at + len(value), kind)]))
-        out += [(x, []) for x in m.r.sample(plain, 14)]
+        out += [(x, []) for x in m.r.sample(plain, 16)]
     return out

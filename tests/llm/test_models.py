@@ -89,16 +89,61 @@ def test_boosting():
     assert ((m.probability(x[1500:]) >= cut) == y[1500:]).mean() > 0.93
 
 
-def test_held_out_accuracy():
-    known = frozenset({"torben", "zadie", "orla"})
-    m = pii.train(known)
-    names = sorted({x.capitalize() for x in m.given})
+#: Sentences that no training carrier resembles, to hold out templates and not only values.
+OTHER_CARRIERS = {
+    "email": ["Drop a line to {0} if the heating fails.", "Der Verein ist unter {0} erreichbar.", "Confirmed via {0} last night."],
+    "phone": ["Dial {0} and press two.", "Notruf im Haus: {0}.", "Appelez le {0} en cas de panne.", "My cell, {0}, is always on."],
+    "id_number": ["Insurance holder {0} needs a new card.", "Reisepass {0} ist abgelaufen.", "DNI: {0}.", "SSN {0} belongs to nobody I know."],
+    "address": ["The keys wait at {0} with the porter.", "Das Fest ist in der {0}.", "We turned up at {0} far too early.", "Deliveries only to {0}."],
+    "name": ["A certain {0} left this umbrella.", "Ask whether {0} still runs the shop.", "Gestern hat {0} gewonnen.", "The prize went to {0} again."],
+}
+
+
+def accuracy(m, made):
     right = wrong = missed = 0
-    made = pii_corpus.examples(60, 99, names)
     for (_, gold), found in zip(made, m.spans([t for t, _ in made]), strict=True):
         kinds, want = {k for *_, k in found}, {k for *_, k in gold}
         right, wrong, missed = right + len(kinds & want), wrong + len(kinds - want), missed + len(want - kinds)
-    assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.97
+    return right / (right + wrong), right / (right + missed)
+
+
+def test_held_out_accuracy():
+    m = pii.train(frozenset({"torben", "zadie", "orla"}))
+    names = sorted({x.capitalize() for x in m.given})
+    assert min(accuracy(m, pii_corpus.examples(60, 99, names))) > 0.97
+    maker, made = pii_corpus.Maker(5, names), []
+    for _ in range(40):
+        for kind, carriers in OTHER_CARRIERS.items():
+            for c in carriers:
+                value = getattr(maker, kind)()
+                made.append((c.replace("{0}", value), [(0, 0, kind)]))
+    precision, recall = accuracy(m, made)
+    print(precision, recall)
+    assert precision > 0.9 and recall > 0.88
+
+
+def test_names_in_other_letters():
+    m = pii.train(frozenset())
+    for text in ("Wir trafen Paweł Łuczak im Zug.", "Ana Šimić called.", "Я видел Ольга Иванова.", "昨天王伟先生来了。"):
+        assert [k for *_, k in m.spans([text])[0]] == ["name"]
+
+
+def test_nothing_of_the_tables_in_training():
+    """No piece of a carrier or of a negative, of nine characters or more, stands in the texts."""
+    import glob
+    import inspect
+    import os
+    import re
+
+    folder = os.environ.get("TEST_LEXICON_DIR", "/root/testdata/sf0.1")
+    if not glob.glob(f"{folder}/memories.parquet"):
+        pytest.skip("no tables")
+    import duckdb
+
+    texts = "\n".join(x for (x,) in duckdb.sql(f"select session_text from '{folder}/memories.parquet' where session_text is not null union all select fact from '{folder}/knowledge_points.parquet' where fact is not null").fetchall())
+    pieces = [p for cs in pii_corpus.CARRIERS.values() for c in cs for p in c.split("{0}")]
+    pieces += [p for c in re.findall(r'f"([^"]*)"', inspect.getsource(pii_corpus.negatives)) for p in re.split(r"\{[^}]*\}", c)]
+    assert not [p for p in pieces if len(p.strip()) >= 9 and p.strip() in texts]
 
 
 PII = [
