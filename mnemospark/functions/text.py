@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -44,26 +45,69 @@ def truncate_tokens(text: str | Column, tokens: int) -> Column:
     return F.when(token_estimate(t) > tokens, F.concat(F.substring(t, 1, 3 * tokens), F.lit("..."))).otherwise(t)
 
 
+_TURNS = "array<struct<speaker:string,text:string>>"
+_CHUNKS = "array<struct<chunk_index:int,turn_start:int,turn_end:int,text:string>>"
+
+
 def turn_chunks(turns: str | Column, limit: int = 480) -> Column:
     """Turns packed greedily into chunks of up to ``limit`` tokens, never splitting one: an array of
-    ``(chunk_index, turn_start, turn_end, text)``. Without turns, a single empty chunk."""
+    ``(chunk_index, turn_start, turn_end, text)``. Turns keep their index in ``turns``, of which blank ones are in no chunk. A line
+    break between two turns counts its tokens, none by this estimate. Without turns, a single empty chunk."""
     t = F.col(turns) if isinstance(turns, str) else turns
-    lines = F.filter(F.transform(F.coalesce(t, F.expr("array()").cast("array<struct<speaker:string,text:string>>")), format_turn), lambda x: x.isNotNull())
+    some = F.coalesce(t, F.expr("array()").cast(_TURNS))
+    lines = F.filter(F.transform(some, lambda x, i: F.struct(i.alias("i"), format_turn(x).alias("line"))), lambda x: x["line"].isNotNull())
     chunk = "struct<turn_start:int,turn_end:int,used:bigint,text:string>"
-    state = F.struct(F.expr(f"cast(array() as array<{chunk}>)").alias("done"), F.lit(0).alias("i"))
+    state = F.expr(f"cast(array() as array<{chunk}>)")
+    between = len("\n") // 3
 
-    def step(acc: Column, line: Column) -> Column:
+    def step(done: Column, x: Column) -> Column:
+        line, i = x["line"], x["i"]
         cost = token_estimate(line)
-        last = F.get(acc["done"], F.size(acc["done"]) - 1)
-        fits = last.isNotNull() & (last["used"] + cost <= limit)
-        grown = F.struct(last["turn_start"].alias("turn_start"), acc["i"].alias("turn_end"), (last["used"] + cost).alias("used"), F.concat(last["text"], F.lit("\n"), line).alias("text"))
-        fresh = F.struct(acc["i"].alias("turn_start"), acc["i"].alias("turn_end"), cost.alias("used"), line.alias("text"))
-        done = F.when(fits, F.concat(F.slice(acc["done"], F.lit(1), F.greatest(F.size(acc["done"]) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc["done"], F.array(fresh)))
-        return F.struct(done.alias("done"), (acc["i"] + 1).alias("i"))
-
-    packed = F.aggregate(lines, state, step)["done"]
-    some = F.when(F.size(packed) > 0, packed).otherwise(F.array(F.struct(F.lit(0).alias("turn_start"), F.lit(0).alias("turn_end"), F.lit(0).cast("bigint").alias("used"), F.lit("").alias("text"))))
-    return F.transform(some, lambda c, i: F.struct(i.alias("chunk_index"), c["turn_start"].alias("turn_start"), c["turn_end"].alias("turn_end"), c["text"].alias("text")))
+        last = F.get(done, F.size(done) - 1)
+        fits = last.isNotNull() & (last["used"] + between + cost <= limit)
+        grown = F.struct(last["turn_start"].alias("turn_start"), i.alias("turn_end"), (last["used"] + between + cost).alias("used"), F.concat(last["text"], F.lit("\n"), line).alias("text"))
+        fresh = F.struct(i.alias("turn_start"), i.alias("turn_end"), cost.alias("used"), line.alias("text"))
+        return F.when(fits, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
+
+    packed = F.aggregate(lines, state, step)
+    full = F.when(F.size(packed) > 0, packed).otherwise(F.array(F.struct(F.lit(0).alias("turn_start"), F.lit(0).alias("turn_end"), F.lit(0).cast("bigint").alias("used"), F.lit("").alias("text"))))
+    return F.transform(full, lambda c, i: F.struct(i.alias("chunk_index"), c["turn_start"].alias("turn_start"), c["turn_end"].alias("turn_end"), c["text"].alias("text")))
+
+
+def pack_turns(lines: list[tuple[int, str]], count: Callable[[str], int], limit: int) -> list[tuple[int, int, int, str]]:
+    """``(chunk_index, turn_start, turn_end, text)`` of turns with text and their index, as in ``turn_chunks``."""
+    out: list[tuple[int, int, int, str]] = []
+    now: list[tuple[int, str]] = []
+    used, between = 0, count("\n")
+
+    def close() -> None:
+        if now:
+            out.append((len(out), now[0][0], now[-1][0], "\n".join(x for _, x in now)))
+
+    for i, line in lines:
+        cost = count(line)
+        if now and used + between + cost > limit:
+            close()
+            now, used = [], 0
+        used += cost + (between if now else 0)
+        now.append((i, line))
+    close()
+    return out or [(0, 0, 0, "")]
+
+
+def turn_chunks_by(tokenizer: Callable[[], object], turns: str | Column, limit: int = 480) -> Column:
+    """``turn_chunks`` by the tokens of a tokenizer, which is made once per worker."""
+
+    @F.pandas_udf(_CHUNKS)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokens = tokenizer()
+        for s in batches:
+            rows = [pack_turns([(x["i"], x["line"]) for x in (r if r is not None else [])], tokens.count, limit) for r in s]
+            yield pd.Series([[dict(zip(("chunk_index", "turn_start", "turn_end", "text"), c, strict=True)) for c in r] for r in rows], index=s.index)
+
+    t = F.col(turns) if isinstance(turns, str) else turns
+    lines = F.filter(F.transform(t, lambda x, i: F.struct(i.alias("i"), format_turn(x).alias("line"))), lambda x: x["line"].isNotNull())
+    return run(lines)
 
 
 # ---------------------------------------------------------------- paragraphs: sequential, so in Python

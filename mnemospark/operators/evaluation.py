@@ -8,8 +8,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from mnemospark.functions import stats
 
 METHODS = ("q2q", "q2p", "q2n", "q2r", "q2c")
 
@@ -44,16 +49,28 @@ def _paired(a: Column, b: Column) -> list[Column]:
     ]
 
 
+@F.pandas_udf(DoubleType())
+def _t_p(t: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(x) else stats.t_two_sided(float(x), int(k) - 1) for x, k in zip(t, n, strict=True)], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def _chi2_p(x: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(v) else stats.chi2_tail(float(v), int(n) - 1) for v, n in zip(x, k, strict=True)], dtype=float)
+
+
 def paired(df: DataFrame, a: str, b: str, by: str | None = None) -> DataFrame:
-    """Paired statistics of two columns, over all rows or by a category (null: ``unknown``). p follows from t and n (``stats.t_two_sided``)."""
+    """Paired statistics of two columns, over all rows or by a category (null: ``unknown``), with ``p`` of the two-sided t test."""
     columns = _paired(F.col(a), F.col(b))
-    return df.agg(*columns) if by is None else df.groupBy(F.coalesce(F.col(by), F.lit("unknown")).alias(by)).agg(*columns)
+    out = df.agg(*columns) if by is None else df.groupBy(F.coalesce(F.col(by), F.lit("unknown")).alias(by)).agg(*columns)
+    return out.withColumn("p", _t_p("t", "n"))
 
 
 def pairwise(aligned: DataFrame) -> DataFrame:
     """Paired statistics of every two methods, in the order of the methods."""
     pairs = F.array(*[F.struct(F.lit(x).alias("method_a"), F.lit(y).alias("method_b"), F.col(x).alias("a"), F.col(y).alias("b")) for x, y in combinations(METHODS, 2)])
-    return aligned.select(F.explode(pairs).alias("p")).select("p.*").groupBy("method_a", "method_b").agg(*_paired(F.col("a"), F.col("b")))
+    out = aligned.select(F.explode(pairs).alias("p")).select("p.*").groupBy("method_a", "method_b").agg(*_paired(F.col("a"), F.col("b")))
+    return out.withColumn("p", _t_p("t", "n"))
 
 
 def describe_methods(aligned: DataFrame) -> DataFrame:
@@ -91,6 +108,14 @@ def robustness(original: DataFrame, styled: DataFrame) -> DataFrame:
     return original.join(each, ["query", "method"]).select("query", "method", "orig", "var", (1 - F.greatest(F.lit(0.0), F.col("orig") - F.col("least")) / (F.col("orig") + 1e-10)).alias("robustness"))
 
 
+def robustness_summary(each: DataFrame) -> DataFrame:
+    """Over queries, from ``robustness``: a row with each method's mean variance, mean and deviation of robustness, and how many
+    times q2c varies as much as q2q."""
+    per = each.groupBy("method").agg(F.avg("var").alias("mean_var"), F.avg("robustness").alias("mean_robustness"), F.stddev_pop("robustness").alias("std_robustness"))
+    of = lambda m: F.max(F.when(F.col("method") == m, F.col("mean_var"))).over(Window.partitionBy(F.lit(1)))  # noqa: E731  a row a method
+    return per.withColumn("q2c_over_q2q", of("q2c") / (of("q2q") + 1e-10))
+
+
 def style_drops(original: DataFrame, styled: DataFrame, styles: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Per method, style and over all styles (style null): mean similarity, mean drop, share below ``threshold`` times the original. A missing style counts as 0."""
     grid = original.crossJoin(F.broadcast(styles.select("style").distinct()))  # a handful of styles
@@ -108,7 +133,7 @@ def friedman(styled: DataFrame, least: int = 10) -> DataFrame:
     shape = r.groupBy("method").agg(F.countDistinct("query").alias("n"), F.max("k").alias("k"), F.sum((F.col("t") * F.col("t") - 1).cast("double")).alias("tied"))  # sum over members of t^2 - 1 is the sum over ties of t^3 - t
     c = 1 - F.col("tied") / (F.col("n") * F.col("k") * (F.col("k") * F.col("k") - 1))
     chi = (12.0 / (F.col("n") * F.col("k") * (F.col("k") + 1)) * F.col("ss") - 3.0 * F.col("n") * (F.col("k") + 1)) / c
-    return sums.groupBy("method").agg(F.sum(F.col("rs") * F.col("rs")).alias("ss")).join(shape, "method").select("method", "n", "k", F.when((F.col("n") >= least) & (c > 0), chi).alias("chi2"))
+    return sums.groupBy("method").agg(F.sum(F.col("rs") * F.col("rs")).alias("ss")).join(shape, "method").select("method", "n", "k", F.when((F.col("n") >= least) & (c > 0), chi).alias("chi2")).withColumn("p", _chi2_p("chi2", "k"))
 
 
 def checkpoints(n: int) -> list[int]:
@@ -117,17 +142,22 @@ def checkpoints(n: int) -> list[int]:
     return sorted({*range(step, n, step), n}) if n else []
 
 
-def drift(sims: DataFrame, evidence: DataFrame, arrival: DataFrame, points: list[int]) -> DataFrame:
-    """Ranks of the first evidence vector as the pool grows: per checkpoint and method mean and median rank, MRR, recall@1/5/10 and drift.
+def drift(sims: DataFrame, evidence: DataFrame, vectors: DataFrame, arrival: DataFrame, points: list[int]) -> DataFrame:
+    """Ranks of the first evidence vector as the pool grows: per checkpoint and method mean and median rank, MRR, recall@1/5/10 and drift, and the vectors there are.
 
-    ``arrival`` (``session, seq`` from 1). A query counts once all its evidence is in the pool. The
+    ``vectors`` (``method, session``) are all that is stored, ``arrival`` (``session, seq`` from 1). A query counts once all its evidence is in the pool. The
     rank is one more than the number of vectors above the best evidence vector, so nothing is
-    sorted; without an evidence vector it is the size of the pool (in vectors, or sessions if there is none).
+    sorted; without an evidence vector it is the size of the pool (in vectors, or sessions if there is none). A checkpoint at which no query
+    counts, or q2q or q2c have no vector yet, has 0 queries and no figures; drift is the distance from the first one that has some.
     """
     spark = sims.sparkSession
     cps = F.broadcast(spark.createDataFrame([(int(c),) for c in points], "cp int"))  # at most eleven
+    methods = F.broadcast(spark.createDataFrame([(m,) for m in METHODS], "method string"))
+    stored = vectors.join(arrival, "session").groupBy("method", "seq").agg(F.count(F.lit(1)).alias("v")).join(cps, F.col("seq") <= F.col("cp")).groupBy("cp", "method").agg(F.sum("v").alias("n_vectors"))
+    frame = cps.crossJoin(methods).join(stored, ["cp", "method"], "left").withColumn("n_vectors", F.coalesce("n_vectors", F.lit(0)))
+    full = frame.where("method in ('q2q', 'q2c') and n_vectors > 0").groupBy("cp").count().where("count = 2").select("cp")
     last = evidence.join(arrival, "session", "left").groupBy("query").agg(F.max(F.coalesce("seq", F.lit(1 << 30))).alias("seq"))
-    eligible = last.join(cps, F.col("seq") <= F.col("cp")).select("query", "cp")
+    eligible = last.join(cps, F.col("seq") <= F.col("cp")).select("query", "cp").join(full, "cp", "left_semi")
     hit = evidence.select("query", "session", F.lit(True).alias("hit")).distinct()
     s = sims.join(arrival, "session").join(hit, ["query", "session"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     target = s.where("hit").groupBy("query", "method").agg(F.max("sim").alias("target"))
@@ -135,10 +165,11 @@ def drift(sims: DataFrame, evidence: DataFrame, arrival: DataFrame, points: list
     above = s.join(target, ["query", "method"], "left").groupBy("query", "method", "seq").agg(F.sum((F.col("sim") > F.col("target")).cast("int")).alias("above"), F.count(F.lit(1)).alias("vectors"), F.max("target").alias("target"))
     rank = F.when(F.max("target").isNull(), F.sum("vectors")).otherwise(F.sum("above") + 1)
     ranks = above.join(cps, F.col("seq") <= F.col("cp")).groupBy("cp", "query", "method").agg(rank.cast("double").alias("rank"))
-    grid = eligible.crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in METHODS], "method string")))
-    full = grid.join(ranks, ["cp", "query", "method"], "left").withColumn("rank", F.coalesce("rank", F.col("cp").cast("double")))
-    out = full.groupBy("cp", "method").agg(F.count(F.lit(1)).alias("n_queries"), F.avg("rank").alias("mean_rank"), F.median("rank").alias("median_rank"), F.avg(1 / F.col("rank")).alias("mrr"), *[F.avg((F.col("rank") <= k).cast("double")).alias(f"recall_{k}") for k in (1, 5, 10)])
-    return out.withColumn("rank_drift", F.col("mean_rank") - F.first("mean_rank").over(Window.partitionBy("method").orderBy("cp")))
+    grid = eligible.crossJoin(methods)
+    each = grid.join(ranks, ["cp", "query", "method"], "left").withColumn("rank", F.coalesce("rank", F.col("cp").cast("double")))
+    out = each.groupBy("cp", "method").agg(F.count(F.lit(1)).alias("n_queries"), F.avg("rank").alias("mean_rank"), F.median("rank").alias("median_rank"), F.avg(1 / F.col("rank")).alias("mrr"), *[F.avg((F.col("rank") <= k).cast("double")).alias(f"recall_{k}") for k in (1, 5, 10)])
+    out = frame.join(out, ["cp", "method"], "left").withColumn("n_queries", F.coalesce("n_queries", F.lit(0)))
+    return out.withColumn("rank_drift", F.col("mean_rank") - F.first("mean_rank", ignorenulls=True).over(Window.partitionBy("method").orderBy("cp")))
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -155,13 +186,39 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return one.select(F.when(half - e != 0, (F.col("c_ab") - e) / (half - e)).otherwise(1.0).alias("ari"), F.when(F.col("h_a") + F.col("h_b") > 0, 2 * mi / (F.col("h_a") + F.col("h_b"))).otherwise(1.0).alias("nmi"))
 
 
-def kmeans_agreement(df: DataFrame, vector: str, label: str, k: int, seed: int = 42) -> DataFrame:
-    """KMeans on the vectors, and how well its clusters agree with a label."""
+def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
+    """Mean silhouette by Euclidean distance: 0 for members of clusters of one, and without two clusters."""
+    names, at = np.unique(labels, return_inverse=True)
+    if len(names) < 2:
+        return 0.0
+    x = x.astype(np.float64)
+    square = (x**2).sum(1)
+    size = np.bincount(at).astype(float)
+    out = np.zeros(len(x))
+    for lo in range(0, len(x), 1_000):
+        d = np.sqrt(np.maximum(square[lo : lo + 1_000, None] + square[None, :] - 2 * x[lo : lo + 1_000] @ x.T, 0))
+        d[np.arange(len(d)), np.arange(lo, lo + len(d))] = 0
+        sums = np.stack([d[:, at == k].sum(1) for k in range(len(names))], 1)
+        own = at[lo : lo + 1_000]
+        rows = np.arange(len(d))
+        inside = sums[rows, own] / np.maximum(size[own] - 1, 1)
+        means = sums / size
+        means[rows, own] = np.inf
+        near = means.min(1)
+        out[lo : lo + 1_000] = np.where(size[own] > 1, (near - inside) / np.maximum(np.maximum(near, inside), 1e-300), 0)
+    return float(out.mean())
+
+
+def kmeans_agreement(df: DataFrame, vector: str, label: str, k: int, seed: int = 42, sample: int = 5_000) -> DataFrame:
+    """KMeans on the vectors: how well its clusters agree with a label (``ari, nmi``), and their ``silhouette`` over at most ``sample`` vectors, in order of a hash."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = df.select(F.col(label).alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    return agreement(KMeans(k=k, seed=seed, predictionCol="cluster").fit(data).transform(data), "label", "cluster")
+    data = df.where(F.col(vector).isNotNull()).select(F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v")).withColumn("features", array_to_vector("v"))
+    found = KMeans(k=k, seed=seed, predictionCol="cluster").fit(data).transform(data)
+    some = found.orderBy(F.xxhash64("v", "label")).limit(sample).select("v", "cluster").toPandas()
+    value = silhouette(np.stack(some["v"].to_numpy()), some["cluster"].to_numpy()) if len(some) else 0.0
+    return agreement(found, "label", "cluster").withColumn("silhouette", F.lit(value))
 
 
 def usage(events: DataFrame) -> DataFrame:

@@ -6,39 +6,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.config import Config
-from mnemospark.operators.similarity import knn, similarities
+from mnemospark.operators.similarity import best_per_group, knn
 
 
 def candidates_index(subs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Hits grouped by request and memory: best score, first appearance, texts matched.
+    """Hits grouped by request and memory: best score, first appearance, queries matched.
 
-    ``subs`` (``sub_id, request, sq_index``) and ``hits`` (``sub_id, query_id, memory_id, text,
+    ``subs`` (``sub_id, request, sq_index``) and ``hits`` (``sub_id, query_id, memory_id, text_hash,
     score, rank``, scores at least 0). A text that several sub-queries hit counts once, with the
-    score of its first hit. Even a hit with score 0 makes its memory a candidate.
+    score of its first hit. Even a hit with score 0 makes its memory a candidate. ``matched`` are the queries of the texts that count,
+    best first, ``sub_queries`` the sub-queries they were hit by, in that order.
     """
-    h = hits.join(subs.select("sub_id", "request", "sq_index"), "sub_id").withColumn("seq", F.col("sq_index") * 1000 + F.col("rank"))
-    first = Window.partitionBy("request", "memory_id", "text").orderBy("seq")
+    # sub-queries in their order, and each one's hits in theirs
+    h = hits.join(subs.select("sub_id", "request", "sq_index"), "sub_id").withColumn("seq", F.struct("sq_index", "rank"))
+    first = Window.partitionBy("request", "memory_id", "text_hash").orderBy("seq")
     marked = h.withColumn("once", F.row_number().over(first) == 1)
-    matched = F.collect_list(F.when(F.col("once"), F.struct((-F.col("score")).alias("s"), "seq", "text")))  # a few hits a sub-query
-    return marked.groupBy("request", "memory_id").agg(
-        F.max("score").alias("score_q2q"), F.min("seq").alias("first_seen"), F.array_sort(matched).alias("m"),
-        F.array_sort(F.collect_set("sq_index")).alias("sub_queries"),
-    ).withColumn("matched", F.transform("m", lambda e: e["text"])).drop("m")
+    matched = F.collect_list(F.when(F.col("once"), F.struct((-F.col("score")).alias("s"), "seq", "query_id")))  # a few hits a sub-query
+    grouped = marked.groupBy("request", "memory_id").agg(F.max("score").alias("score_q2q"), F.min("seq").alias("first_seen"), F.array_sort(matched).alias("m"))
+    return grouped.select("request", "memory_id", "score_q2q", "first_seen", F.transform("m", lambda e: e["query_id"]).alias("matched"), F.array_distinct(F.transform("m", lambda e: e["seq"]["sq_index"])).alias("sub_queries"))
 
 
-def best_queries_exact(sims: DataFrame, named: DataFrame) -> DataFrame:
-    """Per sub-query and memory the one best fake query, not below 0: the exact mode's hits.
+def best_queries_exact(subs: DataFrame, fake_queries: DataFrame) -> DataFrame:
+    """Per sub-query and memory the one best fake query: the exact mode's hits, as for ``candidates_index``.
 
-    ``sims`` (``sub_id, query_id, sim``), ``named`` (``query_id, memory_id, pos, text``); ties go to the lower position. A
-    memory is a candidate only if its best score is above 0. The best is a partial aggregate, so
-    what is shuffled doesn't grow with a memory's queries; texts are joined to the winners only.
+    Ties go to the lower position. A memory is a candidate only if its best score is above 0. Memories aren't ranked by a
+    sub-query here; their own order decides between equal scores.
     """
-    first = F.min(F.struct((-F.col("sim")).alias("s"), "pos", "query_id"))
-    best = sims.join(named.select("query_id", "memory_id", "pos"), "query_id").groupBy("sub_id", "memory_id").agg(first.alias("b"))
-    best = best.select("sub_id", "memory_id", F.col("b.query_id").alias("query_id"), F.greatest(-F.col("b.s"), F.lit(0.0)).alias("score"))
-    order = Window.partitionBy("sub_id").orderBy("memory_id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where("score > 0")
-    return ranked.join(named.select("query_id", "text"), "query_id")
+    pool = fake_queries.select("query_id", "memory_id", F.coalesce("pos", F.lit(0)).alias("pos"), "embedding")
+    best = best_per_group(subs, "sub_id", pool, "query_id", "memory_id", "pos").where("sim > 0")
+    texts = fake_queries.select("query_id", F.xxhash64("text").alias("text_hash"))
+    return best.join(texts, "query_id").select("sub_id", "query_id", "memory_id", "text_hash", F.col("sim").alias("score"), F.lit(0).alias("rank"))
 
 
 def chunk_scores(candidates: DataFrame, subs: DataFrame, chunks: DataFrame, mode: str, top_k: int, dims: int = 64) -> DataFrame:
@@ -50,14 +47,16 @@ def chunk_scores(candidates: DataFrame, subs: DataFrame, chunks: DataFrame, mode
     from mnemospark.functions.vectors import cosine
 
     fine = chunks.where(F.col("embedding").isNotNull() & (F.size("embedding") == dims)).select("memory_id", "chunk_index", F.col("embedding").alias("chunk"))
-    pairs = candidates.select("request", "memory_id").join(fine, "memory_id").join(subs.select("request", "sub_id", F.col("embedding").alias("sub")), "request")
-    pairs = pairs.withColumn("sim", F.round(cosine("sub", "chunk"), 9))
     if mode == "index":
+        pairs = candidates.select("request", "memory_id").join(fine, "memory_id").join(subs.select("request", "sub_id", F.col("embedding").alias("sub")), "request")
+        pairs = pairs.withColumn("sim", F.round(cosine("sub", "chunk"), 9))
         return pairs.groupBy("request", "memory_id").agg(F.max(F.greatest("sim", F.lit(0.0))).alias("q2c"))
-    w = Window.partitionBy("request", "memory_id", "sub_id").orderBy(F.desc("sim"), "chunk_index")
-    top = pairs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top_k)
-    per = top.groupBy("request", "memory_id", "sub_id").agg(F.greatest(F.avg("sim"), F.lit(0.0)).alias("mean"))
-    return per.groupBy("request", "memory_id").agg(F.max("mean").alias("q2c"))
+    # nearly every memory is a candidate: products by block, the best chunks of a memory kept in the task
+    keyed = fine.select("memory_id", "chunk_index", F.concat("memory_id", F.lit("#"), "chunk_index").alias("key"), F.col("chunk").alias("embedding"))
+    top = best_per_group(subs, "sub_id", keyed, "key", "memory_id", "chunk_index", top_k, dims=dims)
+    per = top.groupBy("sub_id", "memory_id").agg(F.greatest(F.avg("sim"), F.lit(0.0)).alias("mean"))
+    per = per.join(subs.select("sub_id", "request"), "sub_id").groupBy("request", "memory_id").agg(F.max("mean").alias("q2c"))
+    return per.join(candidates.select("request", "memory_id"), ["request", "memory_id"], "left_semi")
 
 
 def fuse(candidates: DataFrame, chunk: DataFrame, config: Config) -> DataFrame:
@@ -72,21 +71,45 @@ def fuse(candidates: DataFrame, chunk: DataFrame, config: Config) -> DataFrame:
 
 
 def retrieve(subs: DataFrame, fake_queries: DataFrame, chunks: DataFrame, config: Config = Config(), mode: str = "index") -> DataFrame:
-    """``request, rank, memory_id, score_q2q, score_q2c, final_score, matched, sub_queries``.
+    """``request, rank, memory_id, score_q2q, score_q2c, final_score, matched, sub_queries``; ``matched`` are query ids.
 
     ``subs`` (``sub_id, request, sq_index, embedding``) are many requests at once; ``fake_queries``
     has a row per ``query_id``. Results of each request are those of asking it alone.
     """
-    named = fake_queries.select("query_id", "memory_id", "pos", "text")
     if mode == "index":
         near = knn(subs, "sub_id", fake_queries, "query_id", config.top_k_per_sub)
+        named = fake_queries.select("query_id", "memory_id", F.xxhash64("text").alias("text_hash"))
         hits = near.join(named, "query_id").withColumn("score", F.greatest("sim", F.lit(0.0)))
     else:
-        hits = best_queries_exact(similarities(subs, "sub_id", fake_queries, "query_id"), named)
+        hits = best_queries_exact(subs, fake_queries)
     found = candidates_index(subs, hits)
     return fuse(found, chunk_scores(found, subs, chunks, mode, config.top_k_q2c), config)
 
 
+def with_texts(results: DataFrame, fake_queries: DataFrame) -> DataFrame:
+    """Results with ``texts``, those of the queries in ``matched``."""
+    each = results.select("request", "memory_id", F.posexplode("matched").alias("at", "query_id")).join(fake_queries.select("query_id", "text"), "query_id")
+    texts = each.groupBy("request", "memory_id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("t"))
+    return results.join(texts.select("request", "memory_id", F.transform("t", lambda e: e["text"]).alias("texts")), ["request", "memory_id"], "left")
+
+
+def with_chains(results: DataFrame, fake_queries: DataFrame, config: Config = Config()) -> DataFrame:
+    """Results with ``chains``: for each matched query that has parents, it and its ancestors (``depth, text``), by depth.
+
+    Chains of a single node are left out; order within a depth is by level, then id.
+    """
+    hits = results.select("request", "memory_id", F.posexplode("matched").alias("at", "query_id"))
+    with_parents = fake_queries.where(F.size("parent_ids") > 0).select("query_id")
+    starts = hits.join(with_parents, "query_id", "left_semi")
+    nodes = ancestors(fake_queries, starts.select("query_id").distinct(), config.version_chain_depth)
+    known = fake_queries.select(F.col("query_id").alias("node_id"), F.coalesce("depth", F.lit(0)).alias("depth"), "text")
+    node = F.struct("depth", "level", "node_id", "text")
+    chains = nodes.join(known, "node_id").groupBy("start_id").agg(F.array_sort(F.collect_list(node)).alias("chain"))  # a few levels
+    own = starts.join(chains, starts["query_id"] == chains["start_id"]).groupBy("request", "memory_id").agg(F.array_sort(F.collect_list(F.struct("at", "chain"))).alias("c"))
+    slim = F.transform("c", lambda e: F.transform(e["chain"], lambda n: F.struct(n["depth"].alias("depth"), n["text"].alias("text"), n["node_id"].alias("query_id"))))
+    return results.join(own.select("request", "memory_id", slim.alias("chains")), ["request", "memory_id"], "left")
+
+
 def ancestors(fake_queries: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
     """``start_id, node_id, level``: each start and its ancestors, ``depth`` levels with the start; the lowest level holds.
 
@@ -121,11 +144,12 @@ def enrich(results: DataFrame, subs: DataFrame, paragraphs: DataFrame, config: C
 
 
 def respond(results: DataFrame, memories: DataFrame) -> DataFrame:
-    """What a caller sees: scores rounded to 4 places and the first 200 characters of each memory; missing memories drop out."""
+    """What a caller sees: scores rounded to 4 places, the first 200 characters of each memory and, where results have ``chains``, their number; missing memories drop out."""
     texts = memories.select("memory_id", "session_text")
+    chains = [F.coalesce(F.size(F.coalesce("chains", F.array())), F.lit(0)).alias("n_chains")] if "chains" in results.columns else []
     return results.join(texts, "memory_id").select(
         "request", "rank", "memory_id", F.round("score_q2q", 4).alias("score_q2q"), F.round("score_q2c", 4).alias("score_q2c"),
-        F.round("final_score", 4).alias("final_score"), F.substring("session_text", 1, 200).alias("preview"), F.size("matched").alias("n_matched"),
+        F.round("final_score", 4).alias("final_score"), F.substring("session_text", 1, 200).alias("preview"), F.size("matched").alias("n_matched"), *chains,
     )
 
 

@@ -32,30 +32,60 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def similarities(queries: DataFrame, query: str, pool: DataFrame, item: str, vector: str = "embedding", dims: int = 64, top: int | None = None, least: float | None = None) -> DataFrame:
+def _keep(s: np.ndarray, top: int | None, least: float | None, starts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the scores to keep. With ``starts``, where each group's columns begin, ``top`` counts per group."""
+    if starts is not None:
+        width = np.diff(np.append(starts, s.shape[1]))
+        left, rows, cols = s.copy(), [], []
+        for _ in range(min(top, int(width.max()))):
+            best = np.maximum.reduceat(left, starts, axis=1)
+            hit = left == np.repeat(best, width, axis=1)
+            at = np.where(hit, np.arange(s.shape[1])[None, :], s.shape[1])
+            first = np.minimum.reduceat(at, starts, axis=1)  # the first column of each group with its best score
+            r, g = np.nonzero(best > -2)
+            c = first[r, g]
+            rows.append(r)
+            cols.append(c)
+            left[r, c] = -3
+        r, c = np.concatenate(rows), np.concatenate(cols)
+        fine = s[r, c] >= (-2 if least is None else least)
+        return r[fine], c[fine]
+    keep = np.ones(s.shape, bool)
+    if least is not None:
+        keep &= s >= least
+    if top is not None and s.shape[1] > top:
+        keep &= s >= -np.partition(-s, top - 1, axis=1)[:, top - 1 : top]
+    return np.nonzero(keep)
+
+
+def similarities(queries: DataFrame, query: str, pool: DataFrame, item: str, vector: str = "embedding", dims: int = 64, top: int | None = None, least: float | None = None, group: str | None = None, order: str | None = None) -> DataFrame:
     """``query, item, sim`` for every pair, or per task only the ``top`` of each query or those from ``least`` on.
 
     Cosine in double precision, rounded to 9 decimals so that equal vectors of different length
     tie; 0 if a vector is all zero. Vectors that are null or of another size have no pairs. Both
     keys must be unique; a pair of equal keys is left out only if the columns have one name.
-    ``top`` is a combiner: the caller still ranks what is left.
+    ``top`` is a combiner: the caller still ranks what is left. With ``group`` it counts for each query and group, ties go to the
+    smaller ``order``, and both columns come out too: what leaves a task then grows with groups, not with the pool.
     """
     fine = F.col(vector).isNotNull() & (F.size(vector) == dims)
     q = queries.where(fine).select(F.col(query).alias("q"), F.col(vector).cast("array<double>").alias("v"))
-    p = pool.where(fine).select(F.col(item).alias("p"), F.col(vector).cast("array<double>").alias("v"))
-    schema = f"q {q.schema['q'].dataType.simpleString()}, p {p.schema['p'].dataType.simpleString()}, sim double"
-
-    def pairs(qn: np.ndarray, qx: np.ndarray, pn: np.ndarray, px: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    more = [] if group is None else [F.col(group).alias("g"), F.col(order).alias("o")]
+    p = pool.where(fine).select(F.col(item).alias("p"), *more, F.col(vector).cast("array<double>").alias("v"))
+    kind = lambda df, c: f"{c} {df.schema[c].dataType.simpleString()}"
+    carried = ["p", *(["g", "o"] if group else [])]
+    schema = ", ".join([kind(q, "q"), *[kind(p, c) for c in carried], "sim double"])
+
+    def pairs(qn: np.ndarray, qx: np.ndarray, columns: list[np.ndarray], px: np.ndarray) -> Iterator[list[np.ndarray]]:
+        starts = None
+        if group and len(px):
+            at = pd.DataFrame({"g": columns[1], "o": columns[2], "p": columns[0]}).sort_values(["g", "o", "p"], kind="stable").index.to_numpy()
+            columns, px = [c[at] for c in columns], px[at]
+            starts = np.flatnonzero(np.append(True, columns[1][1:] != columns[1][:-1]))
         some = max(1, SCORES // max(1, len(px)))  # so many queries at a time
         for at in range(0, len(qx), some):
             s = np.round(qx[at : at + some] @ px.T, 9)
-            keep = np.ones(s.shape, bool)
-            if least is not None:
-                keep &= s >= least
-            if top is not None and s.shape[1] > top:
-                keep &= s >= -np.partition(-s, top - 1, axis=1)[:, top - 1 : top]
-            a, b = np.nonzero(keep)
-            yield qn[at + a], pn[b], s[a, b]
+            a, b = _keep(s, top, least, starts)
+            yield [qn[at + a], *[c[b] for c in columns], s[a, b]]
 
     if q.count() <= BROADCAST_QUERIES:
         local = q.toPandas()  # bounded by BROADCAST_QUERIES
@@ -64,27 +94,42 @@ def similarities(queries: DataFrame, query: str, pool: DataFrame, item: str, vec
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows and len(qn):
-                    for a, b, s in pairs(qn, qx, batch.column("p").to_numpy(zero_copy_only=False), _unit(_matrix(batch.column("v"), dims))):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["q", "p", "sim"])
+                    columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in carried]
+                    for found in pairs(qn, qx, columns, _unit(_matrix(batch.column("v"), dims))):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["q", *carried, "sim"])
 
         out = p.mapInArrow(run, schema)
     else:
         nq, np_ = -(-q.count() // BLOCK), max(1, -(-p.count() // BLOCK))
         qb = q.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(nq)).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))))
-        pb = p.withColumn("pb", F.pmod(F.xxhash64("p"), F.lit(np_)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+        pb = p.withColumn("pb", F.pmod(F.xxhash64("g" if group else "p"), F.lit(np_)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            none = pd.DataFrame({"q": pd.Series([], dtype=object), "p": pd.Series([], dtype=object), "sim": np.zeros(0)})
-            if not len(left) or not len(right):
-                return none
-            found = [x for x in pairs(left["q"].to_numpy(), _unit(_matrix(left["v"], dims)), right["p"].to_numpy(), _unit(_matrix(right["v"], dims))) if len(x[0])]
+            columns = [right[c].to_numpy() for c in carried]
+            found = []
+            if len(left) and len(right):
+                found = [x for x in pairs(left["q"].to_numpy(), _unit(_matrix(left["v"], dims)), columns, _unit(_matrix(right["v"], dims))) if len(x[0])]
             if not found:
-                return none
-            a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
-            return pd.DataFrame({"q": pd.Series(a, dtype=left["q"].to_numpy().dtype), "p": pd.Series(b, dtype=right["p"].to_numpy().dtype), "sim": s})
+                return pd.DataFrame({c: pd.Series([], dtype=object) for c in ["q", *carried]} | {"sim": np.zeros(0)})
+            return pd.DataFrame(dict(zip(["q", *carried, "sim"], (np.concatenate(x) for x in zip(*found, strict=True)), strict=True)))
 
         out = qb.groupBy("qb", "pb").cogroup(pb.groupBy("qb", "pb")).applyInPandas(meet, schema)
-    return out.select(F.col("q").alias(query), F.col("p").alias(item if item != query else "other"), "sim")
+    names = [F.col("q").alias(query), F.col("p").alias(item if item != query else "other")]
+    return out.select(*names, *([F.col("g").alias(group), F.col("o").alias(order)] if group else []), "sim")
+
+
+def best_per_group(queries: DataFrame, query: str, pool: DataFrame, item: str, group: str, order: str, top: int = 1, **more) -> DataFrame:
+    """``query, group, item, order, sim, rank`` of the ``top`` best items of every query and group; ties go to the smaller ``order``.
+
+    Tasks combine first, so at most ``top`` rows a query and group leave each of their batches.
+    """
+    near = similarities(queries, query, pool, item, top=top, group=group, order=order, **more)
+    if top == 1:
+        best = F.min(F.struct((-F.col("sim")).alias("s"), order, item))  # a partial aggregate
+        one = near.groupBy(query, group).agg(best.alias("b"))
+        return one.select(query, group, F.col(f"b.{item}").alias(item), F.col(f"b.{order}").alias(order), (-F.col("b.s")).alias("sim"), F.lit(1).alias("rank"))
+    w = Window.partitionBy(query, group).orderBy(F.desc("sim"), order, item)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
 def knn(queries: DataFrame, query: str, pool: DataFrame, item: str, k: int, **more) -> DataFrame:

@@ -1,12 +1,13 @@
 """Queries of the reference operators over the test tables.
 
-Vectors of ``embeddings`` play the true queries and sub-queries (every row whose id is divisible
-by 20), their paraphrases (the five rows after each) and the stored vectors of five methods
-(all other rows, by id); labels are sessions.
+Vectors of ``embeddings`` play the stored vectors of five methods (every row, by id) and, a second time, the true queries
+and sub-queries (those whose id is divisible by 20) and their paraphrases (the five rows after each); labels are sessions. A
+query's own vector doesn't count among those stored.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +21,11 @@ from mnemospark.operators import evaluation as ev
 from mnemospark.operators import retrieval as rt
 from mnemospark.operators import versioning as vs
 from mnemospark.operators.context import contexts
-from mnemospark.operators.similarity import knn, similarities, within_threshold
+from mnemospark.operators.similarity import best_per_group, knn, similarities, within_threshold
 from mnemospark.providers import embed
 from mnemospark.sources.loaders import temporal_order
-from mnemospark.sources.store import latest
+from mnemospark.session import checkpoint_folder, cut
+from mnemospark.sources.store import MemoryStore, latest
 
 CONFIG = Config()
 #: No pair of the test vectors reaches the usual 0.80.
@@ -84,15 +86,13 @@ def content_topk(s, sf):
 
 def best_chunk_per_memory(s, sf):
     c = _chunks(s, sf).withColumn("key", F.concat("memory_id", F.lit("#"), "chunk_index"))
-    near = similarities(_subs(s, sf), "sub_id", c, "key").join(c.select("key", "memory_id"), "key")
+    near = best_per_group(_subs(s, sf), "sub_id", c, "key", "memory_id", "chunk_index")
     return near.join(_subs(s, sf).select("sub_id", "request"), "sub_id").groupBy("request", "memory_id").agg(F.round(F.max(F.greatest("sim", F.lit(0.0))), 6).alias("score"))
 
 
 def paragraph_topk(s, sf):
     p = _paragraphs(s, sf).withColumn("key", F.concat("memory_id", F.lit("#"), "paragraph_index"))
-    near = similarities(_subs(s, sf), "sub_id", p, "key").join(p.select("key", "memory_id", "paragraph_index"), "key")
-    w = Window.partitionBy("sub_id", "memory_id").orderBy(F.desc("sim"), "paragraph_index")
-    return _r(near.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("sub_id", "key", "sim", "rank"), "sim")
+    return _r(best_per_group(_subs(s, sf), "sub_id", p, "key", "memory_id", "paragraph_index", 3).select("sub_id", "key", "sim", "rank"), "sim")
 
 
 def threshold_search(s, sf):
@@ -136,7 +136,24 @@ def low_conf_enrich(s, sf):
 
 
 def responses(s, sf):
-    return rt.respond(rt.retrieve(_subs(s, sf), _fake(s, sf), _chunks(s, sf), CONFIG), _memories(s, sf).where("session_text is not null"))
+    f = _fake(s, sf)
+    found = rt.with_chains(rt.retrieve(_subs(s, sf), f, _chunks(s, sf), CONFIG), f)
+    return rt.respond(found, _memories(s, sf).where("session_text is not null"))
+
+
+def version_chains(s, sf):
+    """The version history of each result: per chain its nodes from the oldest."""
+    f = _fake(s, sf)
+    found = rt.with_chains(rt.retrieve(_subs(s, sf), f, _chunks(s, sf), CONFIG), f)
+    each = found.select("request", "rank", F.posexplode("chains").alias("chain", "nodes"))
+    return each.select("request", "rank", "chain", F.array_join(F.transform("nodes", lambda n: n["query_id"]), ",").alias("nodes"))
+
+
+def matched_texts(s, sf):
+    """The texts of the queries matched by each result, best first."""
+    f = _fake(s, sf)
+    found = rt.with_texts(rt.retrieve(_subs(s, sf), f, _chunks(s, sf), CONFIG), f)
+    return found.select("request", "rank", F.posexplode("texts").alias("position", "text")).select("request", "rank", "position", F.md5("text").alias("text_md5"))
 
 
 def context_budget(s, sf):
@@ -252,6 +269,7 @@ def kp_topk(s, sf):
 def answer_contexts(s, sf):
     found = rt.retrieve(_subs(s, sf), _fake(s, sf), _chunks(s, sf), CONFIG)
     points = _t(s, sf, "knowledge_points").dropDuplicates(["memory_id", "kp_index"])
+    found = rt.with_chains(found, _fake(s, sf), CONFIG)
     return contexts(found, points, rt.enrich(found, _subs(s, sf), _paragraphs(s, sf), CONFIG), CONFIG)
 
 
@@ -263,7 +281,7 @@ def _true(s, sf):
 
 
 def _vectors(s, sf):
-    e = _t(s, sf, "embeddings").where("vec_id % 20 > 5")
+    e = _t(s, sf, "embeddings")
     return e.select(F.col("vec_id").alias("pos"), F.col("label").alias("session"), F.element_at(F.array(*map(F.lit, ev.METHODS)), (F.col("vec_id") % 5 + 1).cast("int")).alias("method"), "embedding")
 
 
@@ -274,7 +292,7 @@ def _evidence(s, sf):
 
 def _sims(s, sf):
     v = _vectors(s, sf)
-    return similarities(_true(s, sf), "query", v, "pos").join(v.drop("embedding"), "pos")
+    return similarities(_true(s, sf), "query", v, "pos").where("query <> pos").join(v.drop("embedding"), "pos")
 
 
 def _aligned(s, sf):
@@ -289,7 +307,7 @@ def alignment_best_session(s, sf):
     return _r(_aligned(s, sf), *ev.METHODS, "gap")
 
 
-_STATS = ("mean_a", "mean_b", "std_a", "std_b", "gap_mean", "gap_std", "gap_median", "t", "cohens_d")
+_STATS = ("mean_a", "mean_b", "std_a", "std_b", "gap_mean", "gap_std", "gap_median", "t", "cohens_d", "p")
 
 
 def paired_stats(s, sf):
@@ -330,7 +348,7 @@ def _styled(s, sf):
     p = _t(s, sf, "embeddings").where("vec_id % 20 between 1 and 5").select("vec_id", "embedding")
     v = _vectors(s, sf)
     home = _aligned(s, sf).select("query", "session")
-    sims = similarities(p.withColumnRenamed("vec_id", "para"), "para", v, "pos").join(v.drop("embedding"), "pos")
+    sims = similarities(p.withColumnRenamed("vec_id", "para"), "para", v, "pos").where("para <> pos").join(v.drop("embedding"), "pos")
     sims = sims.select((F.col("para") - F.col("para") % 20).alias("query"), (F.col("para") % 20 - 1).cast("int").alias("style"), "pos", "session", "method", "sim").join(home, ["query", "session"])
     styled = ev.max_sims(sims, ["query", "method", "style"]).select("query", "method", "style", F.col("best").alias("sim"))
     a = _aligned(s, sf)
@@ -343,8 +361,7 @@ def robustness(s, sf):
 
 
 def robustness_overall(s, sf):
-    r = ev.robustness(*_styled(s, sf)).groupBy("method").agg(F.avg("var").alias("mean_var"), F.avg("robustness").alias("mean_robustness"))
-    return _r(r, "mean_var", "mean_robustness")
+    return _r(ev.robustness_summary(ev.robustness(*_styled(s, sf))), "mean_var", "mean_robustness", "std_robustness", "q2c_over_q2q")
 
 
 def style_drop(s, sf):
@@ -354,13 +371,13 @@ def style_drop(s, sf):
 
 
 def friedman_chi2(s, sf):
-    return _r(ev.friedman(_styled(s, sf)[1]), "chi2")
+    return _r(ev.friedman(_styled(s, sf)[1]), "chi2", "p")
 
 
 def drift_checkpoints(s, sf):
     sessions = _vectors(s, sf).select("session").distinct()
     arrival = sessions.select("session", (F.col("session") + 1).alias("seq"))
-    return _r(ev.drift(_sims(s, sf), _evidence(s, sf), arrival, ev.checkpoints(10)), "mean_rank", "median_rank", "mrr", "recall_1", "recall_5", "recall_10", "rank_drift")
+    return _r(ev.drift(_sims(s, sf), _evidence(s, sf), _vectors(s, sf).select("method", "session"), arrival, ev.checkpoints(10)), "mean_rank", "median_rank", "mrr", "recall_1", "recall_5", "recall_10", "rank_drift")
 
 
 def usage_stats(s, sf):
@@ -381,12 +398,21 @@ def kmeans_labels(s, sf):
 
 
 def upsert_delete(s, sf):
-    m = _memories(s, sf)
-    return m.join(m.where("session_text is null or session_text = ''").select("memory_id"), "memory_id", "left_anti").select("memory_id", "session_id", F.unix_micros("ingested_at").alias("ingested_us"))
+    """Memories after an upsert (late arrivals replace what is there) and the deletion of those without text, through the store."""
+    m = _t(s, sf, "memories").where("memory_id is not null").withColumn("created_at", F.unix_micros("ingested_at").cast("string"))
+    first = m.groupBy("memory_id").agg(F.min("ingested_at").alias("first"))
+    early = m.join(first, "memory_id").where("ingested_at <=> first").drop("first")
+    store = MemoryStore(s, f"{checkpoint_folder(s)}/store-{uuid.uuid4().hex}", buckets=16)
+    store.save(memories=early)
+    store.save(memories=m.join(early.select("memory_id", "created_at"), ["memory_id", "created_at"], "left_anti"))
+    store.change(cut(store.load().where("session_text is null or session_text = ''").select("memory_id")), {})
+    return store.load().select("memory_id", "session_id", F.col("created_at").cast("bigint").alias("ingested_us"))
 
 
 def incremental_missing(s, sf):
-    return _memories(s, sf).select("memory_id").join(_t(s, sf, "content_chunks").select("memory_id"), "memory_id", "left_anti")
+    """Memories with no chunk among the first of their chunks that came with a vector: what is left to embed."""
+    chunks = _t(s, sf, "content_chunks").where("chunk_index > 0 and embedding is not null")
+    return _memories(s, sf).select("memory_id").join(chunks.select("memory_id"), "memory_id", "left_anti")
 
 
 def stored_sessions(s, sf):
@@ -395,7 +421,7 @@ def stored_sessions(s, sf):
 
 QUERIES = {f.__name__: f for f in (
     cosine_pairs, cosine_variants, knn_top20, content_topk, best_chunk_per_memory, paragraph_topk, threshold_search, multiget,
-    retrieve_index, retrieve_exact, rerank_shortcircuit, dag_chains, low_conf_enrich, responses, context_budget,
+    retrieve_index, retrieve_exact, rerank_shortcircuit, dag_chains, version_chains, matched_texts, low_conf_enrich, responses, context_budget,
     version_parents, version_graph, linked_kps, sliding_chunks, paragraph_split, session_text, turn_chunks, token_counts, session_order, json_repair_strings, json_repair_points, json_repair_subqueries, json_repair_notes, hash_embedding, kp_topk, answer_contexts,
     max_sim_by_method, alignment_best_session, paired_stats, category_breakdown, pairwise_method_stats, method_summary, distance_matrix, directional_alignment, discriminability, hit_at_k,
     robustness, robustness_overall, style_drop, friedman_chi2, drift_checkpoints, usage_stats, ari_nmi, kmeans_labels, upsert_delete, incremental_missing, stored_sessions,

@@ -7,8 +7,11 @@ _PARA = "para as (select distinct on (memory_id, paragraph_index) memory_id, par
 _SIM = "coalesce(round(list_dot_product({0}, {1}) / nullif(sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})), 0), 9), 0.0)"
 _S = _SIM.format("s.e", "f.v")
 _HITS = f"hits as (select * from (select s.sub_id, s.request, s.sq_index, f.query_id, f.memory_id, f.text, {_S} sim, row_number() over (partition by s.sub_id order by {_S} desc, f.query_id) rk from subs s, fake f where len(f.v) = 64) where rk <= 20)"
-_CAND_INDEX = """cand as (select request, memory_id, max(greatest(sim, 0.0)) score_q2q, min(sq_index * 1000 + rk) first_seen, count(distinct text) n_matched,
-  string_agg(distinct sq_index::varchar, ',' order by sq_index::varchar) sub_queries from hits group by 1, 2)"""
+_MATCHED = """once as (select * from (select *, row_number() over (partition by request, memory_id, text order by sq_index, rk) o from hits) where o = 1),
+subq as (select request, memory_id, string_agg(sq_index::varchar, ',' order by nth) sub_queries from (select request, memory_id, sq_index, min(nth) nth from
+  (select *, row_number() over (partition by request, memory_id order by greatest(sim, 0.0) desc, sq_index, rk) nth from once) group by all) group by all)"""
+_CAND_INDEX = f"""{_MATCHED}, cand as (select h.*, sub_queries from (select request, memory_id, max(greatest(sim, 0.0)) score_q2q, min(sq_index::bigint * 4294967296 + rk) first_seen, count(distinct text) n_matched
+  from hits group by 1, 2) h join subq using (request, memory_id))"""
 _Q2C_INDEX = f"q2c as (select c.request, c.memory_id, max(greatest({_SIM.format('s.e', 'k.v')}, 0.0)) q2c from cand c join subs s using (request) join chunk k using (memory_id) where len(k.v) = 64 group by 1, 2)"
 _FUSED = """counted as (select *, count(*) over (partition by request) n from cand),
 fused as (select request, memory_id, score_q2q, first_seen, n_matched, sub_queries, case when n <= {0} then 0.0 else coalesce(q2c, 0.0) end score_q2c,
@@ -19,24 +22,38 @@ _INDEX = ", ".join([_SUBS, _FAKE, _CHUNK, _HITS, _CAND_INDEX, _Q2C_INDEX])
 _OUT = "select request, cast(rank as int) rank, memory_id, round(score_q2q, 6) score_q2q, round(score_q2c, 6) score_q2c, round(final_score, 6) final_score, cast(n_matched as int) n_matched, sub_queries from res"
 _MEM = "mem as (select * from (select *, row_number() over (partition by memory_id order by ingested_at desc nulls last) n from memories where memory_id is not null) where n = 1)"
 
+_NODES = """edges as (select distinct query_id child, p parent from (select query_id, unnest(parent_ids) p from fake) where p in (select query_id from fake)),
+l0 as (select query_id start_id, query_id node_id, 0 level from fake where len(parent_ids) > 0),
+l1 as (select l.start_id, e.parent node_id, 1 level from l0 l join edges e on e.child = l.node_id), l2 as (select l.start_id, e.parent node_id, 2 level from l1 l join edges e on e.child = l.node_id),
+nodes as (select start_id, node_id, min(level) level from (select * from l0 union all select * from l1 union all select * from l2) group by all)"""
+_CHAINS = f"""{_NODES}, lists as (select n.start_id, string_agg(n.node_id, ',' order by coalesce(f.depth, 0), n.level, n.node_id) nodes from nodes n join fake f on f.query_id = n.node_id group by 1 having count(*) > 1),
+chains as (select r.request, r.rank, r.memory_id, l.nodes, row_number() over (partition by r.request, r.memory_id order by greatest(o.sim, 0.0) desc, o.sq_index, o.rk) nth from res r join once o on o.request = r.request and o.memory_id = r.memory_id join lists l on l.start_id = o.query_id)"""
+
 _METHOD = "['q2q','q2p','q2n','q2r','q2c'][vec_id % 5 + 1]"
 _BASE = f"""qs as (select vec_id query, embedding::double[] e, label from embeddings where vec_id % 20 = 0),
-vec as (select vec_id pos, label session, {_METHOD} method, embedding::double[] v from embeddings where vec_id % 20 > 5),
+vec as (select vec_id pos, label session, {_METHOD} method, embedding::double[] v from embeddings),
 evidence as (select query, 0 ev_pos, label session from qs union all select query, 1, (label + 3) % 10 from qs),
-sims as (select query, pos, session, method, {_SIM.format("e", "v")} sim from qs, vec),
+sims as (select query, pos, session, method, {_SIM.format("e", "v")} sim from qs, vec where query <> pos),
 best as (select query, session, method, max(sim) best from sims group by all),
 wide as (select query, session, ev_pos, max(best) filter (method = 'q2q') q2q, max(best) filter (method = 'q2p') q2p, max(best) filter (method = 'q2n') q2n, max(best) filter (method = 'q2r') q2r, max(best) filter (method = 'q2c') q2c
   from best join evidence using (query, session) group by all),
 aligned as (select query, session, q2q, coalesce(q2p, 0.0) q2p, coalesce(q2n, 0.0) q2n, coalesce(q2r, 0.0) q2r, q2c, q2q - q2c gap
   from (select *, row_number() over (partition by query order by q2q desc, ev_pos) n from wide where q2q is not null and q2c is not null) where n = 1),
 long as (select query, session, unnest(['q2q','q2p','q2n','q2r','q2c']) method, unnest([q2q, q2p, q2n, q2r, q2c]) sim from aligned)"""
-_PAIRED = """count(*) n, round(avg(a), 6) mean_a, round(avg(b), 6) mean_b, round(stddev_pop(a), 6) std_a, round(stddev_pop(b), 6) std_b, round(avg(a - b), 6) gap_mean, round(stddev_pop(a - b), 6) gap_std,
+# the two-sided t test by its finite series in the angle atan(t / sqrt(degrees of freedom)), for even and odd degrees
+_T = "(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))))"
+_COS = f"(1 / (1 + {_T} * {_T} / (count(*) - 1)))"
+_SERIES = "coalesce(list_sum(list_transform(range(0, cast(floor({0}) as bigint)), lambda j: exp({1}) * pow({2}, {3}))), 0)"
+_EVEN = f"abs({_T}) / sqrt(count(*) - 1 + {_T} * {_T}) * " + _SERIES.format("(count(*) - 1) / 2", "lgamma(j + 0.5) - lgamma(j + 1) - lgamma(0.5)", _COS, "j")
+_ODD = f"2 / pi() * (atan(abs({_T}) / sqrt(count(*) - 1)) + abs({_T}) / sqrt(count(*) - 1 + {_T} * {_T}) * " + _SERIES.format("(count(*) - 2) / 2", "lgamma(j + 1) - lgamma(j + 1.5) + lgamma(1.5)", _COS, "j + 0.5") + ")"
+_P = f"case when count(*) > 1 and stddev_samp(a - b) > 0 then 1 - case when count(*) % 2 = 1 then {_EVEN} else {_ODD} end end"
+_PAIRED = f"""count(*) n, round(avg(a), 6) mean_a, round(avg(b), 6) mean_b, round(stddev_pop(a), 6) std_a, round(stddev_pop(b), 6) std_b, round(avg(a - b), 6) gap_mean, round(stddev_pop(a - b), 6) gap_std,
 round(median(a - b), 6) gap_median, round(case when stddev_samp(a - b) > 0 then avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) end, 6) t, round(case when count(*) > 1 then avg(a - b) / (stddev_samp(a - b) + 1e-10) end, 6) cohens_d,
-cast(sum(case when a - b > 0 then 1 else 0 end) as bigint) wins, cast(sum(case when a - b < 0 then 1 else 0 end) as bigint) losses, cast(sum(case when a - b = 0 then 1 else 0 end) as bigint) ties"""
+round({_P}, 6) p, cast(sum(case when a - b > 0 then 1 else 0 end) as bigint) wins, cast(sum(case when a - b < 0 then 1 else 0 end) as bigint) losses, cast(sum(case when a - b = 0 then 1 else 0 end) as bigint) ties"""
 _UNIT = "list_transform({0}, lambda x: x / (sqrt(list_dot_product({0}, {0})) + 1e-10))"
 _MEAN3 = "round(avg({0}), 6) mean, round(stddev_pop({0}), 6) std, round(median({0}), 6) median"
 _STYLED = f"""paras as (select vec_id - vec_id % 20 query, cast(vec_id % 20 - 1 as int) style, embedding::double[] e from embeddings where vec_id % 20 between 1 and 5),
-styled as (select p.query, v.method, p.style, max({_SIM.format("p.e", "v.v")}) sim from paras p join aligned a using (query) join vec v on v.session = a.session group by all)"""
+styled as (select p.query, v.method, p.style, max({_SIM.format("p.e", "v.v")}) sim from paras p join aligned a using (query) join vec v on v.session = a.session and v.pos <> p.query + p.style + 1 group by all)"""
 
 _SESS = "sess as (select distinct on (session_id) * from sessions where session_id is not null)"
 _LINES = "lines as (select session_id, i, coalesce(turns[i].speaker, '') || ': ' || turns[i].text line from (select session_id, turns, unnest(range(1, len(turns) + 1)) i from sess) where trim(turns[i].text) <> '')"
@@ -56,8 +73,7 @@ from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id %
     "rerank_shortcircuit": f"with {_INDEX}, {_FUSED.format(100)} {_OUT}",
     "retrieve_exact": f"""with {_SUBS}, {_FAKE}, {_CHUNK},
 per as (select * from (select s.sub_id, s.request, s.sq_index, f.query_id, f.memory_id, f.text, {_S} sim, row_number() over (partition by s.sub_id, f.memory_id order by {_S} desc, f.pos, f.query_id) n from subs s, fake f where len(f.v) = 64) where n = 1),
-hits as (select *, row_number() over (partition by sub_id order by memory_id) rk from per),
-cand as (select request, memory_id, max(sim) score_q2q, min(sq_index * 1000 + rk) first_seen, count(distinct text) n_matched, string_agg(distinct sq_index::varchar, ',' order by sq_index::varchar) sub_queries from hits where sim > 0 group by 1, 2),
+hits as (select *, 0 rk from per where sim > 0), {_CAND_INDEX},
 per_chunk as (select c.request, c.memory_id, s.sub_id, {_SIM.format("s.e", "k.v")} sim, row_number() over (partition by c.request, c.memory_id, s.sub_id order by {_SIM.format("s.e", "k.v")} desc, k.chunk_index) n from cand c join subs s using (request) join chunk k using (memory_id) where len(k.v) = 64),
 q2c as (select request, memory_id, max(m) q2c from (select request, memory_id, sub_id, greatest(avg(sim), 0.0) m from per_chunk where n <= 3 group by all) group by all),
 {_FUSED.format(5)} {_OUT}""",
@@ -70,7 +86,10 @@ select start_id, node_id, level from nodes where start_id in (select start_id fr
 per as (select w.request, w.rank, w.memory_id, f.text, greatest({_S}, 0.0) sim, row_number() over (partition by w.request, w.memory_id, s.sub_id order by round(greatest({_S}, 0.0), 9) desc, f.paragraph_index) n from weak w join para f using (memory_id) join subs s using (request) where len(f.v) = 64),
 best as (select request, rank, memory_id, text, max(sim) score from per where n <= 3 group by all)
 select request, cast(rank as int) rank, memory_id, md5(text) text_md5, round(score, 6) score, cast(k as int) paragraph_rank from (select *, row_number() over (partition by request, memory_id order by score desc, md5(text)) k from best) where k <= 3""",
-    "responses": f"with {_INDEX}, {_FUSED.format(5)}, {_MEM} select request, cast(rank as int) rank, memory_id, round(score_q2q, 4) score_q2q, round(score_q2c, 4) score_q2c, round(final_score, 4) final_score, substring(session_text, 1, 200) preview, cast(n_matched as int) n_matched from res join mem using (memory_id) where session_text is not null",
+    "version_chains": f"with {_INDEX}, {_FUSED.format(5)}, {_CHAINS} select request, cast(rank as int) rank, cast(row_number() over (partition by request, memory_id order by nth) - 1 as int) chain, nodes from chains",
+    "matched_texts": f"with {_INDEX}, {_FUSED.format(5)} select r.request, cast(r.rank as int) rank, cast(row_number() over (partition by r.request, r.memory_id order by greatest(o.sim, 0.0) desc, o.sq_index, o.rk) - 1 as int) position, md5(o.text) text_md5 from res r join once o on o.request = r.request and o.memory_id = r.memory_id",
+    "responses": f"""with {_INDEX}, {_FUSED.format(5)}, {_MEM}, {_CHAINS} select request, cast(rank as int) rank, memory_id, round(score_q2q, 4) score_q2q, round(score_q2c, 4) score_q2c, round(final_score, 4) final_score, substring(session_text, 1, 200) preview, cast(n_matched as int) n_matched, cast(coalesce(n_chains, 0) as int) n_chains from res join mem using (memory_id)
+left join (select request, memory_id, count(*) n_chains from chains group by all) c using (request, memory_id) where session_text is not null""",
     "context_budget": f"""with {_INDEX}, {_FUSED.format(5)}, {_MEM}, t as (select request, rank, memory_id, cast(floor(length(session_text) / 3.0) as bigint) tokens, greatest(2000 // count(*) over (partition by request), 300) share from res join mem using (memory_id) where session_text is not null),
 a as (select *, least(tokens, share) asked, 2000 - coalesce(sum(least(tokens, share)) over (partition by request order by rank rows between unbounded preceding and 1 preceding), 0) rest from t),
 g as (select *, case when asked <= rest then asked when rest > 200 then rest else 0 end given from a)
@@ -86,10 +105,10 @@ select new_id, cast(n as int) rank, memory_id, kp_index, md5('[' || coalesce(tim
 from (select *, row_number() over (partition by new_id order by seen, memory_id, kp_index) n from seen join kp using (memory_id)) where n <= 10""",
     "sliding_chunks": "select doc_id, cast(i as int) chunk_index, cast(length(c) as int) n_chars, md5(c) chunk_md5 from (select doc_id, i, substring(text, i * 500 + 1, 1000) c from (select doc_id, text, unnest(range(0, case when length(text) <= 1000 then 1 else 1 + cast(ceil((length(text) - 1000) / 500.0) as bigint) end)) i from documents where text is not null))",
     "session_text": f"with {_SESS}, {_LINES} select s.session_id, cast(len(s.turns) as int) n_turns, md5(coalesce((select string_agg(line, chr(10) order by i) from lines l where l.session_id = s.session_id), '')) text_md5 from sess s where len(s.turns) >= 3",
-    "turn_chunks": f"""with recursive {_SESS}, {_LINES}, numbered as (select session_id, row_number() over (partition by session_id order by i) - 1 k, line, cast(floor(length(line) / 3.0) as bigint) cost from lines),
+    "turn_chunks": f"""with recursive {_SESS}, {_LINES}, numbered as (select session_id, row_number() over (partition by session_id order by i) - 1 k, i - 1 turn, line, cast(floor(length(line) / 3.0) as bigint) cost from lines),
 walk as (select session_id, k, 0 chunk, cost used from numbered where k = 0
   union all select n.session_id, n.k, case when w.used + n.cost <= 120 then w.chunk else w.chunk + 1 end, case when w.used + n.cost <= 120 then w.used + n.cost else n.cost end from walk w join numbered n on n.session_id = w.session_id and n.k = w.k + 1)
-select session_id, chunk chunk_index, cast(min(k) as int) turn_start, cast(max(k) as int) turn_end, md5(string_agg(line, chr(10) order by k)) text_md5 from walk join numbered using (session_id, k) group by session_id, chunk
+select session_id, chunk chunk_index, cast(min(turn) as int) turn_start, cast(max(turn) as int) turn_end, md5(string_agg(line, chr(10) order by k)) text_md5 from walk join numbered using (session_id, k) group by session_id, chunk
 union all select session_id, 0, 0, 0, md5('') from sess where session_id not in (select session_id from numbered)""",
     "token_counts": "select doc_id, cast(floor(length(text) / 3.0) as bigint) tokens, md5(case when floor(length(text) / 3.0) > 500 then substring(text, 1, 1500) || '...' else text end) cut_md5 from documents",
     "session_order": f"with {_SESS}, d as (select sample_id, session_id, coalesce(try_strptime(case when not regexp_matches(date, '^\\s|\\s$') then date end, '%I:%M %p on %d %B, %Y'), try_strptime(case when regexp_full_match(date, '\\d{{4}}-\\d+-\\d+') then date end, '%Y-%m-%d'), try_strptime(case when regexp_full_match(date, '\\d{{4}}-\\d+-\\d+T\\d+:\\d+:\\d+') then date end, '%Y-%m-%dT%H:%M:%S'), try_strptime(case when regexp_full_match(date, '\\d+/\\d+/\\d{{4}}') then date end, '%m/%d/%Y')) date_ts from sess) select sample_id, session_id, coalesce(strftime(date_ts, '%Y-%m-%d %H:%M:%S'), 'undated') date_ts, cast(row_number() over (partition by sample_id order by date_ts asc nulls last, session_id) as int) seq from d",
@@ -126,23 +145,25 @@ select method, {_MEAN3.format("d")}, round(avg(case when d > 0 then 1.0 else 0.0
 f as (select r.query, r.method, coalesce(min(rk) filter (e.session is not null), 1000000) first from r left join evidence e on e.query = r.query and e.session = r.session group by all)
 select method, round(avg((first <= 1)::int), 6) hit_1, round(avg((first <= 5)::int), 6) hit_5, round(avg((first <= 10)::int), 6) hit_10, count(*) n from f group by 1""",
     "robustness": f"with {_BASE}, {_STYLED} select query, method, round(l.sim, 6) orig, round(var_pop(s.sim), 6) var, round(1 - greatest(0.0, l.sim - min(s.sim)) / (l.sim + 1e-10), 6) robustness from long l join styled s using (query, method) group by query, method, l.sim",
-    "robustness_overall": f"with {_BASE}, {_STYLED}, r as (select query, method, var_pop(s.sim) var, 1 - greatest(0.0, l.sim - min(s.sim)) / (l.sim + 1e-10) robustness from long l join styled s using (query, method) group by query, method, l.sim) select method, round(avg(var), 6) mean_var, round(avg(robustness), 6) mean_robustness from r group by 1",
+    "robustness_overall": f"with {_BASE}, {_STYLED}, r as (select query, method, var_pop(s.sim) var, 1 - greatest(0.0, l.sim - min(s.sim)) / (l.sim + 1e-10) robustness from long l join styled s using (query, method) group by query, method, l.sim) select method, round(avg(var), 6) mean_var, round(avg(robustness), 6) mean_robustness, round(stddev_pop(robustness), 6) std_robustness, round((select avg(var) from r where method = 'q2c') / ((select avg(var) from r where method = 'q2q') + 1e-10), 6) q2c_over_q2q from r group by 1",
     "style_drop": f"with {_BASE}, {_STYLED}, g as (select l.query, l.method, t.style, l.sim orig, coalesce(s.sim, 0.0) sim from long l cross join (select distinct style from styled) t left join styled s on s.query = l.query and s.method = l.method and s.style = t.style) select method, coalesce(style, -1) style, round(avg(sim), 6) mean_sim, round(avg(orig - sim), 6) mean_drop, round(avg((sim < 0.9 * orig)::int), 6) drop_rate, count(*) n from g group by grouping sets ((method, g.style), (method))",
     "friedman_chi2": f"""with {_BASE}, {_STYLED}, r as (select method, query, style, count(*) over (partition by method, query) k, count(*) over (partition by method, query, sim) t, rank() over (partition by method, query order by sim) + (count(*) over (partition by method, query, sim) - 1) / 2.0 r from styled),
 s as (select method, sum(rs * rs) ss from (select method, style, sum(r) rs from r group by all) group by 1), h as (select method, count(distinct query) n, max(k) k, sum((t * t - 1)::double) tied from r group by 1)
-select method, n, k, round(case when n >= 10 and 1 - tied / (n * k * (k * k - 1)) > 0 then (12.0 / (n * k * (k + 1)) * ss - 3.0 * n * (k + 1)) / (1 - tied / (n * k * (k * k - 1))) end, 6) chi2 from s join h using (method)""",
-    "drift_checkpoints": f"""with {_BASE}, cps as (select unnest(range(1, 11)) cp), el as (select query, cp from (select query, max(session) + 1 seq from evidence group by 1), cps where seq <= cp),
+select *, round(case when k % 2 = 1 then exp(-chi2 / 2) * list_sum(list_transform(range(0, cast((k - 1) // 2 as bigint)), lambda i: pow(chi2 / 2, i) / gamma(i + 1))) end, 6) p from (select method, n, k, round(case when n >= 10 and 1 - tied / (n * k * (k * k - 1)) > 0 then (12.0 / (n * k * (k + 1)) * ss - 3.0 * n * (k + 1)) / (1 - tied / (n * k * (k * k - 1))) end, 6) chi2 from s join h using (method))""",
+    "drift_checkpoints": f"""with {_BASE}, cps as (select unnest(range(1, 11)) cp), frame as (select cp, m.method, (select count(*) from vec v where v.method = m.method and v.session + 1 <= cp) n_vectors from cps cross join (select unnest(['q2q','q2p','q2n','q2r','q2c']) method) m),
+ok as (select cp from frame where method in ('q2q', 'q2c') and n_vectors > 0 group by 1 having count(*) = 2),
+el as (select query, cp from (select query, max(session) + 1 seq from evidence group by 1), cps where seq <= cp and cp in (select cp from ok)),
 pool as (select e.cp, e.query, s.method, s.sim, v.session is not null hit from el e join sims s on s.query = e.query and s.session + 1 <= e.cp left join evidence v on v.query = s.query and v.session = s.session),
 tgt as (select *, max(sim) filter (hit) over (partition by cp, query, method) target from pool),
 rk as (select cp, query, method, case when max(target) is null then count(*) else 1 + count(*) filter (sim > target) end::double rank from tgt group by all),
 f as (select e.cp, m.method, coalesce(r.rank, e.cp) rank from el e cross join (select unnest(['q2q','q2p','q2n','q2r','q2c']) method) m left join rk r on r.cp = e.cp and r.query = e.query and r.method = m.method),
 o as (select cp, method, count(*) n_queries, avg(rank) mean_rank, median(rank) median_rank, avg(1 / rank) mrr, avg((rank <= 1)::int) r1, avg((rank <= 5)::int) r5, avg((rank <= 10)::int) r10 from f group by all)
-select cast(cp as int) cp, method, n_queries, round(mean_rank, 6) mean_rank, round(median_rank, 6) median_rank, round(mrr, 6) mrr, round(r1, 6) recall_1, round(r5, 6) recall_5, round(r10, 6) recall_10, round(mean_rank - first_value(mean_rank) over (partition by method order by cp), 6) rank_drift from o""",
+select cast(cp as int) cp, method, n_vectors, coalesce(n_queries, 0) n_queries, round(mean_rank, 6) mean_rank, round(median_rank, 6) median_rank, round(mrr, 6) mrr, round(r1, 6) recall_1, round(r5, 6) recall_5, round(r10, 6) recall_10, round(mean_rank - first_value(mean_rank ignore nulls) over (partition by method order by cp), 6) rank_drift from frame left join o using (cp, method)""",
     "usage_stats": "select case event_type when 'signup' then 'memorize' else 'query' end phase, count(*) calls, cast(sum(cast(floor(value) as bigint)) as bigint) input_tokens, cast(sum(cast(floor(value / 2) as bigint)) as bigint) output_tokens, round(sum(value) / count(*), 6) mean_latency from events group by 1",
     "ari_nmi": """with d as (select lower(trim(lang)) a, lower(trim(source)) b from documents where lang is not null and source is not null), c as (select a, b, count(*)::double n from d group by all), r as (select sum(n) n from c group by a), k as (select sum(n) n from c group by b), t as (select sum(n) t from c),
 x as (select (select sum(n * (n - 1) / 2) from c) cab, (select sum(n * (n - 1) / 2) from r) ca, (select sum(n * (n - 1) / 2) from k) cb, (select -sum(n / t * ln(n / t)) from c, t) hab, (select -sum(n / t * ln(n / t)) from r, t) ha, (select -sum(n / t * ln(n / t)) from k, t) hb, t from t)
 select round((cab - ca * cb / (t * (t - 1) / 2)) / ((ca + cb) / 2 - ca * cb / (t * (t - 1) / 2)), 6) ari, round(2 * (ha + hb - hab) / (ha + hb), 6) nmi from x""",
     "upsert_delete": f"with {_MEM} select memory_id, session_id, epoch_us(ingested_at) ingested_us from mem where session_text is not null and session_text <> ''",
-    "incremental_missing": "select distinct memory_id from memories where memory_id is not null and memory_id not in (select memory_id from content_chunks where memory_id is not null)",
+    "incremental_missing": "select distinct memory_id from memories where memory_id is not null and memory_id not in (select memory_id from content_chunks where memory_id is not null and chunk_index > 0 and embedding is not null)",
     "stored_sessions": "select memory_id, count(distinct query_id) n_queries from fake_queries where embedding is not null group by 1",
 }

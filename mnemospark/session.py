@@ -40,11 +40,13 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names, or a temporary one where none is set (tests)."""
+    """The shared checkpoint folder the cluster names; a temporary one only where the master is local and none is set (tests)."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="mnemospark-checkpoint-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)

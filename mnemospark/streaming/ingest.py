@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from mnemospark.providers import memorize
+from mnemospark.operators.memory import memorize
 from mnemospark.sources.store import MemoryStore, latest
 
 
@@ -14,13 +14,14 @@ def ingest(sessions: DataFrame, store: MemoryStore, checkpoint: str, **options)
     """Each micro-batch becomes memories, linked to what is stored, and is upserted.
 
     Within a batch the last row of a memory holds. A late session is linked as if it arrived
-    now. Repeating a batch after a failure gives the same tables, since saving replaces by key.
+    now. Repeating a batch after a failure gives the same tables: saving replaces by memory in all tables at once, and a memory's
+    queries are never linked to its own.
     """
 
     def save(batch: DataFrame, _: int) -> None:
         batch = latest(batch, ["memory_id"], "created_at").persist()
         try:
-            store.save(**memorize(batch, store.load("fake_queries"), **options))
+            store.save(**memorize(batch, store.load("fake_queries"), store.load("knowledge_points"), **options))
         finally:
             batch.unpersist()
 

@@ -1,11 +1,14 @@
+import base64
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.functions import jsonrepair, stats, text
 from mnemospark.functions.vectors import centroids, cosine
+from mnemospark.providers import CharTokenizer
 
 
 def one(spark, column, **values):
@@ -43,10 +46,18 @@ def test_turn_chunks(spark):
     schema = "turns array<struct<speaker:string,text:string>>"
     rows = [([("a", "x" * 300), ("b", " "), ("b", "y" * 300), (None, "z" * 2000), ("c", "w")],), ([],), (None,)]
     got = [r["c"] for r in spark.createDataFrame(rows, schema).select(text.turn_chunks("turns", 250).alias("c")).collect()]
-    assert [(c["turn_start"], c["turn_end"]) for c in got[0]] == [(0, 1), (2, 2), (3, 3)]
+    assert [(c["turn_start"], c["turn_end"]) for c in got[0]] == [(0, 2), (3, 3), (4, 4)]  # the blank turn keeps its index
     assert got[0][0]["text"] == f"a: {'x' * 300}\nb: {'y' * 300}"
     for c in got[1:]:
         assert [(x["chunk_index"], x["text"]) for x in c] == [(0, "")]
+    by = [r["c"] for r in spark.createDataFrame(rows, schema).select(text.turn_chunks_by(CharTokenizer, "turns", 250).alias("c")).collect()]
+    assert by == got
+
+    class Words:  # a tokenizer whose line breaks count
+        def count(self, t):
+            return len(t.split()) + t.count("\n")
+
+    assert text.pack_turns([(0, "a: b"), (3, "c: d"), (4, "e: f")], Words().count, 5) == [(0, 0, 3, "a: b\nc: d"), (1, 4, 4, "e: f")]
 
 
 CASES = [
@@ -100,7 +111,7 @@ def test_prompts_and_embed_texts(spark):
     from mnemospark.functions.prompts import TEMPLATES, prompt
 
     got = one(spark, prompt("fake_queries", "en", n=3, session=F.col("t")), t="x" * 5000)
-    assert "write 3 questions" in got and got.count("x") == 3000
+    assert "write 3 questions" in got and got.count("x") == 5000
     assert all(set(v) == {"en", "zh"} for v in TEMPLATES.values())
     assert one(spark, prompt("decompose", "fr", query=F.lit(None)), t="x").startswith("Split")
     assert one(spark, text.sub_query_text("a", "b"), a="q", b=" ") == "q" and one(spark, text.sub_query_text("a", "b"), a="q", b="k") == "q k"
@@ -113,9 +124,66 @@ def test_context():
 
     c = Config(max_context_tokens=400, min_context_tokens=150, min_tail_tokens=100)
     assert render([]) == NOTHING["en"] and render([], language="zh") == NOTHING["zh"]
-    facts = [("t", "s", "f" * 270, None)] * 4
-    low = render([{"final_score": 0.1, "points": facts, "paragraphs": ["excerpt"], "chains": [["a", "b"]]}] * 3, c)
-    assert low.count("### Memory") == 3 and "LOW" in low and "a -> b" not in low
-    high = render([{"final_score": 0.9, "points": [], "paragraphs": ["excerpt"], "chains": [["a", "b"]]}], c)
-    assert "HIGH" in high and "a -> b" in high and "excerpt" not in high
+    facts = [("t", "s", "f" * 250, None)] * 4
+    chains = [[(0, "a"), (1, "b")], [(0, "alone")]]
+    low = render([{"final_score": 0.1, "points": facts, "paragraphs": ["excerpt"], "chains": chains}] * 3, c)
+    assert low.count("### Memory") == 3 and "LOW" in low and "[d0] a" not in low
+    high = render([{"final_score": 0.9, "points": [], "paragraphs": ["excerpt"], "chains": chains}], c)
+    assert high == "### Memory 1 (relevance: 0.900, confidence: HIGH)\n\n[Version History (chain 1)]:\n  [d0] a\n  [d1] b"
     assert render([{"final_score": 0.9, "points": facts[:1], "chains": []}] * 9, c).count("### Memory") == 3
+    empty = {"final_score": 0.2, "points": [], "paragraphs": [], "chains": []}
+    some = render([empty, {"final_score": 0.2, "points": [("2024", "Ann", "left", "home"), (None, "Bob", "came", "")], "paragraphs": ["p", "q"]}], c)
+    assert some == "### Memory 2 (relevance: 0.200, confidence: LOW)\nRelevant Knowledge Points:\n  - [2024] Ann: left (home)\n  - [] Bob: came\n\n[Relevant Excerpts]:\n  --- [1] ---\n  p\n  --- [2] ---\n  q"
+    assert render([empty], c) == ""
+
+
+def test_providers(spark, tmp_path):
+    from mnemospark import providers as pr
+    from mnemospark.config import Config
+
+    class Long:
+        def embed(self, texts):
+            return np.array([[3.0, 4.0], [0.0, 0.0]])[: len(texts)]
+
+    assert np.allclose(pr.NormalisedEmbedder(Long).embed(["a", "b"]), [[0.6, 0.8], [0, 0]])
+    sent = []
+
+    def send(url, headers, body):
+        sent.append((url, headers, body))
+        return {"data": [{"index": i, "embedding": [float(len(t))]} for i, t in reversed(list(enumerate(body["input"])))]}
+
+    http = pr.HttpEmbedder("http://x", "m", "k", batch=2, send=send)
+    assert http.embed(["aa", "", "cccc"]).ravel().tolist() == [2.0, 1.0, 4.0] and len(sent) == 2 and sent[0][1] == {"Authorization": "Bearer k"}
+    (tmp_path / "v.tiktoken").write_bytes(b"".join(base64.b64encode(bytes([i])) + f" {i}\n".encode() for i in range(256)))
+    t = pr.FileTokenizer(str(tmp_path / "v.tiktoken"))
+    assert t.count("abc d") == 5 and t.truncate("abcdef", 3) == "abc..." and t.truncate("ab", 3) == "ab"
+    assert isinstance(pr.tokenizer(str(tmp_path / "gone.json"))(), (pr.CharTokenizer, pr.FileTokenizer)) and isinstance(pr.tokenizer()(), pr.CharTokenizer)
+    (tmp_path / "c.yaml").write_text("retrieval:\n  alpha: 0.5  # weight\n  top_n: 7\n")
+    c = Config.scan(str(tmp_path / "c.yaml"), {"MNEMOSPARK_TOP_N": "9", "OTHER": "1"})
+    assert (c.alpha, c.top_n, c.top_k_per_sub) == (0.5, 9, 20) and Config.scan(None, {}) == Config()
+
+
+def test_generation(spark, tmp_path):
+    from mnemospark.operators import generation as g
+
+    class Fixed:
+        def generate(self, prompts):
+            return ['[{"query": "where?", "keywords": "place"}, "when?"]' if "simpler" in p else '["a", "b", "c", "d", "e"]' if "indirect" in p else '[{"title": "T", "content": "C", "key_insight": "K", "tags": "x"}]' if "notes" in p else '["said", " "]' for p in prompts]
+
+    r = spark.createDataFrame([(1, "where and when?", True), (2, None, True), (3, "no?", False)], "request int, query string, wanted boolean")
+    subs = g.decompose(r, Fixed).orderBy("sub_id").collect()
+    assert [(s["request"], s["sq_index"], s["text"], s["keywords"]) for s in subs] == [(1, 0, "where?", "place"), (1, 1, "when?", ""), (3, 0, "where?", "place"), (3, 1, "when?", "")]
+    assert all(len(s["embedding"]) == 64 for s in subs)
+    contexts = spark.createDataFrame([(1, "c"), (3, "c")], "request int, context string")
+    assert [x["request"] for x in g.answer(r, contexts, Fixed).collect()] == [1]
+    q = spark.createDataFrame([("q", "t", "a", None)], "query_id string, text string, answer string, context string")
+    assert [(x["style"], x["text"]) for x in g.paraphrases(q, Fixed).collect()] == list(zip(g.STYLES, "abcde", strict=True))
+    s = spark.createDataFrame([("s", "text"), ("n", None)], "session_id string, text string")
+    assert g.notes(s, Fixed).first()["text"] == "T. K C" and [x["text"] for x in g.variants(s, "propositions", Fixed).collect()] == ["said"]
+    assert g.variants(s, "reflections", Fixed).count() == 1
+    path = str(tmp_path / "done")
+    make = lambda d: g.variants(d, "propositions", Fixed)
+    assert g.resume(spark, path, s, "session_id", make) == 2 and g.resume(spark, path, s, "session_id", make) == 0
+    assert spark.read.parquet(path).count() == 2
+    g.write_result(spark.range(1), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 1

@@ -131,7 +131,7 @@ def test_drift_without_target(spark):
     s = spark.createDataFrame([(1, "q2q", "s1", 1, 0.3), (1, "q2q", "s2", 2, 0.5)], "query int, method string, session string, pos int, sim double")
     evidence = spark.createDataFrame([(1, 0, "s1")], "query int, ev_pos int, session string")
     arrival = spark.createDataFrame([("s1", 1), ("s2", 2)], "session string, seq int")
-    got = {(r["cp"], r["method"]): r["mean_rank"] for r in ev.drift(s, evidence, arrival, [1, 2]).collect()}
+    got = {(r["cp"], r["method"]): r["mean_rank"] for r in ev.drift(s, evidence, spark.createDataFrame([("q2q", "s1"), ("q2q", "s2"), ("q2c", "s1")], "method string, session string"), arrival, [1, 2]).collect()}
     assert got[1, "q2q"] == 1 and got[2, "q2q"] == 2 and got[2, "q2c"] == 2
 
 
