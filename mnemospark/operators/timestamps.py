@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions.dates import parsed
+from mnemospark.session import cut
 
 #: Years for which intervals are made. Local times outside have status ``out_of_range``.
 FIRST_YEAR, LAST_YEAR = 1900, 2100
 
+_MADE: dict[str, DataFrame] = {}
 _BUCKET = "zone string, year int, spans array<struct<from_us: bigint, to_us: bigint, offset_s: int>>"
 
 
@@ -38,7 +40,7 @@ def _zone_buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             zone = ZoneInfo(name)
 
             def offset(t: int, zone: ZoneInfo = zone) -> int:
-                return int(datetime.fromtimestamp(t, UTC).astimezone(zone).utcoffset().total_seconds())
+                return int(datetime.fromtimestamp(t, zone).utcoffset().total_seconds())
 
             spans, since, t, now = [], begin, begin, offset(begin)
             while t < end:
@@ -78,8 +80,12 @@ def zone_intervals(spark: SparkSession) -> DataFrame:
     from zoneinfo import available_timezones
 
     names = sorted(x for x in available_timezones() if x != "localtime" and not x.startswith(("posix/", "right/")))
-    zones = spark.createDataFrame([(x,) for x in names], "zone string").repartition(8)
-    return zones.mapInPandas(_zone_buckets, _BUCKET)
+    app = spark.sparkContext.applicationId
+    if app not in _MADE:  # once an application, then read from the checkpoint
+        zones = spark.createDataFrame([(x,) for x in names], "zone string").repartition(spark.sparkContext.defaultParallelism)
+        _MADE.clear()
+        _MADE[app] = cut(zones.mapInPandas(_zone_buckets, _BUCKET))
+    return _MADE[app]
 
 
 def normalise_moments(df: DataFrame, value: str | Column, zone: str | Column, keep: Sequence[str | Column], zones: DataFrame | None = None) -> DataFrame:
