@@ -1,9 +1,10 @@
 """Parent-child links to full hierarchies: depth, roots, paths, descendants, circles.
 
 Links are merged by weighted disjoint-set forests. Each partition unites the ends of its own
-links; a node's weight is its level relative to its set's root. Only nodes that occur in
-several partitions are passed up, as links between the roots of their sets, and merged in
-fewer partitions, until no node has two roots. A link that contradicts the weights of its
+links, which are cut by child, so a parent of any number of children loads no partition more than others; a node's
+weight is its level relative to its set's root. Only nodes that occur in several partitions are passed up, as links between the
+roots of their sets. If these fit in one task, it merges them; if not, they are joined to their smallest neighbours, weights
+and all, round by round until each set is a star. A link that contradicts the weights of its
 set (a circle always does, several parents at different levels may) marks its component.
 
 Whole components are then brought together, many to a partition, and traversed through an
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 
 from mnemospark.session import cut, partitions_for
 
-#: Links that one task merges or traverses at a time.
-LINKS_PER_PARTITION = 200_000
+#: Links that one task merges at most, and that it merges or traverses where there are enough of them for all tasks.
+MERGED_PER_TASK, LINKS_PER_PARTITION = 200_000, 20_000
 #: Components with more links are traversed by joins instead of in one task.
-MAX_COMPONENT_LINKS = 5_000_000
+MAX_COMPONENT_LINKS = 400_000
 
 
 def _clean(c):
@@ -132,29 +133,56 @@ def components(links: DataFrame) -> DataFrame:
     """``node, component, contradicted`` for every end of ``links`` (``child, parent``)."""
     now = links.select("child", "parent", F.lit(1).cast("bigint").alias("levels"), F.lit(False).alias("contradicted"))
     n = partitions_for(links.count(), LINKS_PER_PARTITION)
-    now = now.repartition(n, "parent")
-    levels: list[DataFrame] = []
+    sets = cut(now.repartition(n, "child").mapInPandas(_merge, _SETS))
+    final = sets.groupBy("node").agg(F.min("root").alias("component"), F.max("contradicted").alias("contradicted"))
+    if n == 1:
+        return final
+    # a node occurs once per partition, so at most n times
+    w = Window.partitionBy("node").orderBy("root")
+    shared = sets.withColumn("first", F.first("root").over(w)).withColumn("at", F.first("levels").over(w)).where("root <> first")
+    # root is (at - levels) below first: level(node) = levels + level(root) = at + level(first)
+    up = cut(shared.select(F.col("root").alias("child"), F.col("first").alias("parent"), (F.col("at") - F.col("levels")).alias("levels")).distinct())
+    left = up.count()
+    if left <= MERGED_PER_TASK:
+        higher = up.withColumn("contradicted", F.lit(False)).repartition(1).mapInPandas(_merge, _SETS)
+    else:
+        higher = _stars(up)
+    higher = higher.select(F.col("node").alias("component"), F.col("root").alias("above"), F.col("contradicted").alias("bad"))
+    # a component is contradicted if any set of it, or any link between its sets, is
+    mapped = final.join(higher, "component", "left").select("node", F.coalesce("above", "component").alias("component"), (F.col("contradicted") | F.coalesce("bad", F.lit(False))).alias("contradicted"))
+    bad = sets.where("contradicted").select(F.col("root").alias("component")).distinct().join(higher, "component", "left").select(F.coalesce("above", "component").alias("component")).distinct()
+    return mapped.join(bad.withColumn("marked", F.lit(True)), "component", "left").select("node", "component", (F.col("contradicted") | F.coalesce("marked", F.lit(False))).alias("contradicted"))
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """``node, root, levels, contradicted`` of links (``child, parent, levels``) too many for one task.
+
+    In turns, a node's larger and its smaller neighbours are linked to the smallest of all, until every set is a
+    star around its smallest node. What is joined is bounded by the links; the join's hot keys are split by the engine.
+    """
+    now = links.select(F.col("child").alias("u"), F.col("parent").alias("v"), F.col("levels").alias("d"))
+    bad, before = None, None
     while True:
-        sets = cut(now.mapInPandas(_merge, _SETS))
-        levels.append(sets)
-        if n == 1:
-            break
-        # a node occurs once per partition, so at most n times
-        w = Window.partitionBy("node").orderBy("root")
-        shared = sets.withColumn("first", F.first("root").over(w)).withColumn("at", F.first("levels").over(w)).where("root <> first")
-        # root is (at - levels) below first: level(node) = levels + level(root) = at + level(first)
-        up = cut(shared.select(F.col("root").alias("child"), F.col("first").alias("parent"), (F.col("at") - F.col("levels")).alias("levels"), "contradicted").distinct())
-        left = up.count()
-        if left == 0:
+        for larger in (True, False):
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"), (-F.col("d")).alias("d")))
+            best = both.groupBy("u").agg(F.min(F.struct("v", "d")).alias("b")).select("u", F.when(F.col("b.v") < F.col("u"), F.col("b.v")).otherwise(F.col("u")).alias("m"), F.when(F.col("b.v") < F.col("u"), F.col("b.d")).otherwise(F.lit(0)).alias("dm"))
+            # level(v) = level(u) - d = level(m) + dm - d
+            side = both.join(best, "u").where(F.col("v") > F.col("u") if larger else F.col("v") <= F.col("u"))
+            moved = side.select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("dm") - F.col("d")).alias("d"))
+            if not larger:
+                moved = moved.unionByName(best.where("m < u").select("u", F.col("m").alias("v"), F.col("dm").alias("d")))
+            pairs = cut(moved.groupBy("u", "v").agg(F.min("d").alias("d"), F.max("d").alias("most")))
+            wrong = pairs.where((F.col("d") != F.col("most")) | ((F.col("u") == F.col("v")) & (F.col("d") != 0))).select("u").distinct()
+            bad = wrong if bad is None else bad.unionByName(wrong)
+            now = pairs.where("u <> v").select("u", "v", "d")
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        if state == before:
             break
-        n = min(partitions_for(left, LINKS_PER_PARTITION), max(1, n // 4))
-        now = up.repartition(n, "parent")
-    # each level maps roots of the level below; where a node has several, any one leads to the same final root
-    final = levels[0].groupBy("node").agg(F.min("root").alias("component"), F.max("contradicted").alias("contradicted"))
-    for sets in levels[1:]:
-        higher = sets.groupBy(F.col("node").alias("component")).agg(F.min("root").alias("above"), F.max("contradicted").alias("bad"))
-        final = final.join(higher, "component", "left").select("node", F.coalesce("above", "component").alias("component"), (F.col("contradicted") | F.coalesce("bad", F.lit(False))).alias("contradicted"))
-    return final
+        before = state
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"), F.col("d").alias("levels"))
+    all_ = cut(stars.unionByName(stars.select(F.col("root").alias("node"), "root", F.lit(0).cast("bigint").alias("levels")).distinct()))
+    marked = bad.distinct().join(all_.select(F.col("node").alias("u"), "root"), "u").select("root").distinct().withColumn("contradicted", F.lit(True))
+    return all_.join(marked, "root", "left").select("node", "root", "levels", F.coalesce("contradicted", F.lit(False)).alias("contradicted"))
 
 
 def hierarchy(df: DataFrame, node: str, parents: str, depth: str | None = None, max_component_links: int = MAX_COMPONENT_LINKS) -> Hierarchy:
@@ -362,6 +390,19 @@ def _closure(links: DataFrame) -> DataFrame:
     return all_
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Links that lie on a circle or between two: ends without parents or children are taken off until there are none."""
+    now, before = cut(edges), -1
+    left = now.count()
+    while left != before:
+        before = left
+        above = now.select(F.col("child").alias("parent")).distinct()  # those that have a parent
+        below = now.select(F.col("parent").alias("child")).distinct()  # those that have a child
+        now = cut(now.join(above, "parent", "left_semi").join(below, "child", "left_semi"))
+        left = now.count()
+    return now
+
+
 def _large_levels(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``node, depth`` of those neither in nor below a circle, ``node, finding`` of the rest), a level a round."""
     edges = cut(links.select("child", "parent").distinct())
@@ -377,16 +418,26 @@ def _large_levels(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         levels.append(done)
     reached = cut(reduce(DataFrame.unionByName, levels))
     rest = edges.join(reached.select(F.col("node").alias("child")), "child", "left_anti").join(reached.select(F.col("node").alias("parent")), "parent", "left_anti")
-    circle = _closure(rest).where("node = descendant").select("node").distinct().withColumn("on", F.lit(True))
+    circle = _closure(_trimmed(rest)).where("node = descendant").select("node").distinct().withColumn("on", F.lit(True))
     others = names.join(reached, "node", "left_anti").join(circle, "node", "left")
     return reached, others.select("node", F.when(F.col("on"), "cycle").otherwise("below_cycle").alias("finding"))
 
 
+def _large_roots(edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """``node, roots``: pairs of a node and a root, passed down a link a round; what is made is no more than what comes out."""
+    new = all_ = cut(reached.where("depth = 0").select("node", F.col("node").alias("root")))
+    inner = cut(edges.join(reached.select(F.col("node").alias("child")), "child", "left_semi"))
+    while not new.isEmpty():
+        ahead = inner.join(new.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node"), "root").distinct()
+        new = cut(ahead.join(all_, ["node", "root"], "left_anti"))
+        all_ = cut(all_.unionByName(new))
+    return all_.groupBy("node").agg(F.sort_array(F.collect_set("root")).alias("roots"))
+
+
 def _large_details(links: DataFrame) -> DataFrame:
     reached, others = _large_levels(links)
     edges = links.select("child", "parent").distinct()
-    above = _closure(links).join(reached.where("depth = 0").select("node"), "node").select(F.col("node").alias("root"), F.col("descendant").alias("node"))
-    roots = above.groupBy("node").agg(F.sort_array(F.collect_set("root")).alias("roots"))
+    roots = _large_roots(edges, reached)
     first = Window.partitionBy("child").orderBy(F.desc("depth"), "parent")
     via = cut(edges.join(reached.withColumnRenamed("node", "parent"), "parent").withColumn("n", F.row_number().over(first)).where("n = 1").select("child", "parent"))
     now, done = reached.select("node", F.col("node").alias("top"), F.array("node").alias("path")), []

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import mnemospark.operators.hierarchy as h
 
@@ -70,9 +71,11 @@ def test_empty(spark):
     assert x.nodes.count() == 0
 
 
-@pytest.mark.parametrize("per", [200_000, 15])
-def test_random(spark, monkeypatch, per):
+@pytest.mark.parametrize(("per", "merged"), [(200_000, 200_000), (15, 200_000), (15, 3)])
+def test_random(spark, monkeypatch, per, merged):
+    """In one task, in several whose sets are merged in one, and merged by joins."""
     monkeypatch.setattr(h, "LINKS_PER_PARTITION", per)
+    monkeypatch.setattr(h, "MERGED_PER_TASK", merged)
     r = random.Random(per)
     rows = [(f"n{i}", [f"n{r.randrange(max(1, i - 12), i + 1)}" for _ in range(r.choice([0, 1, 1, 2]))] if i else [], 0) for i in range(60)]
     rows += [(f"n{i}", [f"n{i + 5}"], 0) for i in (10, 40)]
@@ -83,6 +86,18 @@ def test_large_components_by_joins(spark):
     check(spark, HAND, max_component_links=1)
 
 
+def test_hub(spark, monkeypatch):
+    """A parent of a third of all rows, in many partitions; and a circle far from where its component is marked."""
+    monkeypatch.setattr(h, "LINKS_PER_PARTITION", 50)
+    monkeypatch.setattr(h, "MERGED_PER_TASK", 4)
+    rows = [("hub", None, 0)] + [(f"c{i}", ["hub"], 1) for i in range(400)] + [(f"g{i}", [f"c{i}"], 2) for i in range(400)]
+    rows += [(f"x{i}", [f"x{i - 1}" if i else "x199"], 0) for i in range(200)] + [(f"y{i}", [f"x{i}", f"g{i}"], 0) for i in range(0, 200, 40)]
+    x = h.hierarchy(table(spark, rows), "id", "parents", "depth")
+    found = {r["finding"]: r["n"] for r in x.details().groupBy("finding").agg(F.count("*").alias("n")).collect()}
+    assert found == {"tree": 801, "cycle": 200, "below_cycle": 5}
+    assert x.links.select("component").distinct().count() == 1
+
+
 def test_long_chain(spark):
     n = 3_000
     x = h.hierarchy(table(spark, [(f"n{i}", [f"n{i - 1}"] if i else None, i) for i in range(n)]), "id", "parents", "depth")
