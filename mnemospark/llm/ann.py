@@ -29,12 +29,20 @@ from mnemospark.session import cut, partitions_for
 
 #: Vectors in the sample on which the index is fitted, at most about this many.
 SAMPLE = 20_000
+#: Of these, vectors on which the codebooks are fitted; pairs of dimensions have only 16 codewords each.
+FITTED = 5_000
 #: Weight of the parallel part of the residual is (d - 1) * T^2 / (1 - T^2) times that of the rest.
 THRESHOLD = 0.2
 CODEWORDS = 16
 #: Vectors that a block of a list holds at most on average, and queries scanned at a time.
 BLOCK = 4_096
 SCAN = 1_024
+#: Vectors that look into a block at most on average.
+LOOKS = 32_768
+#: Lists that are searched before the others, for a bound.
+FIRST = 4
+#: A scanned score is off by a vector's error times the cosine of its angle with the query, which is about 1 / sqrt(dims); so many times that is allowed for.
+USUAL_ERROR = 2.5
 
 
 @dataclass
@@ -125,7 +133,7 @@ def fit(sample: np.ndarray, lists: int, seed: int = 5) -> Index:
         filled = np.bincount(near, minlength=lists) > 0
         centroids[filled] = sums[filled]
         centroids /= np.linalg.norm(centroids, axis=1, keepdims=True) + 1e-12
-    return Index(centroids, _train_books(sample[: min(len(sample), 5_000)], rng))
+    return Index(centroids, _train_books(sample[: min(len(sample), FITTED)], rng))
 
 
 # ---------------------------------------------------------------- search
@@ -152,47 +160,60 @@ def _matrix(packed: pd.Series, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(packed), np.float32).reshape(-1, dims)
 
 
+_PAIR = "key string, other string, similarity double"
+
+
 def _scan(pdf: pd.DataFrame, index: Index, k: int, least: float | None, dims: int) -> pd.DataFrame:
-    """Neighbours, in both directions, between the vectors that look into a block and those it holds."""
-    held = (pdf["code"].notna()).to_numpy()
-    if not held.any():
-        return pd.DataFrame({"key": pd.Series([], dtype=object), "other": pd.Series([], dtype=object), "similarity": np.zeros(0)})
+    """Neighbours of the vectors that look into a block (those with a ``bound``) among those it holds (those with a ``code``).
+
+    Only similarities of a query's ``bound`` or more count. With ``least`` pairs are found in both directions. At most ``k`` a key come out.
+    """
+    held, asks = pdf["code"].notna().to_numpy(), pdf["bound"].notna().to_numpy()
+    none = pd.DataFrame({"key": pd.Series([], dtype=object), "other": pd.Series([], dtype=object), "similarity": np.zeros(0)})
+    if not held.any() or not asks.any():
+        return none
     names = pdf["key"].to_numpy(dtype=object)
     x = _matrix(pdf["vec"], dims)
     items, item_names = x[held], names[held]
+    queries, query_names, bounds = x[asks], names[asks], pdf["bound"].to_numpy(np.float32)[asks]
     packed = np.frombuffer(b"".join(pdf["code"][held]), np.uint8).reshape(held.sum(), -1)
     codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(packed), -1)
     decoded = index.decode(codes)
-    slack = np.linalg.norm(items - decoded, axis=1)  # how far a scanned score can be off
+    off = np.linalg.norm(items - decoded, axis=1)  # how far a scanned score can be off; a query's direction halves it many times over
+    slack = off if least is not None else np.float32(USUAL_ERROR) * off / np.sqrt(np.float32(dims))
+    depth = 2 * k
     found_q, found_i, found_s = [], [], []
-    for at in range(0, len(x), SCAN):
-        q = x[at : at + SCAN]
+    for at in range(0, len(queries), SCAN):
+        q = queries[at : at + SCAN]
         scores = q @ decoded.T
-        if least is not None:
-            qi, ii = np.nonzero(scores + slack >= least - 1e-4)
-        else:
-            depth = 4 * k
-            mark = np.zeros(scores.shape, bool)
-            for s, m in ((scores, mark), (scores.T, mark.T)):
-                if s.shape[1] <= depth:
-                    m[:] = True
-                else:
-                    np.put_along_axis(m, np.argpartition(-s, depth - 1, axis=1)[:, :depth], True, 1)
-            qi, ii = np.nonzero(mark)
+        scores += slack
+        keep = scores >= bounds[at : at + SCAN, None] - 1e-4
+        if least is None and scores.shape[1] > depth and keep.sum() > depth * len(q):
+            rows = np.flatnonzero(keep.sum(1) > depth)
+            part = scores[rows]
+            cut_ = np.partition(part, part.shape[1] - depth, axis=1)[:, part.shape[1] - depth]
+            keep[rows] &= part >= cut_[:, None]
+        qi, ii = np.nonzero(keep)
         for lo in range(0, len(qi), 500_000):
             a, b = qi[lo : lo + 500_000], ii[lo : lo + 500_000]
-            exact = (q[a].astype(np.float64) * items[b]).sum(1)
-            keep = names[at + a] != item_names[b]
-            if least is not None:
-                keep &= exact >= least - 1e-6
-            found_q.append(names[at + a[keep]])
-            found_i.append(item_names[b[keep]])
-            found_s.append(exact[keep])
+            if least is None:
+                exact = np.einsum("ij,ij->i", q[a], items[b]).astype(np.float64)
+            else:
+                exact = np.einsum("ij,ij->i", q[a].astype(np.float64), items[b].astype(np.float64))
+            good = (query_names[at + a] != item_names[b]) & (exact >= bounds[at + a] - 1e-6)
+            found_q.append(query_names[at + a[good]])
+            found_i.append(item_names[b[good]])
+            found_s.append(exact[good])
     q, i, sims = (np.concatenate(x) if x else np.zeros(0, object) for x in (found_q, found_i, found_s))
-    both = pd.DataFrame({"key": pd.Series(np.concatenate([q, i]), dtype=object), "other": pd.Series(np.concatenate([i, q]), dtype=object), "similarity": np.concatenate([sims, sims]).astype(float)})
-    if least is None and len(both):
-        both = both.drop_duplicates(["key", "other"]).sort_values(["similarity", "other"], ascending=[False, True]).groupby("key", sort=False).head(k)
-    return both
+    if not len(q):
+        return none
+    if least is not None:
+        q, i, sims = np.concatenate([q, i]), np.concatenate([i, q]), np.concatenate([sims, sims])
+    out = pd.DataFrame({"key": pd.Series(q, dtype=object), "other": pd.Series(i, dtype=object), "similarity": sims.astype(float)})
+    if len(out) > k:
+        out = out.sort_values(["similarity", "other"], ascending=[False, True]).drop_duplicates(["key", "other"])
+        out = out[out.groupby("key", sort=False).cumcount() < k]
+    return out
 
 
 def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 10, dims: int = 64, least: float | None = None, lists: int | None = None, probes: int = 3) -> DataFrame:
@@ -200,7 +221,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 10, dims: int
 
     ``least`` keeps only neighbours with at least this cosine; within the lists searched none
     of these is missed, as the scan allows for the error of each code. Without it, the scan keeps
-    four times ``k`` candidates a list. ``lists`` (by default the square root of the number
+    the candidates that its usual error allows to beat the bound found in the first lists, at most about twice ``k`` a list. ``lists`` (by default the square root of the number
     of rows) and ``probes`` (lists searched for each vector) set the loss.
 
     Vectors that are null, all zero, of another number of elements or with elements that aren't
@@ -212,9 +233,11 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 10, dims: int
     if dims % 2:
         raise ValueError("dims must be even")
     rows = _searchable(df, key, vector, dims)
-    count = df.count()
-    every = max(1, count // SAMPLE)
-    sample = rows.where(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).orderBy(F.xxhash64("k"), "k").limit(SAMPLE).toPandas()
+    count = rows.count()
+    drawn = F.xxhash64("k", "v")
+    sample = rows.where(F.pmod(drawn, F.lit(max(1, count // (2 * SAMPLE)))) == 0).orderBy(drawn, "k").limit(SAMPLE).toPandas()
+    if not len(sample):
+        sample = rows.orderBy(drawn, "k").limit(SAMPLE).toPandas()
     x = np.stack(sample["v"].to_numpy()).astype(np.float32) if len(sample) else np.zeros((0, dims), np.float32)
     x = x[_valid(x)]
     if not len(x):
@@ -232,43 +255,73 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 10, dims: int
         order = Window.partitionBy("h1", "h2").orderBy("k")
         few = cut(members.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1))
         extra = cut(members.join(few.select("h1", "h2", "k"), ["h1", "h2", "k"], "left_anti"))
-        rows = rows.join(extra.select("k"), "k", "left_anti")
+        left_out = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v")}).join(extra.select("k", "h1", "h2"), ["k", "h1", "h2"], "left_anti")
+        rows = left_out.select("k", "v")
+
+    def placed(rows: DataFrame, lists: range, holds: bool) -> DataFrame:
+        """Rows (``k, v`` and perhaps ``bound``) in their lists of these ranks, and, if ``holds``, held in the first."""
+        bounded = "bound" in rows.columns
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ix = held.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = _vectors(batch.column("v"), dims)
+                fine = _valid(x)
+                mask = pa.array(fine)
+                names, x = batch.column("k").filter(mask), x[fine]
+                if not len(x):
+                    continue
+                x = _units(x)
+                near = ix.nearest(x, max(lists.stop, 1))
+                vecs, nothing = pa.array([r.tobytes() for r in x], pa.binary()), pa.nulls(len(x), pa.binary())
+                bound = batch.column("bound").filter(mask) if bounded else pa.array(np.full(len(x), -2.0 if least is None else least))
+                codes = nothing
+                if holds:
+                    c = ix.encode(x)
+                    c = np.pad(c, ((0, 0), (0, c.shape[1] % 2)))
+                    codes = pa.array([r.tobytes() for r in c[:, 0::2] | (c[:, 1::2] << 4)], pa.binary())
+                wanted = sorted({*lists, 0} if holds else lists)
+                for i in wanted:
+                    if i < near.shape[1]:
+                        asks = bound if i in lists else pa.nulls(len(x), pa.float64())
+                        yield pa.RecordBatch.from_arrays([pa.array(near[:, i].astype(np.int32)), names, vecs, codes if i == 0 else nothing, asks], names=["list", "key", "vec", "code", "bound"])
+
+        return rows.mapInArrow(place, "list int, key string, vec binary, code binary, bound double")
+
+    def scanned(all_: DataFrame, looks: int) -> DataFrame:
+        """Pairs found in the lists; long lists are cut into blocks of vectors held and of vectors that look."""
+        cells = _blocks(x, index, count, looks)
+        if cells:
+            many = spark.createDataFrame([(i, h, q) for i, (h, q) in cells.items()], "list int, hs int, qs int")  # a row per long list
+            all_ = all_.join(F.broadcast(many), "list", "left").withColumns({"hs": F.coalesce("hs", F.lit(1)), "qs": F.coalesce("qs", F.lit(1))})
+            h, q = F.pmod(F.xxhash64("key"), F.col("hs")).cast("int"), F.pmod(F.xxhash64("key", F.lit(1)), F.col("qs")).cast("int")
+            as_held = F.when(F.col("code").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("qs") - 1), lambda j: F.struct(h.alias("h"), j.alias("q"))))
+            as_query = F.when(F.col("bound").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("hs") - 1), lambda i: F.struct(i.alias("h"), q.alias("q"))))
+            none = F.array().cast("array<struct<h:int,q:int>>")
+            all_ = all_.withColumns({"own_h": h, "own_q": q}).withColumn("cell", F.explode(F.array_union(F.coalesce(as_held, none), F.coalesce(as_query, none))))
+            all_ = all_.select("list", F.col("cell.h").alias("h"), F.col("cell.q").alias("q"), "key", "vec", F.when(F.col("cell.h") == F.col("own_h"), F.col("code")).alias("code"), F.when(F.col("cell.q") == F.col("own_q"), F.col("bound")).alias("bound"))
+        else:
+            all_ = all_.withColumns({"h": F.lit(0), "q": F.lit(0)})
+        groups = all_.repartition(partitions_for(count * looks, 60_000), "list", "h", "q").groupBy("list", "h", "q")
+        return groups.applyInPandas(lambda pdf: _scan(pdf, held.value, k, least, dims), _PAIR)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = held.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _vectors(batch.column("v"), dims)
-            fine = _valid(x)
-            names, x = batch.column("k").filter(pa.array(fine)), x[fine]
-            if not len(x):
-                continue
-            x = _units(x)
-            near, codes = ix.nearest(x, probes), ix.encode(x)
-            codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
-            packed = codes[:, 0::2] | (codes[:, 1::2] << 4)
-            vecs, held_codes = pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in packed], pa.binary())
-            for i in range(near.shape[1]):
-                code = held_codes if i == 0 else pa.nulls(len(x), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(near[:, i].astype(np.int32)), names, vecs, code], names=["list", "key", "vec", "code"])
-
-    placed = rows.mapInArrow(place, "list int, key string, vec binary, code binary")
-    # long lists are cut into blocks, each searched by all that look into the list
-    blocks = _blocks(x, index, count)
-    if blocks:
-        many = spark.createDataFrame(list(blocks.items()), "list int, blocks int")  # a row per list
-        placed = placed.join(F.broadcast(many), "list", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-        placed = placed.withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        placed = placed.withColumn("code", F.when(F.col("block") == F.col("own"), F.col("code"))).select("list", "block", "key", "vec", "code")
-    else:
-        placed = placed.withColumn("block", F.lit(0))
-    parts = partitions_for(count, 20_000)
-    pairs = placed.repartition(parts, "list", "block").groupBy("list", "block").applyInPandas(lambda pdf: _scan(pdf, held.value, k, least, dims), "key string, other string, similarity double")
-    pairs = pairs.repartition("key").groupBy("key", "other").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("key").orderBy(F.desc("similarity"), "other")
-    ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("key", "other", "similarity")
+
+    def top(pairs: DataFrame) -> DataFrame:
+        once = pairs.groupBy("key", "other").agg(F.max("similarity").alias("similarity"))
+        return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    if least is not None or probes <= FIRST:
+        ranked = top(scanned(placed(rows, range(probes), True), probes)).select("key", "other", "similarity")
+    else:
+        # the first lists give each key a bound, below which nothing of the others leaves its task
+        near = cut(top(scanned(placed(rows, range(FIRST), True), FIRST)))
+        bounds = near.groupBy(F.col("key").alias("k")).agg(F.min(F.when(F.col("rank") == k, F.col("similarity"))).alias("bound"))
+        asked = rows.select("k", "v").join(bounds, "k", "left").select("k", "v", F.coalesce("bound", F.lit(-2.0)).alias("bound"))
+        far = placed(rows, range(0, 0), True).unionByName(placed(asked, range(FIRST, probes), False))
+        ranked = top(near.select("key", "other", "similarity").unionByName(scanned(far, probes - FIRST))).select("key", "other", "similarity")
     if extra is not None:
         same = extra.withColumnRenamed("k", "key").join(few.where(F.col("n") <= k).withColumnRenamed("k", "other"), ["h1", "h2"])
         ranked = ranked.unionByName(same.select("key", "other", F.lit(1.0).alias("similarity")))
@@ -283,11 +336,13 @@ def _searchable(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
     return rows.where(F.col("k").isNotNull() & (F.size("v") == dims) & whole & (most < huge) & (least > -huge) & ((most != 0) | (least != 0)))
 
 
-def _blocks(sample: np.ndarray, index: Index, count: int) -> dict[int, int]:
-    """Into how many blocks each long list is cut, from its share of the sample."""
-    near = index.nearest(sample, 1)[:, 0]
-    share = np.bincount(near, minlength=len(index.centroids)) * (count / max(1, len(sample)))
-    return {i: int(-(-n // BLOCK)) for i, n in enumerate(share) if n > BLOCK}
+def _blocks(sample: np.ndarray, index: Index, count: int, looks: int) -> dict[int, tuple[int, int]]:
+    """Into how many blocks of vectors held and of vectors that look each long list is cut, from its share of the sample."""
+    near = index.nearest(sample, max(1, looks))
+    scale = count / max(1, len(sample))
+    held = np.bincount(near[:, 0], minlength=len(index.centroids)) * scale
+    asks = np.bincount(near.ravel(), minlength=len(index.centroids)) * scale
+    return {i: (max(1, int(-(-h // BLOCK))), max(1, int(-(-q // LOOKS)))) for i, (h, q) in enumerate(zip(held, asks, strict=True)) if h > BLOCK or q > LOOKS}
 
 
 def measured_queries(df: DataFrame, key: str, vector: str, n: int, dims: int = 64) -> pd.DataFrame:

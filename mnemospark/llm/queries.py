@@ -97,6 +97,17 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def p4_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """Each item put together again from its pieces, without what they share: its digest, and whether all pieces keep to the limit and the overlap."""
+    p = p4_pieces(spark, sf)
+    session = F.col("field_name") == "session_text"
+    limit, overlap = F.when(session, TEXT_LIMIT).otherwise(PARAGRAPH_LIMIT), F.when(session, TEXT_OVERLAP).otherwise(PARAGRAPH_OVERLAP)
+    own = F.struct("piece_no", F.substr("piece", F.col("shared_chars") + 1).alias("own"))
+    kept = F.min((F.length("piece") <= limit) & (F.col("shared_chars") <= overlap) & (F.length("piece") > 0))
+    whole = p.groupBy("field_name", "record_key").agg(F.array_sort(F.collect_list(own)).alias("l"), kept.alias("within_limits"))  # an item's pieces
+    return whole.select("field_name", "record_key", F.md5(F.array_join(F.transform("l", lambda e: e["own"]), "")).alias("text_md5"), "within_limits")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every item over its limit, and whether a forced cut was needed."""
     forced = F.max(F.col("boundary") == "forced")
@@ -185,7 +196,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_redacted": p1_redacted,
     "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p3_recall": p3_recall,
     "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
-    "p4_found": p4_found, "p4_pieces": p4_pieces,
+    "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_rebuilt": p4_rebuilt,
     "p6_found": p6_found, "p6_containers": p6_containers, "p6_documents": p6_documents, "p6_fill": p6_fill,
     "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_reached": p7_reached,
 }

@@ -17,6 +17,9 @@ from memories where length(session_text) > 4000
 union all
 select distinct 'paragraph', memory_id || '#' || paragraph_index, case when {_LONGEST.format("text")} > 500 then 'forced' else 'natural' end
 from paragraphs where length(text) > 500""",
+    "p4_rebuilt": """
+select distinct 'session_text' field_name, memory_id record_key, md5(session_text) text_md5, true within_limits from memories where length(session_text) > 4000
+union all select distinct 'paragraph', memory_id || '#' || paragraph_index, md5(text), true from paragraphs where length(text) > 500""",
     "p6_found": f"select distinct doc_id from documents where {_TOTAL} > 2048",
     "p6_documents": f"select doc_id, max(n) n_tokens, greatest(1, cast(ceil(max(n) / 2048.0) as bigint)) n_containers from (select doc_id, {_TOTAL} n from documents) group by 1",
     "p7_reached": f"""
