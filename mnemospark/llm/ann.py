@@ -164,9 +164,9 @@ _PAIR = "key string, other string, similarity double"
 
 
 def _scan(pdf: pd.DataFrame, index: Index, k: int, least: float | None, dims: int) -> pd.DataFrame:
-    """Neighbours of the vectors that look into a block (those with a ``bound``) among those it holds (those with a ``code``).
+    """Neighbours, in both directions, between the vectors that look into a block (those with a ``bound``) and those it holds (those with a ``code``).
 
-    Only similarities of a query's ``bound`` or more count. With ``least`` pairs are found in both directions. At most ``k`` a key come out.
+    Only similarities of a key's ``bound``, or ``floor`` if it is held, or more count. At most ``k`` a key come out.
     """
     held, asks = pdf["code"].notna().to_numpy(), pdf["bound"].notna().to_numpy()
     none = pd.DataFrame({"key": pd.Series([], dtype=object), "other": pd.Series([], dtype=object), "similarity": np.zeros(0)})
@@ -174,12 +174,12 @@ def _scan(pdf: pd.DataFrame, index: Index, k: int, least: float | None, dims: in
         return none
     names = pdf["key"].to_numpy(dtype=object)
     x = _matrix(pdf["vec"], dims)
-    items, item_names = x[held], names[held]
+    items, item_names, floors = x[held], names[held], pdf["floor"].to_numpy(np.float32)[held]
     queries, query_names, bounds = x[asks], names[asks], pdf["bound"].to_numpy(np.float32)[asks]
     packed = np.frombuffer(b"".join(pdf["code"][held]), np.uint8).reshape(held.sum(), -1)
     codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(packed), -1)
     decoded = index.decode(codes)
-    off = np.linalg.norm(items - decoded, axis=1)  # how far a scanned score can be off; a query's direction halves it many times over
+    off = np.linalg.norm(items - decoded, axis=1)  # how far a scanned score can be off
     slack = off if least is not None else np.float32(USUAL_ERROR) * off / np.sqrt(np.float32(dims))
     depth = 2 * k
     found_q, found_i, found_s = [], [], []
@@ -187,28 +187,27 @@ def _scan(pdf: pd.DataFrame, index: Index, k: int, least: float | None, dims: in
         q = queries[at : at + SCAN]
         scores = q @ decoded.T
         scores += slack
-        keep = scores >= bounds[at : at + SCAN, None] - 1e-4
-        if least is None and scores.shape[1] > depth and keep.sum() > depth * len(q):
-            rows = np.flatnonzero(keep.sum(1) > depth)
-            part = scores[rows]
-            cut_ = np.partition(part, part.shape[1] - depth, axis=1)[:, part.shape[1] - depth]
-            keep[rows] &= part >= cut_[:, None]
+        keep = np.zeros(scores.shape, bool)
+        for s, m, lows in ((scores, keep, bounds[at : at + SCAN]), (scores.T, keep.T, floors)):
+            hit = s >= lows[:, None] - 1e-4
+            if least is None and s.shape[1] > depth:
+                rows = np.flatnonzero(hit.sum(1) > depth)
+                part = s[rows]
+                hit[rows] &= part >= np.partition(part, part.shape[1] - depth, axis=1)[:, part.shape[1] - depth][:, None]
+            m |= hit
         qi, ii = np.nonzero(keep)
         for lo in range(0, len(qi), 500_000):
             a, b = qi[lo : lo + 500_000], ii[lo : lo + 500_000]
-            if least is None:
-                exact = np.einsum("ij,ij->i", q[a], items[b]).astype(np.float64)
-            else:
-                exact = np.einsum("ij,ij->i", q[a].astype(np.float64), items[b].astype(np.float64))
-            good = (query_names[at + a] != item_names[b]) & (exact >= bounds[at + a] - 1e-6)
-            found_q.append(query_names[at + a[good]])
-            found_i.append(item_names[b[good]])
-            found_s.append(exact[good])
+            kind = np.float32 if least is None else np.float64
+            exact = np.einsum("ij,ij->i", q[a].astype(kind, copy=False), items[b].astype(kind, copy=False)).astype(np.float64)
+            other = query_names[at + a] != item_names[b]
+            one, two = other & (exact >= bounds[at + a] - 1e-6), other & (exact >= floors[b] - 1e-6)
+            found_q += [query_names[at + a[one]], item_names[b[two]]]
+            found_i += [item_names[b[one]], query_names[at + a[two]]]
+            found_s += [exact[one], exact[two]]
     q, i, sims = (np.concatenate(x) if x else np.zeros(0, object) for x in (found_q, found_i, found_s))
     if not len(q):
         return none
-    if least is not None:
-        q, i, sims = np.concatenate([q, i]), np.concatenate([i, q]), np.concatenate([sims, sims])
     out = pd.DataFrame({"key": pd.Series(q, dtype=object), "other": pd.Series(i, dtype=object), "similarity": sims.astype(float)})
     if len(out) > k:
         out = out.sort_values(["similarity", "other"], ascending=[False, True]).drop_duplicates(["key", "other"])
@@ -258,8 +257,8 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 10, dims: int
         left_out = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v")}).join(extra.select("k", "h1", "h2"), ["k", "h1", "h2"], "left_anti")
         rows = left_out.select("k", "v")
 
-    def placed(rows: DataFrame, lists: range, holds: bool) -> DataFrame:
-        """Rows (``k, v`` and perhaps ``bound``) in their lists of these ranks, and, if ``holds``, held in the first."""
+    def placed(rows: DataFrame, lists: range) -> DataFrame:
+        """Rows (``k, v`` and perhaps ``bound``) held in their first list and looking into those of the ranks ``lists``."""
         bounded = "bound" in rows.columns
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,18 +276,17 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 10, dims: int
                 near = ix.nearest(x, max(lists.stop, 1))
                 vecs, nothing = pa.array([r.tobytes() for r in x], pa.binary()), pa.nulls(len(x), pa.binary())
                 bound = batch.column("bound").filter(mask) if bounded else pa.array(np.full(len(x), -2.0 if least is None else least))
-                codes = nothing
-                if holds:
-                    c = ix.encode(x)
-                    c = np.pad(c, ((0, 0), (0, c.shape[1] % 2)))
-                    codes = pa.array([r.tobytes() for r in c[:, 0::2] | (c[:, 1::2] << 4)], pa.binary())
-                wanted = sorted({*lists, 0} if holds else lists)
-                for i in wanted:
+                c = ix.encode(x)
+                c = np.pad(c, ((0, 0), (0, c.shape[1] % 2)))
+                codes = pa.array([r.tobytes() for r in c[:, 0::2] | (c[:, 1::2] << 4)], pa.binary())
+                for i in sorted({*lists, 0}):
                     if i < near.shape[1]:
-                        asks = bound if i in lists else pa.nulls(len(x), pa.float64())
-                        yield pa.RecordBatch.from_arrays([pa.array(near[:, i].astype(np.int32)), names, vecs, codes if i == 0 else nothing, asks], names=["list", "key", "vec", "code", "bound"])
+                        unset = pa.nulls(len(x), pa.float64())
+                        mine = i == 0
+                        columns = [pa.array(near[:, i].astype(np.int32)), names, vecs, codes if mine else nothing, bound if i in lists else unset, bound if mine else unset]
+                        yield pa.RecordBatch.from_arrays(columns, names=["list", "key", "vec", "code", "bound", "floor"])
 
-        return rows.mapInArrow(place, "list int, key string, vec binary, code binary, bound double")
+        return rows.mapInArrow(place, "list int, key string, vec binary, code binary, bound double, floor double")
 
     def scanned(all_: DataFrame, looks: int) -> DataFrame:
         """Pairs found in the lists; long lists are cut into blocks of vectors held and of vectors that look."""
@@ -301,7 +299,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 10, dims: int
             as_query = F.when(F.col("bound").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("hs") - 1), lambda i: F.struct(i.alias("h"), q.alias("q"))))
             none = F.array().cast("array<struct<h:int,q:int>>")
             all_ = all_.withColumns({"own_h": h, "own_q": q}).withColumn("cell", F.explode(F.array_union(F.coalesce(as_held, none), F.coalesce(as_query, none))))
-            all_ = all_.select("list", F.col("cell.h").alias("h"), F.col("cell.q").alias("q"), "key", "vec", F.when(F.col("cell.h") == F.col("own_h"), F.col("code")).alias("code"), F.when(F.col("cell.q") == F.col("own_q"), F.col("bound")).alias("bound"))
+            all_ = all_.select("list", F.col("cell.h").alias("h"), F.col("cell.q").alias("q"), "key", "vec", F.when(F.col("cell.h") == F.col("own_h"), F.col("code")).alias("code"), F.when(F.col("cell.q") == F.col("own_q"), F.col("bound")).alias("bound"), "floor")
         else:
             all_ = all_.withColumns({"h": F.lit(0), "q": F.lit(0)})
         groups = all_.repartition(partitions_for(count * looks, 60_000), "list", "h", "q").groupBy("list", "h", "q")
@@ -314,14 +312,14 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 10, dims: int
         return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     if least is not None or probes <= FIRST:
-        ranked = top(scanned(placed(rows, range(probes), True), probes)).select("key", "other", "similarity")
+        ranked = top(scanned(placed(rows, range(probes)), probes)).select("key", "other", "similarity")
     else:
         # the first lists give each key a bound, below which nothing of the others leaves its task
-        near = cut(top(scanned(placed(rows, range(FIRST), True), FIRST)))
+        near = cut(top(scanned(placed(rows, range(FIRST)), FIRST)))
         bounds = near.groupBy(F.col("key").alias("k")).agg(F.min(F.when(F.col("rank") == k, F.col("similarity"))).alias("bound"))
         asked = rows.select("k", "v").join(bounds, "k", "left").select("k", "v", F.coalesce("bound", F.lit(-2.0)).alias("bound"))
-        far = placed(rows, range(0, 0), True).unionByName(placed(asked, range(FIRST, probes), False))
-        ranked = top(near.select("key", "other", "similarity").unionByName(scanned(far, probes - FIRST))).select("key", "other", "similarity")
+        far = scanned(placed(asked, range(FIRST, probes)), probes - FIRST + 1)
+        ranked = top(near.select("key", "other", "similarity").unionByName(far)).select("key", "other", "similarity")
     if extra is not None:
         same = extra.withColumnRenamed("k", "key").join(few.where(F.col("n") <= k).withColumnRenamed("k", "other"), ["h1", "h2"])
         ranked = ranked.unionByName(same.select("key", "other", F.lit(1.0).alias("similarity")))

@@ -18,7 +18,7 @@ PARAGRAPH_LIMIT, PARAGRAPH_OVERLAP = 500, 50
 CONTAINER_TOKENS = 2_048
 NEIGHBOURS, LEAST_SIMILARITY, DIMENSIONS = 10, 0.90, 64
 #: Lists searched for each vector: with a least similarity, and without one.
-NEAR_PROBES, ALL_PROBES = 3, 24
+NEAR_PROBES, ALL_PROBES = 3, 16
 #: Queries per collection for which the loss is measured by brute force.
 MEASURED = 500
 

@@ -58,6 +58,23 @@ def test_crowd_of_equal_vectors(spark, monkeypatch):
     assert set(crowd["neighbour"]) == first
 
 
+def test_bounds_and_blocks(spark, monkeypatch):
+    """With a bound from the first lists, and lists cut both ways, what is found is as near to exact."""
+    x = vectors(1_200)
+    monkeypatch.setattr(ann, "BLOCK", 40)
+    monkeypatch.setattr(ann, "LOOKS", 60)
+    got = ann.similar_vectors(frame(spark, x, ODD), "id", "v", 5, 16, lists=20, probes=10).collect()
+    pairs, want = {(r["id"], r["neighbour"]) for r in got}, exact(x, 5)
+    assert len(got) == len(pairs) == 6_000 and len(pairs & want) >= 0.95 * len(want)
+
+
+def test_few_vectors_among_many_rows(spark):
+    x = vectors(30)
+    nulls = [(f"n{i}", None, "x", 0) for i in range(3_000)]
+    got = ann.similar_vectors(frame(spark, x, nulls), "id", "v", 3, 16)
+    assert got.select("id").distinct().count() == 30
+
+
 def test_no_vectors(spark):
     assert ann.similar_vectors(frame(spark, vectors()).limit(0), "id", "v", 5, 16).count() == 0
     assert ann.similar_vectors(spark.createDataFrame(ODD[:5], "id string, v array<float>, neighbour string, list int"), "id", "v", 5, 16).count() == 0
