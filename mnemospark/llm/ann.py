@@ -234,7 +234,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 10, dims: int
     rows = _searchable(df, key, vector, dims)
     count = rows.count()
     drawn = F.xxhash64("k", "v")
-    sample = rows.where(F.pmod(drawn, F.lit(max(1, count // (2 * SAMPLE)))) == 0).orderBy(drawn, "k").limit(SAMPLE).toPandas()
+    sample = rows.where(F.pmod(drawn, F.lit(max(1, count // SAMPLE))) == 0).orderBy(drawn, "k").limit(SAMPLE).toPandas()
     if not len(sample):
         sample = rows.orderBy(drawn, "k").limit(SAMPLE).toPandas()
     x = np.stack(sample["v"].to_numpy()).astype(np.float32) if len(sample) else np.zeros((0, dims), np.float32)
@@ -302,7 +302,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 10, dims: int
             all_ = all_.select("list", F.col("cell.h").alias("h"), F.col("cell.q").alias("q"), "key", "vec", F.when(F.col("cell.h") == F.col("own_h"), F.col("code")).alias("code"), F.when(F.col("cell.q") == F.col("own_q"), F.col("bound")).alias("bound"), "floor")
         else:
             all_ = all_.withColumns({"h": F.lit(0), "q": F.lit(0)})
-        groups = all_.repartition(partitions_for(count * looks, 60_000), "list", "h", "q").groupBy("list", "h", "q")
+        groups = all_.repartition(partitions_for(count * looks, 20_000), "list", "h", "q").groupBy("list", "h", "q")
         return groups.applyInPandas(lambda pdf: _scan(pdf, held.value, k, least, dims), _PAIR)
 
     best = Window.partitionBy("key").orderBy(F.desc("similarity"), "other")

@@ -69,7 +69,7 @@ def test_bounds_and_blocks(spark, monkeypatch):
 
 
 def test_few_vectors_among_many_rows(spark):
-    x = vectors(30)
+    x = vectors(200)[:30]
     nulls = [(f"n{i}", None, "x", 0) for i in range(3_000)]
     got = ann.similar_vectors(frame(spark, x, nulls), "id", "v", 3, 16)
     assert got.select("id").distinct().count() == 30
