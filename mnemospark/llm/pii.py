@@ -274,14 +274,14 @@ class Model:
             return out
         x = np.array(feats, float)
         kinds = np.array([r[3] for r in rows])
-        p = np.zeros(len(rows))
+        p, needed = np.zeros(len(rows)), np.ones(len(rows))
         for kind, trees in self.trees.items():
             at = kinds == kind
             if at.any():
-                p[at] = trees.probability(x[at]) / self.thresholds[kind]
+                p[at], needed[at] = trees.probability(x[at]), self.thresholds[kind]
         per: dict[str, list[tuple[float, int, int, str]]] = {}
-        for (t, a, b, kind), q in zip(rows, p.tolist(), strict=True):
-            if q >= 1:
+        for (t, a, b, kind), q, low in zip(rows, p.tolist(), needed.tolist(), strict=True):
+            if q >= low:
                 per.setdefault(t, []).append((q, a, b, kind))
         for t, found in per.items():
             taken: list[tuple[int, int, str]] = []
