@@ -18,14 +18,16 @@ from mnemospark.config import Config
 from mnemospark.functions import jsonrepair, text
 from mnemospark.functions.vectors import cosine
 from mnemospark.operators import evaluation as ev
+from mnemospark.operators import generation as gen
 from mnemospark.operators import retrieval as rt
 from mnemospark.operators import versioning as vs
 from mnemospark.operators.context import contexts
+from mnemospark.operators.memory import memorize
 from mnemospark.operators.similarity import best_per_group, knn, similarities, within_threshold
-from mnemospark.providers import embed
+from mnemospark.providers import HashEmbedder, embed
 from mnemospark.sources.loaders import temporal_order
 from mnemospark.session import checkpoint_folder, cut
-from mnemospark.sources.store import MemoryStore, latest
+from mnemospark.sources.store import MemoryStore, VectorStore, latest
 
 CONFIG = Config()
 #: No pair of the test vectors reaches the usual 0.80.
@@ -273,6 +275,82 @@ def answer_contexts(s, sf):
     return contexts(found, points, rt.enrich(found, _subs(s, sf), _paragraphs(s, sf), CONFIG), CONFIG)
 
 
+def _requests(s, sf):
+    """Every question of the first position, as a request."""
+    return _fake(s, sf).where("pos = 0").select(F.col("query_id").alias("request"), F.col("text").alias("query"))
+
+
+def decomposed(s, sf):
+    """Requests split into sub-queries with vectors."""
+    return gen.decompose(_requests(s, sf)).select("sub_id", "request", "sq_index", "text", "keywords", F.size("embedding").alias("dims"))
+
+
+def answers(s, sf):
+    """Answers to the requests that have results, written from their contexts."""
+    c = answer_contexts(s, sf)
+    asked = c.select("request", F.concat(F.lit("What about "), F.col("request").cast("string"), F.lit("?")).alias("query"), F.lit(True).alias("wanted"))
+    return gen.answer(asked, c)
+
+
+def paraphrased(s, sf):
+    """Every question of the first position in five indirect ways."""
+    q = _fake(s, sf).where("pos = 0 and text is not null").select("query_id", "text", F.lit("").alias("answer"), F.lit("").alias("context"))
+    return gen.paraphrases(q)
+
+
+def variant_texts(s, sf):
+    """Propositions of every session text."""
+    m = _memories(s, sf).where("session_text is not null").select(F.col("memory_id").alias("session_id"), F.col("session_text").alias("text"))
+    return gen.variants(m, "propositions")
+
+
+def memorized(s, sf):
+    """How many chunks, paragraphs, queries, links and facts each memory gets when all are ingested again beside what is stored."""
+    m = _memories(s, sf).select("memory_id", "sample_id", "session_id", "session_text", "metadata", "created_at")
+    points = _t(s, sf, "knowledge_points").dropDuplicates(["memory_id", "kp_index"]).withColumn("embedding", F.lit(None).cast("array<float>"))
+    made = memorize(m, _fake(s, sf), points)
+    n = lambda name, what=F.lit(1): made[name].groupBy("memory_id").agg(F.count(what).alias(f"n_{name}"))
+    out = m.select("memory_id")
+    for name in ("content_chunks", "paragraphs", "fake_queries", "knowledge_points"):
+        out = out.join(n(name), "memory_id", "left")
+    return out.na.fill(0)
+
+
+def memory_chunks(s, sf):
+    """The chunks that each memory's text is embedded in, through the memory builder's window."""
+    m = _memories(s, sf).where("session_text is not null").select("memory_id", F.posexplode(text.windows("session_text", 1_000)).alias("chunk_index", "t"))
+    return m.select("memory_id", "chunk_index", F.md5("t").alias("chunk_md5"))
+
+
+def _stored(s, sf) -> MemoryStore:
+    store = MemoryStore(s, f"{checkpoint_folder(s)}/store-{uuid.uuid4().hex}", buckets=16)
+    fakes = _fake(s, sf).withColumn("answer", F.lit(""))
+    store.save(memories=_memories(s, sf), fake_queries=fakes, content_chunks=_chunks(s, sf), paragraphs=_paragraphs(s, sf), knowledge_points=_t(s, sf, "knowledge_points").dropDuplicates(["memory_id", "kp_index"]))
+    return store
+
+
+def stored_documents(s, sf):
+    """Nested documents put together from the stored tables: what each holds."""
+    d = _stored(s, sf).documents()
+    sizes = [F.size(c).alias(f"n_{c}") for c in ("content_embeddings", "fake_queries", "knowledge_points", "paragraphs")]
+    return d.select("memory_id", F.md5("session_text").alias("text_md5"), *sizes)
+
+
+def store_search(s, sf):
+    """The searches of the store: the 20 nearest fake queries of each sub-query."""
+    return _r(_stored(s, sf).search_fake_queries(_subs(s, sf), 20).select("sub_id", "query_id", "score", "rank"), "score")
+
+
+def vector_tables(s, sf):
+    """Vectors of questions and paragraphs by session, embedded in two steps of which the second adds only what is missing."""
+    store = VectorStore(s, f"{checkpoint_folder(s)}/vectors-{uuid.uuid4().hex}", buckets=8)
+    f = _fake(s, sf).where("text is not null").select(F.lit("q2q").alias("method"), F.col("memory_id").alias("session_id"), "pos", "text")
+    p = _paragraphs(s, sf).where("text is not null").select(F.lit("q2c").alias("method"), F.col("memory_id").alias("session_id"), F.col("paragraph_index").alias("pos"), "text")
+    store.add("vectors", f, HashEmbedder)
+    store.add("vectors", f.unionByName(p), HashEmbedder)
+    return store.load("vectors").groupBy("method", "session_id").agg(F.count("embedding").alias("n"))
+
+
 # ---------------------------------------------------------------- analyses
 
 
@@ -421,7 +499,7 @@ def stored_sessions(s, sf):
 
 QUERIES = {f.__name__: f for f in (
     cosine_pairs, cosine_variants, knn_top20, content_topk, best_chunk_per_memory, paragraph_topk, threshold_search, multiget,
-    retrieve_index, retrieve_exact, rerank_shortcircuit, dag_chains, version_chains, matched_texts, low_conf_enrich, responses, context_budget,
+    retrieve_index, retrieve_exact, rerank_shortcircuit, dag_chains, version_chains, matched_texts, decomposed, answers, paraphrased, variant_texts, memorized, memory_chunks, stored_documents, store_search, vector_tables, low_conf_enrich, responses, context_budget,
     version_parents, version_graph, linked_kps, sliding_chunks, paragraph_split, session_text, turn_chunks, token_counts, session_order, json_repair_strings, json_repair_points, json_repair_subqueries, json_repair_notes, hash_embedding, kp_topk, answer_contexts,
     max_sim_by_method, alignment_best_session, paired_stats, category_breakdown, pairwise_method_stats, method_summary, distance_matrix, directional_alignment, discriminability, hit_at_k,
     robustness, robustness_overall, style_drop, friedman_chi2, drift_checkpoints, usage_stats, ari_nmi, kmeans_labels, upsert_delete, incremental_missing, stored_sessions,

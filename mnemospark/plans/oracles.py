@@ -165,5 +165,11 @@ x as (select (select sum(n * (n - 1) / 2) from c) cab, (select sum(n * (n - 1) /
 select round((cab - ca * cb / (t * (t - 1) / 2)) / ((ca + cb) / 2 - ca * cb / (t * (t - 1) / 2)), 6) ari, round(2 * (ha + hb - hab) / (ha + hb), 6) nmi from x""",
     "upsert_delete": f"with {_MEM} select memory_id, session_id, epoch_us(ingested_at) ingested_us from mem where session_text is not null and session_text <> ''",
     "incremental_missing": "select distinct memory_id from memories where memory_id is not null and memory_id not in (select memory_id from content_chunks where memory_id is not null and chunk_index > 0 and embedding is not null)",
+    "memory_chunks": f"with {_MEM} select memory_id, cast(i as int) chunk_index, md5(substring(session_text, i * 500 + 1, 1000)) chunk_md5 from (select memory_id, session_text, unnest(range(0, case when length(session_text) <= 1000 then 1 else 1 + cast(ceil((length(session_text) - 1000) / 500.0) as bigint) end)) i from mem where session_text is not null)",
+    "stored_documents": f"""with {_MEM}, {_FAKE}, {_CHUNK}, {_PARA}, kp as (select distinct memory_id, kp_index from knowledge_points)
+select memory_id, md5(session_text) text_md5, cast((select count(*) from chunk c where c.memory_id = mem.memory_id) as int) n_content_embeddings, cast((select count(*) from fake f where f.memory_id = mem.memory_id) as int) n_fake_queries,
+cast((select count(*) from kp k where k.memory_id = mem.memory_id) as int) n_knowledge_points, cast((select count(*) from para p where p.memory_id = mem.memory_id) as int) n_paragraphs from mem""",
+    "store_search": f"with {_SUBS}, {_FAKE}, {_HITS} select sub_id, query_id, round(greatest(sim, 0.0), 6) score, cast(rk as int) rank from hits",
+    "vector_tables": f"with {_FAKE}, {_PARA} select 'q2q' as method, memory_id session_id, count(*) n from fake where text is not null group by memory_id union all select 'q2c', memory_id, count(*) from para where text is not null group by memory_id",
     "stored_sessions": "select memory_id, count(distinct query_id) n_queries from fake_queries where embedding is not null group by 1",
 }

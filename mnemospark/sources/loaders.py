@@ -37,9 +37,10 @@ def temporal_order(sessions: DataFrame, group: str, date: str, tie: str) -> Data
     """Adds ``date_ts`` and ``seq``: dated sessions of a group by time, then undated ones, ties by ``tie``.
 
     A group is ranked month by month, and each month begins where those before it end, so a large group
-    is sorted by many tasks.
+    is sorted by many tasks. Undated sessions are ranked by the beginnings of ``tie``, if that is a string.
     """
-    dated = sessions.withColumn("date_ts", parse_date(date)).withColumn("__month", F.coalesce(F.date_format("date_ts", "yyyy-MM"), F.lit("undated")))
+    undated = F.concat(F.lit("undated"), F.substring(tie, 1, 5)) if sessions.schema[tie].dataType.typeName() == "string" else F.lit("undated")
+    dated = sessions.withColumn("date_ts", parse_date(date)).withColumn("__month", F.coalesce(F.date_format("date_ts", "yyyy-MM"), undated, F.lit("undated")))
     counts = dated.groupBy(F.col(group).alias("__g"), "__month").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("__g").orderBy("__month").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__g", F.col("__month").alias("__m"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("__before"))

@@ -1,3 +1,4 @@
+import random
 from dataclasses import replace
 
 import numpy as np
@@ -47,7 +48,7 @@ def test_similarity_ways_agree(spark, monkeypatch):
 def test_candidates_index_and_exact(spark):
     got = {r["memory_id"]: r for r in rt.retrieve(subs(spark, S), fakes(spark, FQ), chunks(spark, []), replace(C, top_n=9)).collect()}
     assert set(got) == {"m1", "m2", "m3"}  # a hit with score 0 makes a candidate
-    assert list(got["m1"]["matched"]) == ["same"] and abs(got["m1"]["score_q2q"] - 1) < 1e-6 and got["m1"]["score_q2c"] == 0
+    assert list(got["m1"]["matched"]) == ["a"] and abs(got["m1"]["score_q2q"] - 1) < 1e-6 and got["m1"]["score_q2c"] == 0
     exact = {r["memory_id"] for r in rt.retrieve(subs(spark, S), fakes(spark, FQ), chunks(spark, []), replace(C, top_n=9), "exact").collect()}
     assert exact == {"m1", "m2"}
 
@@ -159,3 +160,55 @@ def test_version_graph_ranks_older_hits_only(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/fake_queries.parquet")
     got = {r["query_id"]: r for r in version_graph(spark, str(tmp_path)).where("query_id in ('old', 'q')").collect()}
     assert got["q"]["parent_ids"] == ["old"] and got["q"]["depth"] == 1 and got["old"]["parent_ids"] == []
+
+
+def test_exact_mode_beyond_a_thousand_memories(spark):
+    """The order of sub-queries decides which of them a text counts for, however many memories there are."""
+    n = 1_500
+    v = lambda a, b: [a, b] + [0.0] * 62
+    fakes = spark.createDataFrame([(f"q{i:04d}", f"m{i:04d}", 0, f"t{i}", [], 0, v(0.1 + i / 3_000, 1.0)) for i in range(n)], "query_id string, memory_id string, pos int, text string, parent_ids array<string>, depth int, embedding array<float>")
+    subs = spark.createDataFrame([(1, 1, 0, v(1.0, 0.0)), (2, 1, 1, v(0.0, 1.0))], "sub_id int, request int, sq_index int, embedding array<float>")
+    chunks = spark.createDataFrame([("m1499", 0, v(1.0, 1.0))], "memory_id string, chunk_index int, embedding array<float>")
+    got = rt.retrieve(subs, fakes, chunks, mode="exact").collect()
+    assert len(got) == 5 and all(r["sub_queries"] == [0] and len(r["matched"]) == 1 for r in got)  # each text was first hit by the first sub-query
+    hits = rt.best_queries_exact(subs, fakes)
+    assert hits.count() == 2 * n
+
+
+def test_best_per_group(spark, monkeypatch):
+    from mnemospark.operators import similarity
+
+    r = np.random.default_rng(2)
+    x, q = r.normal(size=(300, 8)), r.normal(size=(7, 8))
+    x[10:20] = x[0:10]  # ties
+    pool = spark.createDataFrame([(f"p{i:03d}", f"g{i % 23}", i, v.tolist(), "x") for i, v in enumerate(x)] + [("n", "g0", 1, None, "x")], "id string, grp string, pos int, embedding array<float>, sim string").repartition(5)
+    queries = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(q)], "qid string, embedding array<float>")
+    u = lambda a: a.astype(np.float32).astype(float) / np.linalg.norm(a.astype(np.float32).astype(float), axis=1, keepdims=True)
+    s = np.round(u(q) @ u(x).T, 9)
+    want = {(f"q{a}", f"g{g}", f"p{i:03d}", n + 1) for a in range(7) for g in range(23) for n, i in enumerate(sorted(range(g, 300, 23), key=lambda i: (-s[a, i], i))[:3])}
+    for blocks in (20_000, 3):
+        monkeypatch.setattr(similarity, "BROADCAST_QUERIES", blocks)
+        got = similarity.best_per_group(queries, "qid", pool, "id", "grp", "pos", 3, dims=8)
+        assert {(r["qid"], r["grp"], r["id"], r["rank"]) for r in got.collect()} == want
+        one = similarity.best_per_group(queries, "qid", pool, "id", "grp", "pos", dims=8)
+        assert {(r["qid"], r["grp"], r["id"], 1) for r in one.collect()} == {w for w in want if w[3] == 1}
+
+
+def test_version_graph_by_rounds(spark):
+    """A component too large for one task is folded by joins, with the same links."""
+    r = random.Random(4)
+    rows = [(f"q{i:03d}", i // 3) for i in range(90)]
+    hits = [(a, b, round(r.uniform(0.8, 1), 3)) for a, t in rows for b, u in rows if u < t and r.random() < 0.15]
+    q, h = spark.createDataFrame(rows, "query_id string, arrival int"), spark.createDataFrame(hits, "query_id string, older_id string, sim double")
+    one = {(x["query_id"], tuple(x["parent_ids"]), x["depth"]) for x in vs.version_graph(q, h).collect()}
+    two = {(x["query_id"], tuple(x["parent_ids"]), x["depth"]) for x in vs.version_graph(q, h, max_component=3).collect()}
+    assert one == two and len(one) == 90 and max(d for *_, d in one) > 3
+
+
+def test_many_later_neighbours(spark):
+    """Later queries and those of the own memory don't take the places of earlier ones, however many there are."""
+    v = [1.0] + [0.0] * 63
+    old = [(f"a{i}", f"m{i}", v) for i in range(3)] + [(f"z{i:05d}", "own", v) for i in range(12_000)]
+    stored = spark.createDataFrame(old, "query_id string, memory_id string, embedding array<float>")
+    new = spark.createDataFrame([("n", "own", v)], "new_id string, memory_id string, embedding array<float>")
+    assert {r["query_id"] for r in vs.version_hits(new, stored).collect()} == {"a0", "a1", "a2"}
