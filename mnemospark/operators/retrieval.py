@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.config import Config
 from mnemospark.operators.similarity import best_per_group, knn
+from mnemospark.session import cut
 
 
 def candidates_index(subs: DataFrame, hits: DataFrame) -> DataFrame:
@@ -17,13 +18,13 @@ def candidates_index(subs: DataFrame, hits: DataFrame) -> DataFrame:
     score of its first hit. Even a hit with score 0 makes its memory a candidate. ``matched`` are the queries of the texts that count,
     best first, ``sub_queries`` the sub-queries they were hit by, in that order.
     """
-    # sub-queries in their order, and each one's hits in theirs
-    h = hits.join(subs.select("sub_id", "request", "sq_index"), "sub_id").withColumn("seq", F.struct("sq_index", "rank"))
-    first = Window.partitionBy("request", "memory_id", "text_hash").orderBy("seq")
-    marked = h.withColumn("once", F.row_number().over(first) == 1)
-    matched = F.collect_list(F.when(F.col("once"), F.struct((-F.col("score")).alias("s"), "seq", "query_id")))  # a few hits a sub-query
-    grouped = marked.groupBy("request", "memory_id").agg(F.max("score").alias("score_q2q"), F.min("seq").alias("first_seen"), F.array_sort(matched).alias("m"))
-    return grouped.select("request", "memory_id", "score_q2q", "first_seen", F.transform("m", lambda e: e["query_id"]).alias("matched"), F.array_distinct(F.transform("m", lambda e: e["seq"]["sq_index"])).alias("sub_queries"))
+    # sub-queries in their order, and each one's hits in theirs; a memory has a few hits a sub-query
+    h = hits.join(subs.select("sub_id", "request", "sq_index"), "sub_id").select("request", "memory_id", "score", F.struct(F.struct("sq_index", "rank").alias("seq"), "score", "query_id", "text_hash").alias("hit"))
+    g = h.groupBy("request", "memory_id").agg(F.max("score").alias("score_q2q"), F.array_sort(F.collect_list("hit")).alias("h"))
+    g = g.withColumn("texts", F.transform("h", lambda e: e["text_hash"]))
+    once = F.filter("h", lambda e, i: F.array_position(F.col("texts"), e["text_hash"]) == i + 1)
+    g = g.withColumn("m", F.array_sort(F.transform(once, lambda e: F.struct((-e["score"]).alias("s"), e["seq"].alias("seq"), e["query_id"].alias("query_id")))))
+    return g.select("request", "memory_id", "score_q2q", F.get("h", F.lit(0))["seq"].alias("first_seen"), F.transform("m", lambda e: e["query_id"]).alias("matched"), F.array_distinct(F.transform("m", lambda e: e["seq"]["sq_index"])).alias("sub_queries"))
 
 
 def best_queries_exact(subs: DataFrame, fake_queries: DataFrame) -> DataFrame:
@@ -32,10 +33,13 @@ def best_queries_exact(subs: DataFrame, fake_queries: DataFrame) -> DataFrame:
     Ties go to the lower position. A memory is a candidate only if its best score is above 0. Memories aren't ranked by a
     sub-query here; their own order decides between equal scores.
     """
-    pool = fake_queries.select("query_id", "memory_id", F.coalesce("pos", F.lit(0)).alias("pos"), "embedding")
-    best = best_per_group(subs, "sub_id", pool, "query_id", "memory_id", "pos").where("sim > 0")
-    texts = fake_queries.select("query_id", F.xxhash64("text").alias("text_hash"))
-    return best.join(texts, "query_id").select("sub_id", "query_id", "memory_id", "text_hash", F.col("sim").alias("score"), F.lit(0).alias("rank"))
+    # the text's hash travels with the id, so the many hits needn't be joined for it
+    both = F.concat("query_id", F.lit("#"), F.xxhash64("text").cast("string"))
+    pool = fake_queries.select(both.alias("key"), "memory_id", F.coalesce("pos", F.lit(0)).alias("pos"), "embedding")
+    best = best_per_group(subs, "sub_id", pool, "key", "memory_id", "pos").where("sim > 0")
+    text_hash = F.substring_index("key", "#", -1)
+    query_id = F.expr("left(key, length(key) - length(substring_index(key, '#', -1)) - 1)")
+    return best.select("sub_id", query_id.alias("query_id"), "memory_id", text_hash.cast("bigint").alias("text_hash"), F.col("sim").alias("score"), F.lit(0).alias("rank"))
 
 
 def chunk_scores(candidates: DataFrame, subs: DataFrame, chunks: DataFrame, mode: str, top_k: int, dims: int = 64) -> DataFrame:
@@ -82,7 +86,7 @@ def retrieve(subs: DataFrame, fake_queries: DataFrame, chunks: DataFrame, config
         hits = near.join(named, "query_id").withColumn("score", F.greatest("sim", F.lit(0.0)))
     else:
         hits = best_queries_exact(subs, fake_queries)
-    found = candidates_index(subs, hits)
+    found = cut(candidates_index(subs, hits))  # both the scores and the fusion read it; the join below it runs once
     return fuse(found, chunk_scores(found, subs, chunks, mode, config.top_k_q2c), config)
 
 
@@ -98,6 +102,7 @@ def with_chains(results: DataFrame, fake_queries: DataFrame, config: Config = Co
 
     Chains of a single node are left out; order within a depth is by level, then id.
     """
+    results = cut(results)  # read for the hits and for the rows themselves
     hits = results.select("request", "memory_id", F.posexplode("matched").alias("at", "query_id"))
     with_parents = fake_queries.where(F.size("parent_ids") > 0).select("query_id")
     starts = hits.join(with_parents, "query_id", "left_semi")
