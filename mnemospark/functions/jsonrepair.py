@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions.text import stripped
 
+#: How a list is found in an answer, fenced or by its brackets, the shortest or the longest.
 _FENCE = r"(?s)```(?:json)?\s*(\[.*?\])\s*```"
 _LAZY, _GREEDY = r"(?s)(\[.*?\])", r"(?s)(\[.*\])"
 

@@ -16,6 +16,11 @@ def stripped(c: str | Column) -> Column:
     return F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"(?U)^\s+|\s+$", "")
 
 
+def plain_name(c: str | Column) -> Column:
+    """In small letters, without white space at both ends: how ids and names of sources are compared."""
+    return F.lower(stripped(c))
+
+
 def windows(text: str | Column, size: int, step: int | None = None) -> Column:
     """Sliding windows over characters: one for texts up to ``size``, else one every ``step`` (half the size) to the end."""
     t = F.col(text) if isinstance(text, str) else text
@@ -112,6 +117,7 @@ def turn_chunks_by(tokenizer: Callable[[], object], turns: str | Column, limit:
 
 # ---------------------------------------------------------------- paragraphs: sequential, so in Python
 
+#: Fixed value: where sentences end.
 _SENTENCE = re.compile(r"(?<=[。！？.!?\n])")
 
 

@@ -16,6 +16,8 @@ from pyspark.sql.types import DoubleType
 
 from mnemospark.functions import stats
 
+#: Sessions from which one without evidence is drawn, at most.
+NEGATIVES = 256
 METHODS = ("q2q", "q2p", "q2n", "q2r", "q2c")
 
 
@@ -89,12 +91,16 @@ def hit_at_k(sims: DataFrame, evidence: DataFrame, ks: tuple[int, ...] = (1, 5,
 
 
 def discriminability(sims: DataFrame, evidence: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Best similarity in the first evidence session less that in one other session, the first by a hash of both ids."""
+    """Best similarity in the first evidence session less that in one other session.
+
+    The other is drawn, by a hash of both ids, from at most ``NEGATIVES`` sessions, the first by a hash of theirs; a query whose evidence is all of these has none.
+    """
     first = Window.partitionBy("query").orderBy("ev_pos")
     positive = evidence.withColumn("n", F.row_number().over(first)).where("n = 1").select("query", F.col("session").alias("positive"))
     targets = evidence.select("query", "session")
     pick = F.md5(F.concat_ws("|", F.col("query").cast("string"), F.col("session").cast("string")))
-    others = positive.select("query").join(sessions.select("session")).join(targets, ["query", "session"], "left_anti").groupBy("query").agg(F.min(F.struct(pick.alias("h"), "session")).alias("m")).select("query", F.col("m.session").alias("negative"))
+    some = sessions.select("session").distinct().orderBy(F.md5(F.col("session").cast("string"))).limit(NEGATIVES)
+    others = positive.select("query").crossJoin(F.broadcast(some)).join(targets, ["query", "session"], "left_anti").groupBy("query").agg(F.min(F.struct(pick.alias("h"), "session")).alias("m")).select("query", F.col("m.session").alias("negative"))
     best = max_sims(sims, ["query", "method", "session"])
     p = positive.join(best.withColumnRenamed("session", "positive").withColumnRenamed("best", "p"), ["query", "positive"]).select("query", "method", "p")
     n = others.join(best.withColumnRenamed("session", "negative").withColumnRenamed("best", "q"), ["query", "negative"]).select("query", "method", "q")

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark.functions.text import plain_name
 from mnemospark.session import cut, partitions_for
 
 #: Links that one task merges at most, and that it merges or traverses where there are enough of them for all tasks.
@@ -31,10 +32,6 @@ MERGED_PER_TASK, LINKS_PER_PARTITION = 200_000, 20_000
 MAX_COMPONENT_LINKS = 400_000
 
 
-def _clean(c):
-    return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
-
-
 @dataclass
 class Hierarchy:
     """Nodes (``node, query_id, stored_depth``), links with their component, and the parameters."""
@@ -195,10 +192,10 @@ def hierarchy(df: DataFrame, node: str, parents: str, depth: str | None = None,
     that names itself is a circle of one. An empty table gives empty results.
     """
     stored = F.col(depth) if depth else F.lit(None)
-    rows = df.select(_clean(F.col(node)).alias("node"), F.col(node).alias("spelt"), F.col(parents).alias("named"), stored.cast("int").alias("stored")).where("node is not null and node <> ''")
+    rows = df.select(plain_name(node).alias("node"), F.col(node).alias("spelt"), F.col(parents).alias("named"), stored.cast("int").alias("stored")).where("node is not null and node <> ''")
     nodes = rows.groupBy("node").agg(F.min("spelt").alias("query_id"), F.max("stored").alias("stored_depth"))
     named = rows.select("node", F.explode("named").alias("one")).select(F.col("node").alias("child"), F.explode(F.split("one", ",")).alias("one"))
-    named = named.select("child", _clean(F.col("one")).alias("parent")).where("parent <> ''").distinct()
+    named = named.select("child", plain_name("one").alias("parent")).where("parent <> ''").distinct()
     links = cut(named.join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi").select("child", "parent"))
     parts = components(links)
     at = cut(links.join(parts, links["child"] == parts["node"]).select("component", "contradicted", "child", "parent"))

@@ -23,6 +23,22 @@ class Dataset:
     queries: DataFrame
     evidence: DataFrame
 
+    def answer_sessions(self) -> DataFrame:
+        """The sessions that hold evidence for some question."""
+        return self.sessions.join(self.evidence.select("session_id").distinct(), "session_id", "left_semi")
+
+    def session(self, session_id: str) -> DataFrame:
+        """A session by its id."""
+        return self.sessions.where(F.col("session_id") == session_id)
+
+    def session_texts(self) -> DataFrame:
+        """``session_id, text``: what is embedded and what questions are generated from."""
+        return self.sessions.select("session_id", "text")
+
+    def query_texts(self) -> DataFrame:
+        """``query_id, text, answer``: what is paraphrased."""
+        return self.queries.select("query_id", "text", "answer")
+
     def summary(self) -> DataFrame:
         n = F.count(F.lit(1))
         return self.sessions.agg(n.alias("sessions")).crossJoin(self.queries.agg(n.alias("queries")))

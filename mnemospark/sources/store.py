@@ -35,11 +35,6 @@ def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return ranked.where("__n = 1").drop("__n")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those with the same keys; ``new`` has a row per key or child rows of a key."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
-
-
 class Store:
     """Tables under one folder; ``tables`` gives each one's schema and the column it is cut by."""
 

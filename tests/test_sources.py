@@ -108,6 +108,7 @@ def test_samples(spark, tmp_path):
     assert d.sessions.where("session_id = 's_s3'").first()["text"] == "u: c\nu: c\nu: c"
     assert [(r["ev_pos"], r["session_id"]) for r in d.evidence.orderBy("ev_pos").collect()] == [(0, "s_s1"), (1, "s_s3")]
     assert d.queries.count() == 1 and d.summary().first()["sessions"] == 2
+    assert d.answer_sessions().count() == 2 and d.session("s_s1").first()["text"].startswith("A: t0") and d.session_texts().count() == 2 and d.query_texts().first()["answer"] == "a"
 
 
 def test_haystacks(spark, tmp_path):
