@@ -12,9 +12,10 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemospark.functions.text import plain_name
 from mnemospark.llm.tokens import n_tokens
 from mnemospark.session import cut
 
@@ -46,10 +47,6 @@ def sainte_lague(weights: dict, seats: int) -> dict:
     return out
 
 
-def _clean(source: Column) -> Column:
-    return F.lower(F.regexp_replace(source, r"(?U)^\s+|\s+$", ""))
-
-
 @dataclass
 class Mix:
     """``documents`` (key, source, n_tokens, copies) of the mix, and ``report``, a row per source of the targets."""
@@ -75,9 +72,9 @@ def mix(df: DataFrame, key: str, source: str, text: str, targets: DataFrame, see
     less than its (scaled) share of ``size_share``.
     """
     spark = df.sparkSession
-    sizes = df.select(F.col(key).alias("k"), _clean(F.col(source)).alias("source"), n_tokens(F.col(text)).alias("n")).where("k is not null")
+    sizes = df.select(F.col(key).alias("k"), plain_name(source).alias("source"), n_tokens(F.col(text)).alias("n")).where("k is not null")
     sizes = cut(sizes.groupBy("k").agg(F.max("n").alias("n"), F.min("source").alias("source")))
-    wanted = {r["source"]: r for r in targets.select(_clean(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("most")).where("source is not null").groupBy("source").agg(F.max("share").alias("share"), F.max("most").alias("most")).collect()}
+    wanted = {r["source"]: r for r in targets.select(plain_name("source").alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("most")).where("source is not null").groupBy("source").agg(F.max("share").alias("share"), F.max("most").alias("most")).collect()}
     listed = spark.createDataFrame([(s, float(r["share"] or 0), int(r["most"] or 0)) for s, r in wanted.items()], "source string, target_share double, max_repeats int")
     # a row per target: bounded by the targets
     per = sizes.join(F.broadcast(listed.select("source")), "source").groupBy("source").agg(F.sum("n").alias("n")).collect()

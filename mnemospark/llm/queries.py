@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm.abuse import score_abuse, source_name
+from mnemospark.functions.text import plain_name
+from mnemospark.llm.abuse import score_abuse
 from mnemospark.llm.ann import exact_neighbours, measured_queries, similar_vectors
 from mnemospark.llm.chunking import split_oversized
 from mnemospark.llm.mixing import mix
@@ -187,7 +188,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Per source, the share of documents with abusive content and the mean probability."""
     scores = p8_scores(spark, sf).groupBy("doc_id").agg(F.max("probability").alias("probability"), F.max("flagged").alias("flagged"))
-    sources = _table(spark, sf, "documents").select("doc_id", source_name(F.col("source")).alias("source")).groupBy("doc_id").agg(F.min("source").alias("source"))
+    sources = _table(spark, sf, "documents").select("doc_id", plain_name("source").alias("source")).groupBy("doc_id").agg(F.min("source").alias("source"))
     flagged = F.sum(F.col("flagged").cast("int"))
     return sources.join(scores, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), flagged.alias("flagged"), (flagged / F.count(F.lit(1))).alias("rate"), F.avg("probability").alias("mean_probability"))
 
