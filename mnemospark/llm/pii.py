@@ -26,6 +26,10 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 #: Rounds of made-up sentences that the models are trained on; each has about twenty.
 ROUNDS = 900
+#: Lines whose signs are looked up at once.
+GROUP = 2_048
+#: Code points from here on have no case, digit or blank that isn't read as a plain one.
+CASED = 0x3000
 
 # ---------------------------------------------------------------- one character for one character
 
@@ -84,9 +88,9 @@ _GENERATORS: list[tuple[str, str, re.Pattern]] = [
     ("email", "at dot", re.compile(rf"(?i){_LOCAL}\sat\s[a-z0-9-]{{1,63}}(?:\sdot\s[a-z0-9-]{{1,40}}){{1,5}}")),
     ("number", "7 digits", re.compile(r"(?<![\w@#$€£-])(?<!\d[.,:/])(?:\+ ?|00)?\(?\d(?:(?:[ ./-]|\) ?[-/]?| ?\()?\d){6,15}(?!\w)(?![.:/-]\d)")),
     ("phone", "number words", re.compile(rf"(?i)(?<!\w)(?:(?:plus )?(?:{_NUMBER_WORDS})[ ,-]{{1,2}}){{6,}}(?:{_NUMBER_WORDS})(?!\w)")),
-    ("id_number", "2 digits", re.compile(r"(?<![\w@/+=.-])(?=[A-Za-z\d]*\d[A-Za-z\d]*\d)(?:[A-Za-z]{1,3}\d[A-Za-z0-9]{5,13}|\d{7,9}-?[A-Za-z]|[A-Za-z]\d{7,8}-?[A-Za-z])(?![\w/+=@])")),
+    ("id_number", "mixed", re.compile(r"(?<![\w@/+=.-])(?=[A-Za-z\d]*\d[A-Za-z\d]*\d)(?:[A-Za-z]{1,3}\d[A-Za-z0-9]{5,13}|\d{7,9}-?[A-Za-z]|[A-Za-z]\d{7,8}-?[A-Za-z])(?![\w/+=@])")),
     ("id_number", "6 digits", re.compile(r"(?<![\w@-])[A-Za-z]{2} ?\d{2} \d{2} \d{2} ?[A-Za-z](?!\w)")),
-    ("id_number", "2 digits", re.compile(r"(?<![\w@-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
+    ("id_number", "upper digits", re.compile(r"(?<![\w@-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("address", "en", re.compile(rf"(?i)(?<![\w.,:/-])(?:(?:flat|apt|apartment|unit|suite) \d+\w?, ?)?\d{{1,5}}[a-z]?,? (?:[nsew]\.?\s)?(?:{_W}[\w'-]*\s){{1,4}}?(?:{_EN})(?!\w)\.?{_TAIL}")),
     ("address", "fr", re.compile(rf"(?i)(?<![\w.,:/-])\d{{1,4}}(?: ?(?:bis|ter))?,? (?:{_FR}) (?:(?:d[eu]s?|de la|de l'|d'|la|le|l') ?)?{_W}[\w'-]*(?: (?-i:[{_U}])[\w'-]*| {_W}[\w'-]*(?=,)){{0,2}}{_TAIL}")),
     ("address", "es", re.compile(rf"(?i)(?<!\w)(?:{_ES}|c/) ?(?:{_W}[\w'-]* ){{0,3}}?{_W}[\w'-]*,? (?:n\.?[ºo°] ?)?\d{{1,4}}(?!\w|\.\d){_TAIL}")),
@@ -96,16 +100,13 @@ _GENERATORS: list[tuple[str, str, re.Pattern]] = [
     ("name", "title", re.compile(rf"(?i:(?<!\w){_TITLE})\.?\s(?:[{_U}]\.\s?){{0,2}}(?:{_CAP}\s)?(?:{_FAM}|{_UPPER})")),
     ("name", "capitals", re.compile(rf"(?<![\w@.])(?=({_CAP} (?:[{_U}]\. ?){{0,2}}{_FAM}))")),
     ("name", "capitals", re.compile(rf"(?<![\w@.])(?=({_CAP} {_CAP} {_FAM}))")),
-    ("name", "capitals", re.compile(rf"(?<![\w@.])(?=({_CAP}, {_CAP})(?!\w))")),
-    ("name", "capitals", re.compile(rf"(?<![\w@.])(?=({_UPPER}(?:,? (?:[{_U}]\. ?)?){_UPPER})(?![\w@.]\w))")),
-    ("name", "capitals", re.compile(rf"(?<![\w@.])(?:[{_U}]\. ?){{1,3}}{_FAM}")),
+    ("name", "comma", re.compile(rf"(?<![\w@.])(?=({_CAP}, {_CAP})(?!\w))")),
+    ("name", "upper", re.compile(rf"(?<![\w@.])(?=({_UPPER}(?:,? (?:[{_U}]\. ?)?){_UPPER})(?![\w@.]\w))")),
+    ("name", "initial", re.compile(rf"(?<![\w@.])(?:[{_U}]\. ?){{1,3}}{_FAM}")),
     ("name", "cjk", re.compile(rf"[\u4e00-\u9fff]{{1,3}}(?:{_CJK_TITLES})")),
 ]
 
-_DIGIT = re.compile(r"\d")
 _AT = re.compile(r"(?i)[(\[{]\s?at\s?[)\]}]")
-_CAPITALS = re.compile(rf"[{_U}](?:[^\s:@]*\s|\. ?)(?:(?:{_PARTICLES})\s){{0,2}}[{_U}]")
-_CJK_GATE = re.compile(_CJK_TITLES)
 _LOW_TITLES = frozenset(x.lower() for x in _TITLES)
 _EN_WORDS, _FR_WORDS = frozenset(_EN.split("|")), frozenset(_FR.split("|"))
 _ES_WORDS = frozenset(x.removesuffix("\\.?") for x in _ES.split("|"))
@@ -114,43 +115,147 @@ _AM_WORDS = frozenset("am an im in auf zum zur unter hinter vor beim".split())
 _NUMBERS = frozenset(_NUMBER_WORDS.split("|"))
 
 
-def _has(line: str, given: frozenset[str]) -> set[str]:
-    """What a line has of what the generators need."""
-    out: set[str] = set()
-    words = _WORDS.findall(line)
-    ws = set(_WORDS.findall(line.lower()))
-    if "@" in line or ("at" in ws and _AT.search(line)):
-        out.add("at")
-    if "at" in ws and "dot" in ws:
-        out.add("at dot")
-    n = len(_DIGIT.findall(line))
-    if n:
-        for k in (2, 6, 7):
-            if n >= k:
-                out.add(f"{k} digits")
-        if not _EN_WORDS.isdisjoint(ws):
-            out.add("en")
-        if not _FR_WORDS.isdisjoint(ws):
-            out.add("fr")
-        if not _ES_WORDS.isdisjoint(ws) or "c/" in line or "C/" in line:
-            out.add("es")
-        if any(w.endswith(_DE_ENDS) for w in ws):
-            out.add("de")
-        if not _AM_WORDS.isdisjoint(ws):
-            out.add("de at")
-    if not _NUMBERS.isdisjoint(ws) and sum(w.lower() in _NUMBERS for w in words) >= 7:
-        out.add("number words")
-    if not _LOW_TITLES.isdisjoint(ws):
-        out.add("title")
-    if _CAPITALS.search(line):
-        out.add("capitals")
-    if not line.isascii() and _CJK_GATE.search(line):
-        out.add("cjk")
-    if not given.isdisjoint(words):
-        out.add("given")
+#: What a line may have, as bits; the words of which each is a sign.
+_BITS = {x: 1 << i for i, x in enumerate(("en", "fr", "es", "de at", "title", "number", "at", "dot", "particle", "given", "de", "capitals", "slash", "cjk", "upper", "initial", "mixed", "1 digits", "2 digits", "6 digits", "7 digits", "sign"))}
+_SIGNS = {"en": _EN_WORDS, "fr": _FR_WORDS, "es": _ES_WORDS, "de at": _AM_WORDS, "title": _LOW_TITLES, "number": _NUMBERS, "at": {"at"}, "dot": {"dot"}, "particle": frozenset(_PARTICLES.split("|"))}
+_FACTOR = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+
+
+@lru_cache(1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Per code point below ``CASED`` its class (1 word character, 2 capital, 4 digit, 8 white space, 16 colon or at sign), and its small letter; the last entry stands for all others."""
+    kind, low = np.ones(CASED + 1, np.uint8), np.arange(CASED + 1, dtype=np.uint64)
+    capitals = set(map(ord, _U))
+    for code in range(CASED):
+        c = chr(code)
+        kind[code] = (c.isalnum() or c == "_") | (code in capitals) << 1 | c.isdecimal() << 2 | c.isspace() << 3 | (c in ":@") << 4
+        small = c.lower()
+        if len(small) == 1:
+            low[code] = ord(small)
+    return kind, low
+
+
+def _hash(word: str) -> int:
+    total = 0
+    for i, c in enumerate(word):
+        total += ord(c) * pow(_FACTOR, i, 1 << 64)
+    return total % (1 << 64)
+
+
+@lru_cache(8)
+def _words(given: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words that are signs, sorted, and their bits."""
+    bits: dict[int, int] = {}
+    for name, words in [*_SIGNS.items(), ("given", given)]:
+        for w in words:
+            bits[_hash(w)] = bits.get(_hash(w), 0) | _BITS[name]
+    keys = np.array(sorted(bits), np.uint64)
+    return keys, np.array([bits[int(k)] for k in keys], np.int64)
+
+
+def _bits(lines: list[str], given: frozenset[str]) -> np.ndarray:
+    """Bits of each line, looked up for all lines at once on their code points. A word is known by its hash; a chance hit costs time only."""
+    kind_of, low_of = _tables()
+    text = "\n".join(lines) + "\n"
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    near = np.minimum(codes, CASED)
+    kind = kind_of[near]
+    ends = np.cumsum([len(x) + 1 for x in lines])
+    starts = np.concatenate([[0], ends[:-1]])
+    out = np.zeros(len(lines), np.int64)
+    n = np.add.reduceat((kind & 4) >> 2, starts, dtype=np.int64)
+    for k in (1, 2, 6, 7):
+        out |= np.where(n >= k, _BITS[f"{k} digits"], 0)
+    line_of = lambda at: np.searchsorted(ends, at, side="right")
+    out[line_of(np.flatnonzero(codes == 64))] |= _BITS["sign"]
+    slash = np.flatnonzero(codes == 47)
+    slash = slash[(slash > 0) & ((codes[slash - 1] | 32) == 99)]
+    out[line_of(slash)] |= _BITS["slash"]
+    out[line_of(np.flatnonzero((codes >= 0x4E00) & (codes <= 0x9FFF)))] |= _BITS["cjk"]
+    cap, digit = (kind & 2) > 0, (kind & 4) > 0
+    letter = ((kind & 1) > 0) & ~digit
+    out[line_of(np.flatnonzero(cap[:-1] & cap[1:]))] |= _BITS["upper"]
+    out[line_of(np.flatnonzero(cap[:-1] & (codes[1:] == 46)))] |= _BITS["initial"]
+    out[line_of(np.flatnonzero((letter[:-1] & digit[1:]) | (digit[:-1] & letter[1:])))] |= _BITS["mixed"]
+    out[line_of(np.flatnonzero(digit[:-2] & (codes[1:-1] == 45) & letter[2:]))] |= _BITS["mixed"]
+    # words and their hashes
+    inside = (kind & 1).astype(np.int8)
+    edge = np.diff(inside, prepend=0)
+    first, after = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    power = _powers(_FACTOR, len(codes))
+    both = []
+    for c in (low_of[near], codes.astype(np.uint64)):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * power, dtype=np.uint64)])
+        both.append((total[after] - total[first]) * _powers(_INVERSE, len(codes))[first])
+    keys, bits = _words(given)
+    line = line_of(first)
+    for hashes, mask in zip(both, (~_BITS["given"], _BITS["given"]), strict=True):
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        found = np.where(keys[at] == hashes, bits[at], 0) & mask
+        some = np.flatnonzero(found)
+        np.bitwise_or.at(out, line[some], found[some])
+    # two capitals, the first in a token before the second's, or with a particle between
+    index = np.arange(len(codes))
+    capital = np.maximum.accumulate(np.where(kind & 2, index, -1))
+    stop = np.maximum.accumulate(np.where(kind & 24, index, -1))
+    at = np.flatnonzero(kind & 2)
+    at = at[at > 1]
+    spaced = at[(kind[at - 1] & 8) > 0] - 1
+    pair = spaced[(spaced > 0)]
+    pair = pair[capital[pair - 1] > stop[pair - 1]]
+    out[line_of(pair)] |= _BITS["capitals"]
+    dotted = at[codes[at - 1] == 46]
+    dotted = dotted[(kind[dotted - 2] & 2) > 0]
+    out[line_of(dotted)] |= _BITS["capitals"]
+    out |= np.where(out & _BITS["particle"], _BITS["capitals"], 0)
     return out
 
 
+@lru_cache(2)
+def _power_table(factor: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, factor, np.uint64)]), dtype=np.uint64)
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    return _power_table(factor, 1 << max(10, (n - 1).bit_length()))[:n]
+
+
+@lru_cache(65_536)
+def _plan(bits: int) -> tuple[list[tuple[str, str, re.Pattern]], bool]:
+    """The generators that a line with these bits may need, and whether names in small letters may be in it."""
+    b = _BITS
+    has = {x for x in ("6 digits", "7 digits", "title", "capitals", "initial", "cjk") if bits & b[x]}
+    if bits & b["capitals"]:
+        has.update(["comma", *(["upper"] if bits & b["upper"] else [])])
+    if bits & b["2 digits"]:
+        has.update(x for x in ("mixed",) if bits & b[x])
+        has.update(["upper digits"] if bits & b["upper"] else [])
+    if bits & (b["sign"] | b["at"]):
+        has.add("at")
+    if bits & b["at"] and bits & b["dot"]:
+        has.add("at dot")
+    if bits & b["number"]:
+        has.add("number words")
+    if bits & b["1 digits"]:
+        has.update(x for x in ("en", "fr", "de at") if bits & b[x])
+        has.update(["de", *(["es"] if bits & (b["es"] | b["slash"]) else [])])
+    return [g for g in _GENERATORS if g[1] in has], bool(bits & b["given"])
+
+
+def _lacks(need: str, line: str) -> bool:
+    """Whether a line lacks what can't be told by its bits."""
+    if need == "de":
+        low = line.lower()
+        return not any(x in low for x in _DE_ENDS)
+    if need == "number words":
+        return sum(w in _NUMBERS for w in _WORDS.findall(line.lower())) < 7
+    if need == "comma":
+        return ", " not in line
+    return need == "at" and "@" not in line and _AT.search(line) is None
+
+
 # ---------------------------------------------------------------- features
 
 #: Words around a span that speak for or against a kind.
@@ -208,14 +313,12 @@ def _features(t: str, a: int, b: int, kind: str, given: frozenset[str]) -> list[
     ]
 
 
-def candidates(line: str, given: frozenset[str], lower: re.Pattern | None) -> list[tuple[int, int, str]]:
+def candidates(line: str, given: frozenset[str], lower: re.Pattern | None, bits: int | None = None) -> list[tuple[int, int, str]]:
     """Every proposed (start, end, kind) in a line; spans may overlap, also with different kinds."""
-    has = _has(line, given)
-    if not has:
-        return []
+    plan, small = _plan(int(_bits([line], given)[0]) if bits is None else bits)
     out: set[tuple[int, int, str]] = set()
-    for kind, need, pattern in _GENERATORS:
-        if need not in has:
+    for kind, need, pattern in plan:
+        if need in ("de", "number words", "at", "comma") and _lacks(need, line):
             continue
         for m in pattern.finditer(line):
             a, b = m.span(1) if m.re.groups and m.group(1) else m.span()
@@ -226,7 +329,7 @@ def candidates(line: str, given: frozenset[str], lower: re.Pattern | None) -> li
                 out.add((a, b, "id_number"))
             else:
                 out.add((a, b, kind))
-    if lower is not None and "given" in has:
+    if lower is not None and small:
         out.update((m.start(), m.end(), "name") for m in lower.finditer(line))
     return sorted(out)
 
@@ -262,11 +365,17 @@ class Model:
         return out
 
     def _lines(self, lines: list[str]) -> dict[str, list[tuple[int, int, str]]]:
-        """The spans of each line that has some."""
+        """The spans of each line that has some. Few lines at a time, so that few candidates are held."""
+        out: dict[str, list[tuple[int, int, str]]] = {}
+        for i in range(0, len(lines), GROUP):
+            out |= self._group(lines[i : i + GROUP])
+        return out
+
+    def _group(self, lines: list[str]) -> dict[str, list[tuple[int, int, str]]]:
         rows, feats = [], []
         lower = _lower_names(self.given)
-        for t in lines:
-            for a, b, kind in candidates(t, self.given, lower):
+        for t, bits in zip(lines, _bits(lines, self.given).tolist(), strict=True):
+            for a, b, kind in candidates(t, self.given, lower, bits) if bits else ():
                 rows.append((t, a, b, kind))
                 feats.append(_features(t, a, b, kind, self.given))
         out: dict[str, list[tuple[int, int, str]]] = {}
@@ -303,9 +412,9 @@ def train(given: frozenset[str] = frozenset(), rounds: int = ROUNDS, seed: int =
     trees, thresholds = {}, {}
     data: dict[str, tuple[list, list, list]] = {k: ([], [], []) for k in KINDS}
     lower = _lower_names(known)
-    for n, (text, gold) in enumerate(pii_corpus.examples(rounds, seed, names)):
-        t = text.translate(_SAME)
-        for a, b, kind in candidates(t, known, lower):
+    made = [(text.translate(_SAME), gold) for text, gold in pii_corpus.examples(rounds, seed, names)]
+    for n, ((t, gold), bits) in enumerate(zip(made, _bits([t for t, _ in made], known).tolist(), strict=True)):
+        for a, b, kind in candidates(t, known, lower, bits):
             hit = any(k == kind and 2 * (min(b, d) - max(a, c)) >= max(b, d) - min(a, c) for c, d, k in gold)
             x, y, held = data[kind]
             x.append(_features(t, a, b, kind, known))
