@@ -2,6 +2,9 @@
 
 Queries are broadcast only after they have been counted. Beyond ``BROADCAST_QUERIES`` both sides
 are cut into blocks, and each pair of blocks is one task: its memory is bounded by two blocks.
+
+A table joined with itself is written once, in packed blocks to the checkpoint folder, from which each
+pair of blocks reads: no vector is shuffled more than once, whatever their number.
 """
 
 from __future__ import annotations
@@ -13,12 +16,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from mnemospark.session import cut, partitions_for
 
 #: Queries that are sent to every task at most, and rows of a block beyond that.
 BROADCAST_QUERIES = 20_000
 BLOCK = 5_000
 #: Scores that a task holds at a time.
 SCORES = 4_000_000
+#: Rows of a packed block on average, and queries and items of a tile of scores, which stays in the cache.
+PACKED = 25_000
+TILE = (512, 1_024)
+#: Pairs that wait for being ranked, on either side.
+WAITING = 1_000_000
 
 
 def _matrix(column: pa.Array | pd.Series, dims: int) -> np.ndarray:
@@ -144,3 +155,107 @@ def within_threshold(queries: DataFrame, query: str, pool: DataFrame, item: str,
     near = similarities(queries, query, pool, item, least=least, **more)
     best = Window.partitionBy(query).orderBy(F.desc("sim"), item)
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+
+
+# ---------------------------------------------------------------- a table with itself
+
+
+class _Best:
+    """The ``limit`` best pairs of each query of a block: highest score first, then the smaller item."""
+
+    def __init__(self, queries: int, limit: int) -> None:
+        self.limit, self.waiting = limit, 0
+        self.least, self.last = np.full(queries, -np.inf), np.zeros(queries, np.int64)  # what the last of a full query has
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, q: np.ndarray, i: np.ndarray, s: np.ndarray) -> None:
+        better = (s > self.least[q]) | ((s == self.least[q]) & (i < self.last[q]))
+        if better.any():
+            self.parts.append((q[better], i[better], s[better]))
+            self.waiting += len(self.parts[-1][0])
+            if self.waiting > WAITING:
+                self.rank()
+
+    def rank(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, i, s = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        n = np.arange(len(q)) - np.searchsorted(q, q)  # before it in its query
+        full = n == self.limit - 1
+        self.least[q[full]], self.last[q[full]] = s[full], i[full]
+        kept = n < self.limit
+        self.parts, self.waiting = [(q[kept], i[kept], s[kept])], 0
+        return self.parts[0]
+
+
+def _tiles(x: np.ndarray, y: np.ndarray, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of ``x``, rows of ``y`` and scores of the pairs of unit vectors from ``least`` on, tile by tile; if both are the ``same``, each pair once."""
+    x32, y32 = x.astype(np.float32), y.astype(np.float32)
+    low = np.float32(least - 1e-5)  # single precision errs by less
+    room = np.empty(TILE, np.float32)
+    for at in range(0, len(x), TILE[0]):
+        a = x32[at : at + TILE[0]]
+        for to in range(0, len(y), TILE[1]):
+            b = y32[to : to + TILE[1]]
+            if same and to + len(b) <= at:
+                continue
+            s = np.matmul(a, b.T, out=room) if (len(a), len(b)) == room.shape else a @ b.T
+            if s.max() < low:
+                continue
+            r, c = np.divmod(np.flatnonzero(s >= low), len(b))
+            many = len(r) > s.size // 64
+            exact = (x[at : at + len(a)] @ y[to : to + len(b)].T)[r, c] if many else np.einsum("ij,ij->i", x[at + r], y[to + c])
+            exact, r, c = np.round(exact, 9), at + r, to + c
+            use = (exact >= least) & ((r < c) | (not same))
+            yield r[use], c[use], exact[use]
+
+
+def earlier_similar(rows: DataFrame, key: str, older: str, at: str, group: str, least: float, limit: int, vector: str = "embedding", dims: int = 64) -> DataFrame:
+    """``key, older, sim``: for each row the ``limit`` most similar ones, from ``least`` on, that have a smaller ``at`` and another ``group``.
+
+    Scores are those of ``similarities``, of all pairs; ties go to the smaller key. A key that comes again counts once, at its smallest
+    ``at``; rows without key, ``at`` or ``group`` have no pairs. ``at`` is a number. Each two blocks meet once, for both directions,
+    and at most ``limit`` rows a query and direction leave their task. What single precision leaves is scored in double precision.
+    """
+    n = partitions_for(rows.count(), PACKED)
+    named = rows.select(F.col(key).cast("string").alias("k"), F.col(at).cast("bigint").alias("t"), F.col(group).cast("string").alias("g"), F.col(vector).alias("v")).where("k is not null")
+    once = named.repartition(n, "k").groupBy("k").agg(F.min("t").alias("t"), F.first("g").alias("g"), F.first("v").alias("v"))
+    fine = once.where(F.col("t").isNotNull() & F.col("g").isNotNull() & F.col("v").isNotNull() & (F.size("v") == dims))
+    kind = np.float64 if isinstance(rows.schema[vector].dataType.elementType, DoubleType) else np.float32
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = [b for b in batches if b.num_rows]
+        if some:
+            t = pa.Table.from_batches(some).sort_by("k")
+            x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t.column("v").chunks]).astype(kind)
+            lists = [pa.array([t.column(c).to_numpy()], pa.list_(of)) for c, of in (("k", pa.string()), ("t", pa.int64()), ("g", pa.string()))]
+            yield pa.RecordBatch.from_arrays([*lists, pa.array([x.tobytes()], pa.binary())], names=["k", "t", "g", "v"])
+
+    blocks = cut(fine.mapInArrow(pack, "k array<string>, t array<bigint>, g array<string>, v binary").withColumn("b", F.spark_partition_id()))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                of = {c: batch.column(c)[row] for c in batch.schema.names}
+                ks = [of[c].values for c in ("k", "k2")]
+                ts = [of[c].values.to_numpy() for c in ("t", "t2")]
+                codes = pa.chunked_array([of["g"].values, of["g2"].values]).combine_chunks().dictionary_encode().indices.to_numpy()
+                gs = codes[: len(ks[0])], codes[len(ks[0]) :]
+                x, y = (_unit(np.frombuffer(of[c].as_py(), kind).astype(np.float64).reshape(-1, dims)) for c in ("v", "v2"))
+                best = _Best(len(x), limit), _Best(len(y), limit)
+                for r, c, s in _tiles(x, y, least, of["b"] == of["b2"]):
+                    use = gs[0][r] != gs[1][c]
+                    r, c, s = r[use], c[use], s[use]
+                    later, sooner = ts[0][r] > ts[1][c], ts[0][r] < ts[1][c]
+                    best[0].add(r[later], c[later], s[later])
+                    best[1].add(c[sooner], r[sooner], s[sooner])
+                for b, mine, theirs in zip(best, ks, ks[::-1], strict=True):
+                    q, i, s = b.rank()
+                    yield pa.RecordBatch.from_arrays([mine.take(pa.array(q)), theirs.take(pa.array(i)), pa.array(s)], names=[key, older, "sim"])
+
+    # of (i, j) and (j, i) one, such that each block is first as often as second
+    one = F.when((F.col("b") + F.col("b2")) % 2 == 0, F.col("b") <= F.col("b2")).otherwise(F.col("b") > F.col("b2"))
+    both = blocks.hint("shuffle_replicate_nl").join(blocks.withColumnsRenamed({c: f"{c}2" for c in blocks.columns}), one)
+    near = both.mapInArrow(meet, f"{key} string, {older} string, sim double")
+    w = Window.partitionBy(key).orderBy(F.desc("sim"), older)
+    return near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -12,10 +13,12 @@ from mnemospark.config import Config
 from mnemospark.functions.vectors import cosine
 from mnemospark.operators.hierarchy import components
 from mnemospark.operators.similarity import similarities
-from mnemospark.session import cut
+from mnemospark.session import cut, partitions_for
 
 #: Queries of a component of hits that one task folds; larger components are folded by joins.
 MAX_COMPONENT = 200_000
+#: Queries that one task folds on average, of many components.
+FOLDED = 5_000
 
 
 def parents(hits: DataFrame, fake_queries: DataFrame, config: Config = Config()) -> DataFrame:
@@ -62,7 +65,7 @@ def version_graph(queries: DataFrame, hits: DataFrame, config: Config = Config()
     ``queries`` (``query_id, arrival``) and ``hits`` (``query_id, older_id, sim``, at most ``max_hits`` of each
     query, of earlier sessions only) were joined at once, which is the heavy part. What depends on
     the order, pruning by the hits' own parents, is a light fold in order of arrival. It runs for
-    each connected component of hits by itself, if that has no more than ``max_component`` queries; larger ones are folded
+    each connected component of hits by itself, many to a task, if that has no more than ``max_component`` queries; larger ones are folded
     by joins, a round for each step of the longest chain of hits.
     """
     links = cut(hits.select(F.col("query_id").alias("child"), F.col("older_id").alias("parent")).distinct())
@@ -71,20 +74,25 @@ def version_graph(queries: DataFrame, hits: DataFrame, config: Config = Config()
     listed = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("s"), "older_id"))).alias("hits"))  # max_hits a query
     rows = queries.select("query_id", "arrival").join(parts, "query_id", "left").join(listed, "query_id", "left")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         above: dict[str, list[str]] = {}
         depth: dict[str, int] = {}
-        out = []
-        for r in pdf.sort_values(["arrival", "query_id"]).itertuples():
-            found = [h["older_id"] for h in (r.hits if r.hits is not None else [])][: config.max_hits]
-            covered = {p for x in found for p in above.get(x, ())}
-            chosen = [x for x in found if x not in covered][: config.max_parents]
-            above[r.query_id], depth[r.query_id] = chosen, 1 + max((depth.get(x, 0) for x in chosen), default=-1)
-            out.append((r.query_id, chosen, depth[r.query_id]))
-        return pd.DataFrame(out, columns=["query_id", "parent_ids", "depth"])
+        now = None
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples():
+                if r.component != now:
+                    above, depth, now = {}, {}, r.component
+                found = [h["older_id"] for h in (r.hits if r.hits is not None else [])][: config.max_hits]
+                covered = {p for x in found for p in above.get(x, ())}
+                chosen = [x for x in found if x not in covered][: config.max_parents]
+                above[r.query_id], depth[r.query_id] = chosen, 1 + max((depth.get(x, 0) for x in chosen), default=-1)
+                out.append((r.query_id, chosen, depth[r.query_id]))
+            yield pd.DataFrame(out, columns=["query_id", "parent_ids", "depth"])
 
     fits = rows.where("component is not null").join(big, "component", "left_anti")
-    linked = fits.groupBy("component").applyInPandas(fold, "query_id string, parent_ids array<string>, depth int")
+    whole = fits.repartition(partitions_for(parts.count(), FOLDED), "component").sortWithinPartitions("component", F.asc_nulls_last("arrival"), "query_id")
+    linked = whole.mapInPandas(fold, "query_id string, parent_ids array<string>, depth int")
     alone = rows.where("component is null").select("query_id", F.array().cast("array<string>").alias("parent_ids"), F.lit(0).alias("depth"))
     out = linked.unionByName(alone)
     if not big.isEmpty():

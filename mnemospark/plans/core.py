@@ -23,7 +23,7 @@ from mnemospark.operators import retrieval as rt
 from mnemospark.operators import versioning as vs
 from mnemospark.operators.context import contexts
 from mnemospark.operators.memory import memorize
-from mnemospark.operators.similarity import best_per_group, knn, similarities, within_threshold
+from mnemospark.operators.similarity import best_per_group, earlier_similar, knn, similarities, within_threshold
 from mnemospark.providers import HashEmbedder, embed
 from mnemospark.sources.loaders import temporal_order
 from mnemospark.session import checkpoint_folder, cut
@@ -175,14 +175,9 @@ def version_parents(s, sf):
 
 
 def version_graph(s, sf):
-    f = _fake(s, sf).join(_t(s, sf, "fake_queries").groupBy("query_id").agg(F.min("created_at").alias("arrival")), "query_id")
-    pairs = similarities(f, "query_id", f.withColumnRenamed("query_id", "older_id"), "older_id", least=0.80)
-    at = f.select("query_id", "memory_id", "arrival")
-    older = pairs.join(at, "query_id").join(at.select(F.col("query_id").alias("older_id"), F.col("memory_id").alias("m2"), F.col("arrival").alias("a2")), "older_id")
-    older = older.where("a2 < arrival and m2 <> memory_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "older_id")
-    hits = older.withColumn("n", F.row_number().over(w)).where(F.col("n") <= CONFIG.max_hits).select("query_id", "older_id", "sim")
-    return vs.version_graph(f.select("query_id", "arrival"), hits)
+    f = _t(s, sf, "fake_queries").select("query_id", "memory_id", "embedding", "created_at", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"))
+    hits = cut(earlier_similar(f, "query_id", "older_id", "at", "memory_id", 0.80, CONFIG.max_hits))
+    return vs.version_graph(f.where("query_id is not null").groupBy("query_id").agg(F.min("created_at").alias("arrival")), hits)
 
 
 def linked_kps(s, sf):

@@ -212,3 +212,59 @@ def test_many_later_neighbours(spark):
     stored = spark.createDataFrame(old, "query_id string, memory_id string, embedding array<float>")
     new = spark.createDataFrame([("n", "own", v)], "new_id string, memory_id string, embedding array<float>")
     assert {r["query_id"] for r in vs.version_hits(new, stored).collect()} == {"a0", "a1", "a2"}
+
+
+def test_earlier_similar(spark, monkeypatch):
+    """All pairs, whatever the blocks: the best of an earlier time and another group, ties by key."""
+    from mnemospark.operators import similarity
+
+    r = np.random.default_rng(8)
+    x = (r.normal(size=(25, 8))[r.integers(0, 25, 400)] + r.normal(size=(400, 8)) * 0.2).astype(np.float32)
+    x[100:140] = x[0]  # more equal ones than count, at several times
+    x[140:150] = 0
+    at, group = [int(t) for t in r.integers(0, 40, 400)], [f"m{g}" for g in r.integers(0, 60, 400)]
+    rows = [(f"q{i:03d}", at[i], group[i], x[i].tolist()) for i in range(400)]
+    odd = [("n1", 1, "a", None), ("n2", 1, "a", [1.0] * 7), ("n3", None, "a", x[0].tolist()), ("n4", -1, None, x[0].tolist()), (None, 1, "a", x[0].tolist()), ("n5", -1, "a", [float("nan")] * 8)]
+    again = [(q, t + 5, g, v) for q, t, g, v in rows[:30]]
+    df = spark.createDataFrame(rows + odd + again, "qid string, at bigint, grp string, embedding array<float>")
+    u = x.astype(float)
+    n = np.linalg.norm(u, axis=1, keepdims=True)
+    u = np.divide(u, n, out=np.zeros_like(u), where=n > 0)
+    s = np.round(u @ u.T, 9)
+    want = set()
+    for i in range(400):
+        older = sorted((j for j in range(400) if at[j] < at[i] and group[j] != group[i] and s[i, j] >= 0.8), key=lambda j: (-s[i, j], j))
+        want |= {(f"q{i:03d}", f"q{j:03d}", s[i, j]) for j in older[:6]}
+    assert len(want) > 1_000
+    for packed, tile, waiting in ((25_000, (512, 1_024), 1_000_000), (70, (16, 30), 5)):
+        monkeypatch.setattr(similarity, "PACKED", packed)
+        monkeypatch.setattr(similarity, "TILE", tile)
+        monkeypatch.setattr(similarity, "WAITING", waiting)
+        for kind in ("array<float>", "array<double>"):
+            got = similarity.earlier_similar(df.withColumn("embedding", F.col("embedding").cast(kind)), "qid", "older", "at", "grp", 0.8, 6, dims=8).collect()
+            assert len(got) == len(want) and {(g["qid"], g["older"], g["sim"]) for g in got} == want
+
+
+def test_version_graph_shuffles_vectors_once(spark, tmp_path):
+    """What is shuffled grows with the table, not with its square."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from mnemospark.plans.core import version_graph
+
+    n = 30_000
+    v = np.random.default_rng(6).normal(size=(n, 64)).astype(np.float32)
+    v[1::1_000] = v[::1_000]
+    columns = {"query_id": [f"q{i}" for i in range(n)], "memory_id": [f"m{i}" for i in range(n)], "pos": [0] * n, "text": ["t"] * n, "parent_ids": pa.nulls(n, pa.list_(pa.string())), "depth": [0] * n}
+    pq.write_table(pa.table(columns | {"embedding": pa.array(list(v), pa.list_(pa.float32())), "created_at": pa.array(range(n), pa.timestamp("us", "UTC"))}), f"{tmp_path}/fake_queries.parquet")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled() -> int:
+        sc.listenerBus().waitUntilEmpty(30_000)
+        seen = sc.statusStore().executorList(False)
+        return sum(seen.apply(i).totalShuffleWrite() for i in range(seen.size()))
+
+    before = shuffled()
+    got = version_graph(spark, str(tmp_path)).where("depth > 0").collect()
+    assert {(r["query_id"], *r["parent_ids"]) for r in got} == {(f"q{i + 1}", f"q{i}") for i in range(0, n, 1_000)}
+    assert shuffled() - before < 2 * v.nbytes
